@@ -9,23 +9,24 @@ from pyspark.sql import functions as F
 
 from quadlens import vocab
 
-# One alternative per lexical class, longest classes first. The possessive `*+` keeps long literals iterative.
-TOKEN_PATTERN = "|".join([
-    r"<[^<>\s\x22{}|^`\\]*>",                                               # IRI
-    r"(?:\x22{3}(?:\x22{0,2}(?:[^\x22\\]|\\.))*+\x22{3}"                    # literals: long forms first
+# One alternative per lexical class. Possessive quantifiers keep long literals iterative and words free of backtracking;
+# the look-ahead skips blanks before any alternative is tried.
+TOKEN_PATTERN = r"(?=\S)(?:" + "|".join([
+    r"[?$][0-9A-Za-z_\x{80}-\x{10FFFF}]++",                                  # variable
+    r"<[^<>\s\x22{}|^`\\]*+>",                                               # IRI
+    r"(?:\x22{3}(?:\x22{0,2}(?:[^\x22\\]|\\.))*+\x22{3}"                     # literals: long forms first
     r"|\x27{3}(?:\x27{0,2}(?:[^\x27\\]|\\.))*+\x27{3}"
-    r"|\x22(?:[^\x22\\\n\r]|\\.)*+\x22|\x27(?:[^\x27\\\n\r]|\\.)*+\x27)"
+    r"|\x22(?:[^\x22\\\n\r]++|\\.)*+\x22|\x27(?:[^\x27\\\n\r]++|\\.)*+\x27)"
     r"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>\s]*>|\^\^[A-Za-z][\w.\-]*:[\w\-]+)?",
-    r"#[^\n\r]*",                                                            # comment
-    r"[?$][0-9A-Za-z_\x{80}-\x{10FFFF}]+",                                   # variable
-    r"_:[0-9A-Za-z_\-]+",                                                    # blank node
-    r"(?:[A-Za-z](?:[\w\-\x{80}-\x{10FFFF}]|\.+[\w\-])*)?:"                  # prefixed name
-    r"(?:[\w:%\-\x{80}-\x{10FFFF}]|\\.|\.+[\w:%\-])*+",
-    r"[+-]?(?:[0-9]*\.)?[0-9]+(?:[eE][+-]?[0-9]+)?",                         # number
-    r"[A-Za-z_][A-Za-z0-9_]*",                                               # word
+    r"#[^\n\r]*+",                                                            # comment
+    r"_:[0-9A-Za-z_\-]++",                                                    # blank node
+    r"(?:[A-Za-z][\w\-\x{80}-\x{10FFFF}]*+(?:\.++[\w\-]++)*+)?:"              # prefixed name
+    r"(?:[\w:%\-\x{80}-\x{10FFFF}]++|\\.|\.++[\w:%\-])*+",
+    r"[+-]?(?:[0-9]*\.)?[0-9]++(?:[eE][+-]?[0-9]+)?",                         # number
+    r"[A-Za-z_][A-Za-z0-9_]*+",                                               # word
     r"&&|\|\||!=|<=|>=",
     r"\S",
-])
+]) + ")"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -71,6 +72,13 @@ def contains_any(col: Column, words: Sequence[str]) -> Column:
 
 
 # --- tokens -------------------------------------------------------------------------------------------------------
+#
+# Canonical tokens travel as one string with SEP around every token: rules that look at neighbouring tokens are then
+# plain regular expressions over the row, which cost far less than a lambda per token.
+
+SEP = "\x1f"
+_EDGE = rf"(?<={SEP})"
+
 
 def raw_tokens(text: Column) -> Column:
     """Lexical tokens of a query text without its comments."""
@@ -78,11 +86,7 @@ def raw_tokens(text: Column) -> Column:
 
 
 def _is_prefixed(t: Column) -> Column:
-    return t.rlike(r"^(?:[A-Za-z][^:\s]*)?:") & ~t.rlike(r"^[<?$\x22\x27_]")
-
-
-def _is_word(t: Column) -> Column:
-    return t.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$")
+    return t.rlike(r"^(?:[A-Za-z][^:\s]*)?:")
 
 
 def _resolve(t: Column, prefixes: Column, base: Column) -> Column:
@@ -102,74 +106,91 @@ def _resolve(t: Column, prefixes: Column, base: Column) -> Column:
             .otherwise(t))
 
 
-def _spelling(t: Column) -> Column:
-    """One spelling per token: upper-case words, ``?`` variables, the type shorthand written out."""
-    return (F.when(t == "a", F.lit(f"<{vocab.RDF_TYPE}>"))
-            .when(F.lower(t).isin("true", "false"), F.lower(t))
-            .when(_is_word(t), F.upper(t))
-            .when(t.rlike(r"^\$\w"), F.concat(F.lit("?"), F.substr(t, F.lit(2))))
-            .otherwise(t))
+def _expand_prologue(toks: Column) -> Column:
+    """Resolve every name against the PREFIX and BASE declarations of the text and drop the declarations."""
+    rows = F.transform(toks, lambda t, i: F.struct(
+        F.upper(F.get(toks, i - 2)).alias("before2"), F.get(toks, i - 1).alias("before"), t.alias("tok")))
+
+    def with_rows(rows: Column) -> Column:
+        declared = F.transform(F.filter(rows, lambda r: r["before2"] == "PREFIX"),
+                               lambda r: F.struct(r["before"].alias("name"), r["tok"].alias("iri")))
+        base = F.try_element_at(F.filter(rows, lambda r: F.upper(r["before"]) == "BASE"), F.lit(-1))["tok"]
+        length = 3 * F.size(F.filter(rows, lambda r: F.upper(r["tok"]) == "PREFIX")) \
+            + 2 * F.size(F.filter(rows, lambda r: F.upper(r["tok"]) == "BASE"))
+        return let(F.struct(declared.alias("p"), base.alias("b"), length.alias("n")), lambda pro: F.transform(
+            F.slice(toks, pro["n"] + 1, F.greatest(F.size(toks) - pro["n"], F.lit(0))),
+            lambda t: _resolve(t, pro["p"], pro["b"])))
+    return let(rows, with_rows)
+
+
+def _joined(toks: Column) -> Column:
+    return F.concat(F.lit(SEP), F.array_join(toks, SEP), F.lit(SEP))
+
 
+def _upper_words(joined: Column) -> Column:
+    def spelling(t: Column) -> Column:
+        return F.when(t.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.when(
+            F.lower(t).isin("true", "false"), F.lower(t)).when(t == "a", t).otherwise(F.upper(t))).otherwise(t)
+    return _joined(F.transform(split_tokens(joined), spelling))
 
-def canonical_tokens(text: Column) -> Column:
-    """Tokens with prefixes expanded, the prologue removed and optional syntax dropped.
 
-    Two texts that differ only in layout, comments, keyword case, prefixes, ``WHERE`` or a trailing dot get the
-    same tokens.
+def canonical(text: Column) -> Column:
+    """Canonical tokens of a text, joined by SEP: prefixes expanded, prologue removed, optional syntax dropped.
+
+    Two texts that differ only in layout, comments, keyword case, prefixes, ``WHERE`` or a trailing dot agree.
     """
-    def with_neighbours(toks: Column) -> Column:
-        return F.transform(toks, lambda t, i: F.struct(
-            F.get(toks, i - 2).alias("before2"), F.get(toks, i - 1).alias("before"),
-            t.alias("tok"), F.get(toks, i + 1).alias("after")))
-
-    def expand(toks: Column) -> Column:
-        def with_prologue(rows: Column) -> Column:
-            declared = F.transform(
-                F.filter(rows, lambda r: F.upper(r["before2"]) == "PREFIX"),
-                lambda r: F.struct(r["before"].alias("name"), r["tok"].alias("iri")))
-            base = F.try_element_at(F.filter(rows, lambda r: F.upper(r["before"]) == "BASE"), F.lit(-1))["tok"]
-            length = 3 * F.size(F.filter(rows, lambda r: F.upper(r["tok"]) == "PREFIX")) \
-                + 2 * F.size(F.filter(rows, lambda r: F.upper(r["tok"]) == "BASE"))
-            return let(F.struct(declared.alias("p"), base.alias("b"), length.alias("n")), lambda pro: F.transform(
-                F.slice(toks, pro["n"] + 1, F.greatest(F.size(toks) - pro["n"], F.lit(0))),
-                lambda t: _spelling(_resolve(t, pro["p"], pro["b"]))))
-
-        return F.when(F.exists(toks, lambda t: F.upper(t).isin("PREFIX", "BASE")),
-                      let(with_neighbours(toks), with_prologue)) \
-            .otherwise(F.transform(toks, _spelling))
-
-    def tidy(toks: Column) -> Column:
-        keep = F.filter(with_neighbours(toks), lambda r: ~F.coalesce(
-            ((r["tok"] == ".") & (r["after"] == "}"))
-            | ((r["tok"] == "WHERE") & (r["after"] == "{") & (F.coalesce(r["before"], F.lit("")) != "CONSTRUCT")),
-            F.lit(False)))
-        return F.transform(keep, lambda r: r["tok"])
-
-    return let(let(raw_tokens(text), expand), tidy)
+    toks = raw_tokens(F.translate(text, SEP, " "))
+    expanded = let(toks, lambda ts: _joined(F.when(
+        F.exists(ts, lambda t: t.rlike("(?i)^(?:prefix|base)$")), let(ts, _expand_prologue)).otherwise(ts)))
+    spelled = let(expanded, lambda j: F.when(
+        j.rlike(rf"{_EDGE}(?!a{SEP}|true{SEP}|false{SEP})[A-Z0-9_]*[a-z][A-Za-z0-9_]*{SEP}"), _upper_words(j)).otherwise(j))
+    for pattern, value in (
+            (rf"{_EDGE}a(?={SEP})", f"<{vocab.RDF_TYPE}>"),
+            (rf"{_EDGE}\$(?=\w)", "?"),
+            (rf"(?<!{SEP}CONSTRUCT{SEP})(?<={SEP})WHERE{SEP}(?=\{{{SEP})", ""),
+            (rf"{_EDGE}\.{SEP}(?=\}}{SEP})", "")):
+        spelled = F.regexp_replace(spelled, pattern, value)
+    return spelled
 
 
-def token_class(t: Column) -> Column:
-    """i IRI, l literal, n number or boolean, v variable, b blank node, x undeclared prefix, else the token itself."""
-    return (F.when(t.rlike(r"^<[^\s]*>$"), "i")
-            .when(t.rlike(r"(?s)^[\x22\x27]."), "l")
-            .when(t.rlike(r"^[?$]."), "v")
-            .when(t.startswith("_:"), "b")
-            .when(t.rlike(r"^[+-]?\.?[0-9]") | t.isin("true", "false"), "n")
-            .when(_is_prefixed(t), "x")
-            .otherwise(t))
+def split_tokens(joined: Column) -> Column:
+    return F.split(F.substr(joined, F.lit(2), F.length(joined) - 2), SEP)
+
 
+def skeleton(joined: Column) -> Column:
+    """The token classes of a canonical text; equal for queries that differ only in their terms.
 
-def skeleton(tokens: Column) -> Column:
-    """The token classes of a query as one string; equal for queries that differ only in their terms."""
-    return F.array_join(F.transform(tokens, token_class), " ")
+    i IRI, l literal, n number or boolean, v variable, b blank node, x undeclared prefix, else the token itself.
+    """
+    for pattern, cls in (
+            (rf"{_EDGE}[\x22\x27][^{SEP}]+", "l"),
+            (rf"{_EDGE}<[^{SEP}]*>(?={SEP})", "i"),
+            (rf"{_EDGE}\?[^{SEP}]+", "v"),
+            (rf"{_EDGE}_:[^{SEP}]*", "b"),
+            (rf"{_EDGE}(?:[0-9][^{SEP}]*|[+.\-][^{SEP}]+|true|false)(?={SEP})", "n"),
+            (rf"{_EDGE}[^{SEP}]*:[^{SEP}]*", "x")):
+        joined = F.regexp_replace(joined, pattern, cls)
+    return F.trim(F.replace(joined, F.lit(SEP), F.lit(" ")))
 
 
-def normal_text(tokens: Column) -> Column:
-    return F.array_join(tokens, " ")
+def normal_text(joined: Column) -> Column:
+    return F.replace(F.substr(joined, F.lit(2), F.length(joined) - 2), F.lit(SEP), F.lit(" "))
 
 
 def normalise_query(text: Column) -> Column:
-    return normal_text(canonical_tokens(text))
+    return normal_text(canonical(text))
+
+
+def token_class(t: Column) -> Column:
+    """Class of one raw token, for token tables."""
+    return (F.when(t.rlike(r"^<[^\s]*>$"), "iri")
+            .when(t.rlike(r"(?s)^[\x22\x27]."), "literal")
+            .when(t.rlike(r"^[?$]."), "variable")
+            .when(t.startswith("_:"), "blank")
+            .when(t.rlike(r"^[+-]?\.?[0-9]"), "number")
+            .when(_is_prefixed(t), "prefixed")
+            .when(t.rlike(r"^[A-Za-z_]"), "word")
+            .otherwise("sign"))
 
 
 def query_form(text: Column) -> Column:

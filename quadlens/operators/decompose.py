@@ -22,9 +22,9 @@ STRAY_SIGNS = ('"', "'", "\\", "`", "x", "@")
 
 def tokenised(queries: DataFrame, text: str = "query_text") -> DataFrame:
     """Add ``tokens`` (canonical), ``skeleton`` and its key ``shape``."""
-    return (queries.withColumn("tokens", X.canonical_tokens(F.col(text)))
-            .withColumn("skeleton", X.skeleton(F.col("tokens")))
-            .withColumn("shape", F.md5("skeleton")))
+    rows = queries.withColumn("joined", X.canonical(F.col(text)))
+    return rows.select(*queries.columns, X.split_tokens(F.col("joined")).alias("tokens"),
+                       X.skeleton(F.col("joined")).alias("skeleton")).withColumn("shape", F.md5("skeleton"))
 
 
 def _is_clause(t: Column) -> Column:
@@ -35,7 +35,7 @@ def _change(up: Column, down: Column) -> Column:
     return F.when(up, 1).when(down, -1).otherwise(0)
 
 
-def shape_tokens(tokens: DataFrame) -> DataFrame:
+def shape_tokens(queries: DataFrame, text: str = "query_text") -> DataFrame:
     """One row per token of every distinct skeleton, with its place in the query.
 
     pd / bd / sd are paren, brace and bracket depth; stmt numbers statements and ``head`` is the clause word that
@@ -48,7 +48,9 @@ def shape_tokens(tokens: DataFrame) -> DataFrame:
     before = seq.rowsBetween(W.unboundedPreceding, -1)
     t = c("t")
 
-    # the only exchange of the analysis: every window below starts with the shape key
+    # Repeated texts go first (map-side), then repeated skeletons. The exchange on the shape key is the last one of the
+    # analysis: every window below starts with that key.
+    tokens = tokenised(queries.select(text).distinct(), text)
     shapes = tokens.groupBy("shape").agg(F.first("skeleton").alias("skeleton"))
     rows = shapes.select("shape", F.posexplode(F.split("skeleton", " ")).alias("pos", "t"))
 
@@ -128,51 +130,60 @@ def shape_tokens(tokens: DataFrame) -> DataFrame:
         "*", F.sum(F.when(c("is_term"), 1).otherwise(0)).over(in_segment).alias("rank"),
         F.when((c("frame") < 0) & (c("seg") == 0), 2).otherwise(1).alias("base"),
         F.max("path_sign").over(segment).alias("is_path"))
-    rows = rows.withColumn(
-        "pred", F.max(F.when(c("is_term") & (c("rank") == c("base")), c("idx"))).over(segment))
+    checked = W.partitionBy("shape")
+    plain = c("head").isNull() & (c("hidden") == 0) & at_top
+    rows = rows.select(
+        "*", F.max(F.when(c("is_term") & (c("rank") == c("base")), c("idx"))).over(segment).alias("pred"),
+        F.max("rank").over(segment).alias("terms"), F.max(c("is_term") & (t == "]")).over(segment).alias("anon"),
+        F.sum(F.when(plain & (t == ","), 1).otherwise(0)).over(segment).alias("commas"))
+    # well-formed: a known form, balanced nesting, no stray signs or words, and complete triple statements
+    complete = (c("is_path") | (c("terms") - c("base") == c("commas") + 1)
+                | ((c("commas") == 0) & ((c("terms") == 0) | ((c("terms") == 1) & c("anon") & (c("base") == 2)))))
+    stray = t.isin(*STRAY_SIGNS) | (plain & t.rlike("^[A-Z_]{2,}$"))
+    end = F.max_by(F.abs("pd") + F.abs("bd") + F.abs("sd"), "pos").over(checked)
+    form = F.max(F.when(c("pos") == 0, t)).over(checked)
+    rows = rows.withColumn("is_ok", (
+        F.min(complete & ~stray & (F.least("pd", "bd", "sd") >= 0)).over(checked) & (end == 0)
+        & form.isin(*vocab.QUERY_FORMS) & (F.max(t == "{").over(checked) | (form == "DESCRIBE"))))
     ctx = (F.when(c("in_service") > 0, "service").when(c("in_minus") > 0, "minus").when(c("in_sub") > 0, "subselect")
            .when(c("in_graph") > 0, "graph").when(c("in_opt") > 0, "optional").when(c("in_alt") > 0, "union")
            .otherwise("required"))
     return rows.select(
         "shape", "pos", "t", "prev", "next", "pd", "bd", "sd", "block", "kind", "hidden", "stmt", "head", "frame",
-        "idx", "is_term", "path_sign", "is_path", "seg", "rank", "base", "subj", "pred", "brk", ctx.alias("ctx"),
+        "idx", "is_term", "path_sign", "is_path", "is_ok", "seg", "rank", "base", "subj", "pred", "brk", ctx.alias("ctx"),
         F.when(c("in_alt") > 0, c("alt_open")).alias("branch"))
 
 
 def shape_triples(annotated: DataFrame) -> DataFrame:
-    """Positions of the triple patterns of each skeleton: shape, bgp_id, pos, s_at, p_at, o_at, ctx, branch."""
+    """Positions of the triple patterns of each well-formed skeleton: shape, bgp_id, pos, s_at, p_at, o_at, ctx, branch."""
     c = F.col
-    found = annotated.filter(c("is_term") & (c("rank") > c("base")) & ~c("is_path"))
+    found = annotated.filter(c("is_ok") & c("is_term") & (c("rank") > c("base")) & ~c("is_path"))
     return found.select(
         "shape", (F.dense_rank().over(W.partitionBy("shape").orderBy("brk")) - 1).cast("bigint").alias("bgp_id"),
         (F.row_number().over(W.partitionBy("shape").orderBy("idx")) - 1).cast("bigint").alias("pos"),
         c("subj").alias("s_at"), c("pred").alias("p_at"), c("idx").alias("o_at"), "ctx", "branch")
 
 
+# clauses whose meaning an existence test over plain patterns does not cover
+UNCOVERED = ("FILTER", "MINUS", "SERVICE", "GRAPH", "VALUES", "HAVING", "OFFSET", "EXISTS")
+
+
 def shape_checks(annotated: DataFrame) -> DataFrame:
-    """shape -> is_ok: known form, balanced nesting, no stray signs, and complete triple statements."""
+    """shape, is_ok, n, covered, one_row: facts about each skeleton.
+
+    n counts triple patterns; covered says that an existence test over plain patterns, optional parts and at most one
+    union decides whether the query has an answer; one_row marks aggregates that always have one.
+    """
     c = F.col
     t = c("t")
-    terms = F.sum(F.when(c("is_term"), 1).otherwise(0))
-    commas = F.sum(F.when((t == ",") & c("head").isNull() & (c("hidden") == 0) & (c("pd") == 0), 1).otherwise(0))
-    order = F.max(F.struct("pos", "pd", "bd", "sd"))
-    segments = annotated.groupBy("shape", "stmt", "frame", "seg").agg(
-        terms.alias("terms"), commas.alias("commas"), F.max("is_path").alias("path"), F.max("base").alias("base"),
-        F.max(F.when(c("is_term"), t == "]")).alias("anon"), order.alias("last"),
-        F.least(F.min("pd"), F.min("bd"), F.min("sd")).alias("lowest"),
-        F.max(t.isin(*STRAY_SIGNS)
-              | (c("head").isNull() & (c("hidden") == 0) & (c("pd") == 0) & t.rlike("^[A-Z_]{2,}$"))).alias("stray"),
-        F.max(F.when(t == "{", 1).otherwise(0)).alias("group"),
-        F.max(F.when(c("pos") == 0, t)).alias("form"))
-    complete = (c("path") | (c("terms") - c("base") == c("commas") + 1)
-                | ((c("commas") == 0) & ((c("terms") == 0) | ((c("terms") == 1) & c("anon") & (c("base") == 2)))))
-    shape = segments.groupBy("shape").agg(
-        F.min(complete).alias("complete"), F.max("last").alias("last"), F.min("lowest").alias("lowest"),
-        F.max("stray").alias("stray"), F.max("group").alias("group"), F.max("form").alias("form"))
-    return shape.select("shape", (
-        c("complete") & (c("lowest") >= 0) & (c("last.pd") == 0) & (c("last.bd") == 0) & (c("last.sd") == 0)
-        & ~c("stray") & F.coalesce(c("form").isin(*vocab.QUERY_FORMS), F.lit(False))
-        & ((c("group") == 1) | (c("form") == "DESCRIBE"))).alias("is_ok"))
+    triple = c("is_ok") & c("is_term") & (c("rank") > c("base")) & ~c("is_path")
+    uncovered = (t.isin(*UNCOVERED) | c("path_sign") | ((t == "SELECT") & (c("bd") > 0))
+                 | c("ctx").isin("minus", "service", "graph", "subselect"))
+    unions = F.count(F.when(t == "UNION", 1))
+    return annotated.groupBy("shape").agg(
+        F.first("is_ok").alias("is_ok"), F.count(F.when(triple, 1)).alias("n"),
+        (~F.max(uncovered) & ((unions == 0) | (F.count_distinct("branch") == unions + 1))).alias("covered"),
+        (F.max((c("head") == "SELECT") & t.isin(*vocab.AGGREGATES)) & ~F.max(t == "GROUP")).alias("one_row"))
 
 
 def at(position: Column, tokens: Column | None = None) -> Column:
@@ -203,18 +214,16 @@ def token_rows(queries: DataFrame) -> DataFrame:
 
 
 def _terms(rows: DataFrame, keep: list[str]) -> DataFrame:
-    for role in ("s", "p", "o"):
-        rows = rows.withColumn(role, X.term_struct(at(F.col(f"{role}_at"))))
-    return rows.select(*keep, "bgp_id", "pos", "s", "p", "o", "ctx", "branch", "s_at", "p_at", "o_at")
+    places = ["ctx", "branch", "s_at", "p_at", "o_at"]
+    picked = rows.select(*keep, "bgp_id", "pos", *[at(F.col(f"{r}_at")).alias(r) for r in ("s", "p", "o")], *places)
+    return picked.select(*keep, "bgp_id", "pos", *[X.term_struct(F.col(r)).alias(r) for r in ("s", "p", "o")], *places)
 
 
 def triple_patterns(queries: DataFrame, key: str = "qid", text: str = "query_text",
                     carry: tuple[str, ...] = ()) -> DataFrame:
     """Every triple pattern of every well-formed query: key, bgp_id, pos, s, p, o (term structs), ctx, branch."""
     tok = tokenised(queries, text)
-    annotated = shape_tokens(tok)
-    found = shape_triples(annotated).join(shape_checks(annotated).filter("is_ok").select("shape"), "shape", "left_semi")
-    return _terms(per_query(tok, found, [key, *carry]), [key, *carry])
+    return _terms(per_query(tok, shape_triples(shape_tokens(queries, text)), [key, *carry]), [key, *carry])
 
 
 def flat_triples(triples: DataFrame) -> DataFrame:
@@ -227,13 +236,9 @@ def flat_triples(triples: DataFrame) -> DataFrame:
 
 def parse_or_keep(queries: DataFrame) -> DataFrame:
     """Every row with is_ok, and the number of its triple patterns (null when it is not well formed)."""
-    tok = tokenised(queries)
-    annotated = shape_tokens(tok)
-    counts = shape_triples(annotated).groupBy("shape").agg(F.count("*").alias("n"))
-    checks = shape_checks(annotated).join(counts, "shape", "left")
-    return tok.join(checks, "shape", "left").select(
+    return tokenised(queries).join(shape_checks(shape_tokens(queries)), "shape", "left").select(
         *queries.columns, F.coalesce("is_ok", F.lit(False)).alias("is_ok"),
-        F.when(F.col("is_ok"), F.coalesce("n", F.lit(0))).cast("bigint").alias("n_triples"))
+        F.when(F.col("is_ok"), F.col("n")).alias("n_triples"))
 
 
 def parse_failures(checked: DataFrame) -> DataFrame:
@@ -248,10 +253,7 @@ def triple_count(checked: DataFrame, key: str = "qid") -> DataFrame:
 
 def _clauses(queries: DataFrame, rows, keep: list[str] | None = None) -> DataFrame:
     """Rows of well-formed queries: ``rows`` maps annotated skeleton tokens to the wanted positions."""
-    tok = tokenised(queries)
-    annotated = shape_tokens(tok)
-    good = shape_checks(annotated).filter("is_ok").select("shape")
-    return per_query(tok, rows(annotated).join(good, "shape", "left_semi"), keep or ["qid"])
+    return per_query(tokenised(queries), rows(shape_tokens(queries).filter("is_ok")), keep or ["qid"])
 
 
 def iri_mentions(queries: DataFrame) -> DataFrame:
@@ -365,10 +367,8 @@ def statement_rows(triples: DataFrame, key: str = "qid") -> DataFrame:
 
 
 def _per_text(queries: DataFrame, per_shape, columns: list[str]) -> DataFrame:
-    tok = tokenised(queries).select("qid", "shape", "skeleton")
-    annotated = shape_tokens(tok)
-    good = shape_checks(annotated).filter("is_ok").select("shape")
-    return tok.join(per_shape(annotated).join(good, "shape", "left_semi"), "shape").select("qid", *columns)
+    tok = tokenised(queries).select("qid", "shape")
+    return tok.join(per_shape(shape_tokens(queries).filter("is_ok")), "shape").select("qid", *columns)
 
 
 def modifier_profile(queries: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "quadlens") -> SparkSession:
@@ -36,3 +37,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one run below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/quadlens-{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to shared storage and read it back.
+
+    Later steps then neither repeat the work nor depend on the executors that did it, and the planner knows its size.
+    """
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
