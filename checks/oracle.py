@@ -189,8 +189,9 @@ labelled AS (SELECT p, stype, otype, scount, ocount, a.label AS slabel, b.label
 BY_LENGTH = """stats AS (SELECT pattern, min(n_triples) AS n_triples, sum(freq) AS freq,
   min(CASE WHEN valid THEN uq_id END) AS uq_id, min(tmpl) AS tmpl FROM u JOIN valid USING (uq_id)
   WHERE n_triples BETWEEN 1 AND 25 GROUP BY pattern),
-pscore AS (SELECT u.pattern, min(p_uri) AS uris, min(n) * 3 - min(p_uri) AS vars FROM (
-  SELECT uq_id, count(*) AS n, sum((p_kind = 'uri')::int + (p = 'RDFTYPE' AND o_kind = 'uri')::int) AS p_uri FROM t
+pscore AS (SELECT u.pattern, min(p_uri) AS uris, min(n) * 3 - min(p_uri) - min(anon) AS vars FROM (
+  SELECT uq_id, count(*) AS n, sum((s LIKE 'anon%' AND s_kind = 'blank')::int + (o LIKE 'anon%' AND o_kind = 'blank')::int)
+    AS anon, sum((p_kind = 'uri')::int + (p = 'RDFTYPE' AND o_kind = 'uri')::int) AS p_uri FROM t
   GROUP BY uq_id) c JOIN u USING (uq_id) GROUP BY u.pattern),
 by_length AS (SELECT n_triples, rank, stats.pattern, uq_id, freq, rank = 1 AS emitted, round(uris / vars, 6) AS score
   FROM (SELECT *, row_number() OVER (PARTITION BY n_triples ORDER BY freq DESC, pattern) AS rank FROM stats
@@ -230,7 +231,7 @@ selected AS (SELECT 'frequency' AS func, uq_id FROM pick_top UNION ALL SELECT 'r
 zsel AS (SELECT func, uq_id, score, n_triples, round((score - avg(score) OVER w)
   / nullif(round(stddev_pop(score) OVER w, 12), 0), 6) AS z
   FROM selected LEFT JOIN score USING (uq_id) LEFT JOIN u USING (uq_id) WINDOW w AS (PARTITION BY func)),
-sel_stats AS (SELECT func, count(*) AS n, round(avg(score), 6) AS mean_score, round(sum(coalesce(z, 0.0)), 3) AS z_sum,
+sel_stats AS (SELECT func, count(*) AS n, round(avg(score), 6) AS mean_score, round(sum(coalesce(z, 0.0)), 3) + 0.0 AS z_sum,
   count(DISTINCT n_triples) AS n_lengths, count(*) <> 50 AS short FROM zsel GROUP BY func),
 cover AS (SELECT func, round(n_lengths / nullif((SELECT count(DISTINCT n_triples) FROM by_length WHERE emitted), 0), 6)
   AS coverage FROM sel_stats)"""

@@ -24,7 +24,7 @@ from quadlens.plans.collectors import collect
 from quadlens.sources import graph as graph_io
 from quadlens.sources import logs as log_io
 from quadlens.sources import reports as report_io
-from quadlens.session import work_folder
+from quadlens.session import cut, work_folder
 from quadlens.streaming import logs as J
 
 DOMAIN = "bio.example.org"
@@ -35,27 +35,30 @@ TYPE, LABEL = f"<{RDF_TYPE}>", f"<{RDFS_LABEL}>"
 
 
 class Workload(Fixture):
-    """Fixture tables plus the intermediate tables several queries share, kept while the session lives."""
+    """Fixture tables plus the intermediate tables several queries share.
+
+    Shared tables are written once to the shared checkpoint folder, so later queries start from a scan.
+    """
 
     @cached_property
     def unique(self) -> DataFrame:
-        return P.unique_queries(self.query_log).persist()
+        return cut(P.unique_queries(self.query_log), "unique")
 
     @cached_property
     def triples(self) -> DataFrame:
-        return P.unique_triples(self.unique).persist()
+        return cut(P.unique_triples(self.unique), "triples")
 
     @cached_property
     def patterns(self) -> DataFrame:
-        return P.generalise(self.unique).persist()
+        return cut(P.generalise(self.unique), "patterns")
 
     @cached_property
     def valid(self) -> DataFrame:
-        return L.validity(self.unique, self.triples, self.quads).persist()
+        return cut(L.validity(self.unique, self.triples, self.quads), "valid")
 
     @cached_property
     def answers(self) -> DataFrame:
-        return L.bindings(self.unique, self.triples, self.quads).persist()
+        return cut(L.bindings(self.unique, self.triples, self.quads), "answers")
 
     @cached_property
     def keyed(self) -> DataFrame:
@@ -77,19 +80,19 @@ class Workload(Fixture):
     def ranked(self) -> DataFrame:
         return D.top_labelled(self.entities, L.labels(self.quads), 10)
 
-    @property
+    @cached_property
     def structures(self) -> DataFrame:
-        return G.structures(G.bgp_edges(self.triples))
+        return cut(G.structures(G.bgp_edges(self.triples)), "structures")
 
-    @property
+    @cached_property
     def by_length(self) -> DataFrame:
-        return E.select_by_length(self.patterns, self.valid, 10, 1, 25)
+        return cut(E.select_by_length(self.patterns, self.valid, 10, 1, 25), "by_length")
 
-    @property
+    @cached_property
     def index(self) -> DataFrame:
-        return L.iri_query_index(self.triples, self.valid, self.ranked)
+        return cut(L.iri_query_index(self.triples, self.valid, self.ranked), "index")
 
-    @property
+    @cached_property
     def selected(self) -> DataFrame:
         picks = {"frequency": E.select_top_valid(self.unique, self.valid, 50),
                  "random": E.select_random_valid(self.unique, self.valid, 50, 7),
@@ -99,12 +102,12 @@ class Workload(Fixture):
         for name, rows in picks.items():
             rows = rows.select(F.lit(name).alias("func"), "uq_id")
             out = rows if out is None else out.unionByName(rows)
-        return out
+        return cut(out, "selected")  # at most 200 rows
 
-    @property
+    @cached_property
     def statistics(self) -> DataFrame:
-        return E.selection_statistics(self.selected, E.informativeness(self.triples),
-                                      self.patterns.select("uq_id", "n_triples"))
+        return cut(E.selection_statistics(self.selected, E.informativeness(self.triples),
+                                      self.patterns.select("uq_id", "n_triples")), "statistics")
 
     @property
     def coverage(self) -> DataFrame:
@@ -135,10 +138,6 @@ def workload(spark: SparkSession, sf_dir: str) -> Workload:
 
 
 def forget() -> None:
-    for w in _loaded.values():
-        for name in ("unique", "triples", "patterns", "valid", "answers"):
-            if name in w.__dict__:
-                w.__dict__[name].unpersist()
     _loaded.clear()
 
 

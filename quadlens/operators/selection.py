@@ -102,7 +102,7 @@ def selection_statistics(selected: DataFrame, scores: DataFrame, counts: DataFra
     rows = z_scores(rows, "score", "func")
     return rows.groupBy("func").agg(
         F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"),
-        F.round(F.sum(F.coalesce("z", F.lit(0.0))), 3).alias("z_sum"),
+        (F.round(F.sum(F.coalesce("z", F.lit(0.0))), 3) + F.lit(0.0)).alias("z_sum"),
         F.count_distinct("n_triples").alias("n_lengths"), (F.count("*") != expected).alias("short"))
 
 
