@@ -363,7 +363,8 @@ QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
                                    lambda spark, out: spark.read.parquet(out)),
     "j2_stream_term_counts": _stream(lambda s, out, st: J.stream_term_counts(s, out, st, SPAM),
                                      lambda spark, out: J.latest_counts(spark, out, ["norm_text"])),
-    "j3_windowed_counts": _stream(J.windowed_counts, lambda spark, out: J.latest_counts(spark, out, ["start", "domain"])),
+    "j3_windowed_counts": _stream(J.windowed_counts, lambda spark, out: J.latest_counts(
+        spark, out, ["start", "domain"]).withColumn("start", F.col("start").cast("timestamp_ntz"))),
 }
 
 

@@ -45,5 +45,5 @@ def stream_term_counts(http_log: DataFrame, out: str, state: str, words: tuple[s
 
 def windowed_counts(http_log: DataFrame, out: str, state: str, width: str = "1 hour", late: str = "1 hour") -> StreamingQuery:
     """Requests per window and domain; a window is final once the watermark has passed it."""
-    stream = http_log.withWatermark("ts", late).select(F.window("ts", width).start.alias("start"), "domain")
+    stream = http_log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select(F.window("ts", width).start.alias("start"), "domain")
     return stream_counts(stream, ["start", "domain"], out, state)
