@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quadlens import vocab
 from quadlens.functions import text as X
 from quadlens.operators import matching as M
+from quadlens.session import cut
 
 
 def labels(quads: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -53,7 +54,7 @@ def validity(unique: DataFrame, triples: DataFrame, quads: DataFrame) -> DataFra
     """uq_id, valid: does the query have an answer in the graph; null where plain patterns cannot decide it."""
     covered = unique.select("uq_id", "covered", "one_row")
     units = match_units(triples.join(covered.filter("covered and not one_row"), "uq_id", "left_semi"))
-    ordered = M.ordered_patterns(units.drop("uq_id"))
+    ordered = cut(M.ordered_patterns(units.drop("uq_id")), "ordered")
     matched = M.match_all(ordered, M.keyed_quads(quads))
     owner = units.select("unit", "uq_id").distinct()
     found = ordered.select("unit", "bgp").join(matched, "bgp", "left").join(owner, "unit")
@@ -80,7 +81,7 @@ def bindings(unique: DataFrame, triples: DataFrame, quads: DataFrame) -> DataFra
     covered = unique.filter("covered").select("uq_id").join(
         triples.filter("ctx = 'union'").select("uq_id"), "uq_id", "left_anti")
     units = match_units(triples.join(covered, "uq_id", "left_semi")).withColumn("unit", F.col("uq_id"))
-    ordered = M.ordered_patterns(units.drop("uq_id"))
+    ordered = cut(M.ordered_patterns(units.drop("uq_id")), "ordered")
     found = ordered.join(M.match_all(ordered, M.keyed_quads(quads), keep_bindings=True), "bgp")
     named = F.transform("vals", lambda v: F.struct(
         F.get(F.col("names"), F.substr(v["var"], F.lit(2)).cast("int") - 1).alias("var"), v["val"].alias("val")))

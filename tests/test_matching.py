@@ -25,7 +25,7 @@ def test_validity_and_bindings_equal_brute_force(spark):
         [(s[1:-1], p[1:-1], o[1:-1], "uri", None, None, "g") for s, p, o in sorted(graph)],
         "s string, p string, o string, o_kind string, datatype string, lang string, g string")
     queries = []
-    for i in range(60):
+    for i in range(24):
         names = ["?a", "?b", "?c"]
         ts = [(rng.choice(names + nodes[:1]), rng.choice(preds), rng.choice(names + nodes[:2])) for _ in range(rng.randint(1, 3))]
         queries.append((i, ts))
