@@ -6,6 +6,7 @@ and read back, so later steps and restarted runs do not repeat the text work.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def run_pattern_ranking(queries: DataFrame, quads: DataFrame, out: str, n: int =
     cache = f"{out}/validity"
     try:
         known = cut(report_io.load_validity(spark, cache), "validity")
-    except Exception:  # first run: no cache yet
+    except AnalysisException:  # first run: no cache yet
         known = spark.createDataFrame([], "uq_id bigint, valid boolean")
     todo = unique.join(known, "uq_id", "left_anti")
     report_io.append_validity(L.validity(todo, triples.join(todo, "uq_id", "left_semi"), quads), cache)
