@@ -40,6 +40,18 @@ def parts_of(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[DataFrame, float]:
+    """Rows of docs for at most `rows` labelled ids of each class, by the order of a hash, with `label`; the share of label 1.
+
+    Ids with several labels count with the smallest, null ids and labels don't count. Only the sampled ids are broadcast.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    picked = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for v in (0, 1)]
+    ids = picked[0].unionByName(picked[1])
+    return docs.join(F.broadcast(ids), "doc_id"), counts.get(1, 0) / max(1, sum(counts.values()))
+
+
 def pieces(batches: Iterable[pd.DataFrame], text: str = "text", limit: int = PIECE_CHARS) -> Iterator[pd.DataFrame]:
     """Consecutive rows of at most `limit` characters, or one longer row; null texts become empty."""
     for batch in batches:

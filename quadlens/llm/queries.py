@@ -5,16 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quadlens.llm import bpe_trie
-from quadlens.llm.common import read
+from quadlens.llm import bpe_trie, nbsvm, shard_tree, toxicity
+from quadlens.llm.common import read, remainder
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(remainder("doc_id", 3) != 1))
+    scored = toxicity.score(docs, model, ("doc_id", "lang"))
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.PREDICT_AT).cast("int").alias("predicted"), "threshold")
+
+
+def op5_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_tree.place(read(spark, sf_dir, "documents"))
 
 
 def op6_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(bpe_trie.encode_decode(read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_bpe_trie,)}
+def op7_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    scored = nbsvm.score(docs, nbsvm.fit(docs, labels.where(remainder("doc_id", 5) != 0)))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= nbsvm.PREDICT_AT).cast("int").alias("predicted"))
+
+
+OPERATORS = (op4_toxicity, op5_shard_tree, op6_bpe_trie, op7_nbsvm)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 #: DuckDB SQL where it can express the operator; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
