@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlens.llm import bpe_trie, nbsvm, shard_tree, toxicity
+from quadlens.llm import bpe_trie, nbsvm, shard_tree, size_aware_join, toxicity
 from quadlens.llm.common import read, remainder
 
 
@@ -34,7 +34,11 @@ def op7_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= nbsvm.PREDICT_AT).cast("int").alias("predicted"))
 
 
-OPERATORS = (op4_toxicity, op5_shard_tree, op6_bpe_trie, op7_nbsvm)
+def op8_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return size_aware_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op4_toxicity, op5_shard_tree, op6_bpe_trie, op7_nbsvm, op8_size_aware_join)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 #: DuckDB SQL where it can express the operator; the others are tested against brute force in tests/llm.
