@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlens.llm import bpe_trie, nbsvm, shard_tree, size_aware_join, tiling, toxicity
+from quadlens.llm import bpe_trie, embed_forest, nbsvm, shard_tree, size_aware_join, tiling, toxicity
 from quadlens.llm.common import read, remainder
 
 
+def op1_embed_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_forest.near_copies(read(spark, sf_dir, "embeddings"))
+
+
 def op3_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -42,7 +46,7 @@ def op8_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return size_aware_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op3_tiling, op4_toxicity, op5_shard_tree, op6_bpe_trie, op7_nbsvm, op8_size_aware_join)
+OPERATORS = (op1_embed_forest, op3_tiling, op4_toxicity, op5_shard_tree, op6_bpe_trie, op7_nbsvm, op8_size_aware_join)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 #: DuckDB SQL where it can express the operator; the others are tested against brute force in tests/llm.
