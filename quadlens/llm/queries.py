@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlens.llm import bpe_trie, embed_forest, nbsvm, shard_tree, size_aware_join, tiling, toxicity
+from quadlens.llm import bpe_trie, embed_forest, nbsvm, pii_boost, shard_tree, size_aware_join, tiling, toxicity
 from quadlens.llm.common import read, remainder
 
 
@@ -46,7 +46,12 @@ def op8_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return size_aware_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_embed_forest, op3_tiling, op4_toxicity, op5_shard_tree, op6_bpe_trie, op7_nbsvm, op8_size_aware_join)
+def op9_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii_boost.report(docs, pii_boost.fit(docs))
+
+
+OPERATORS = (op1_embed_forest, op3_tiling, op4_toxicity, op5_shard_tree, op6_bpe_trie, op7_nbsvm, op8_size_aware_join, op9_pii_boost)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 #: DuckDB SQL where it can express the operator; the others are tested against brute force in tests/llm.
