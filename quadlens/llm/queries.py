@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlens.llm import bpe_trie, embed_forest, nbsvm, pii_boost, shard_tree, size_aware_join, tiling, toxicity
+from quadlens.llm import bpe_trie, embed_forest, kneser_ney, nbsvm, pii_boost, shard_tree, size_aware_join, tiling, toxicity
 from quadlens.llm.common import read, remainder
 
 
@@ -15,6 +15,10 @@ def op1_embed_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_forest.near_copies(read(spark, sf_dir, "embeddings"))
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score(read(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
+
+
 def op3_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -51,7 +55,7 @@ def op9_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_boost.report(docs, pii_boost.fit(docs))
 
 
-OPERATORS = (op1_embed_forest, op3_tiling, op4_toxicity, op5_shard_tree, op6_bpe_trie, op7_nbsvm, op8_size_aware_join, op9_pii_boost)
+OPERATORS = (op1_embed_forest, op2_kneser_ney, op3_tiling, op4_toxicity, op5_shard_tree, op6_bpe_trie, op7_nbsvm, op8_size_aware_join, op9_pii_boost)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 #: DuckDB SQL where it can express the operator; the others are tested against brute force in tests/llm.
