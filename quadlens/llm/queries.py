@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlens.llm import bpe_trie, embed_forest, kneser_ney, nbsvm, pii_boost, shard_tree, size_aware_join, tiling, toxicity
+from quadlens.llm import bpe_trie, embed_forest, kneser_ney, licences, nbsvm, pii_boost, shard_tree, size_aware_join, tiling, toxicity
 from quadlens.llm.common import read, remainder
 
 
@@ -55,7 +55,15 @@ def op9_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_boost.report(docs, pii_boost.fit(docs))
 
 
-OPERATORS = (op1_embed_forest, op2_kneser_ney, op3_tiling, op4_toxicity, op5_shard_tree, op6_bpe_trie, op7_nbsvm, op8_size_aware_join, op9_pii_boost)
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    # documents have no path of their own: their source and language are the directories
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licences.licensed(docs.select("doc_id", F.when(F.col("source").isNotNull(), path).alias("path"), "text"))
+
+
+OPERATORS = (op1_embed_forest, op2_kneser_ney, op3_tiling, op4_toxicity, op5_shard_tree, op6_bpe_trie, op7_nbsvm, op8_size_aware_join, op9_pii_boost,
+             op10_licences)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 #: DuckDB SQL where it can express the operator; the others are tested against brute force in tests/llm.
