@@ -15,12 +15,12 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadlens.llm.common import only, pieces
+from quadlens.llm.common import map_texts
 
 # fixed values: the blanks and the word pattern of byte-level BPE
 BLANK = r"\t-\r \x85\xa0  -     　"
@@ -205,18 +205,15 @@ def encode_decode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     """
     path = vocabulary or default_vocabulary()
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list[str]) -> tuple[list, None]:
         trie = trie_of(path)
-        for piece in pieces(batches, "t"):
-            # the words of a piece share one walk of the trie; a text too long to hold goes part by part
-            held = [list(trie.parts(t)) if len(t) <= HELD_CHARS else None for t in piece["t"]]
-            trie.learn({w for parts in held if parts for part in parts if not isinstance(part, int) for w in part})
-            both = [trie.encode_decode(trie.parts(t) if parts is None else parts) for t, parts in zip(piece["t"], held)]
-            yield pd.DataFrame({"k": piece["k"], "ids": [x for x, _ in both], "decoded": [y for _, y in both]})
-
-    kind = df.schema[key].dataType.simpleString()
-    rows = only(df, key, text).toDF("k", "t").mapInPandas(run, f"k {kind}, ids binary, decoded string")
-    return rows.withColumnRenamed("k", key)
+        # the words of a piece share one walk of the trie; a text too long to hold goes part by part
+        held = [list(trie.parts(t)) if len(t) <= HELD_CHARS else None for t in texts]
+        trie.learn({w for parts in held if parts for part in parts if not isinstance(part, int) for w in part})
+        both = [trie.encode_decode(trie.parts(t) if parts is None else parts) for t, parts in zip(texts, held)]
+        return [[x for x, _ in both], [y for _, y in both]], None
+
+    return map_texts(df, [key], text, [("ids", "binary", pa.binary()), ("decoded", "string", pa.string())], work)
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:

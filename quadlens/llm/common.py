@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,54 @@ def pieces(batches: Iterable[pd.DataFrame], text: str = "text", limit: int = PIE
             start = stop
 
 
+def arrow_pieces(batch: pa.RecordBatch, texts: list[str], limit: int = PIECE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Consecutive rows with at most `limit` characters of text, or one row with more."""
+    ends = np.cumsum([len(t) for t in texts])
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
+        yield batch.slice(start, stop - start), texts[start:stop]
+        start = stop
+
+
+def map_texts(df: DataFrame, keep: list[str], text: str, added: list[tuple[str, str, pa.DataType]],
+              work: Callable[[list[str]], tuple[list, np.ndarray | None]], limit: int = PIECE_CHARS) -> DataFrame:
+    """The columns `keep`, as they are, with columns made from whole texts.
+
+    work: from the texts of a piece to the added columns, and the row that each of their entries belongs to (None: all rows
+    in order). A null text counts as empty. Kept values stay in Arrow, so whole numbers stay exact beside nulls.
+    added: name, Spark type and Arrow type.
+    """
+    rows = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`"))
+    names = [*keep, *(n for n, _, _ in added)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+            for part, own in arrow_pieces(batch, texts, limit):
+                columns, owner = work(own)
+                kept = [part.column(i) for i in range(len(keep))]
+                if owner is not None:
+                    kept = [c.take(pa.array(owner, pa.int64())) for c in kept]
+                yield pa.RecordBatch.from_arrays([*kept, *(c if isinstance(c, pa.Array) else pa.array(c, kind)
+                                                           for c, (_, _, kind) in zip(columns, added))], names=names)
+
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"`{n}` {kind}" for n, kind, _ in added])
+    return rows.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, text: str, work: Callable[[list[str], pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of df, all columns as they are, for which `work` says so; null texts count as empty."""
+    place = df.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, own in arrow_pieces(batch, [t or "" for t in batch.column(place).to_pylist()]):
+                yield part.filter(pa.array(np.asarray(work(own, part), bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def words(text: str) -> list[bytes]:
     """Words of a text, A-Z in lower case: what lies between blanks x20 and x09 to x0D."""
     return text.encode("utf-8", "surrogatepass").lower().split()

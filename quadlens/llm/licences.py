@@ -12,10 +12,11 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlens.llm.common import only, pieces, words
+from quadlens.llm.common import map_texts, only, pieces, words
 
 # fixed values: what the licences' usual notices say
 TEMPLATES = {
@@ -114,13 +115,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """docs: doc_id, path, text. Returns doc_id, path, licence (null: none), cosine, share for every whole text."""
     matcher = docs.sparkSession.sparkContext.broadcast(Matcher(*document_counts(docs)))  # as large as the templates
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for piece in pieces(batches):
-            found = [matcher.value.scan(t) for t in piece["text"]]
-            yield piece[["doc_id", "path"]].assign(licence=[f[0] for f in found], cosine=[f[1] for f in found], share=[f[2] for f in found])
+    def work(texts: list[str]) -> tuple[list, None]:
+        return list(zip(*(matcher.value.scan(t) for t in texts))), None
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "path", "text").mapInPandas(run, f"doc_id {kind}, path string, licence string, cosine double, share double")
+    return map_texts(docs, ["doc_id", "path"], "text", [("licence", "string", pa.string()), ("cosine", "double", pa.float64()),
+                                                        ("share", "double", pa.float64())], work)
 
 
 def licensed(docs: DataFrame) -> DataFrame:

@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quadlens.llm.common import labelled_sample, mix, only, pieces, word_hashes, words
+from quadlens.llm.common import labelled_sample, map_texts, mix, only, pieces, word_hashes, words
 
 BITS = 18
 #: Most labelled rows of each class, and most distinct features of one of their texts, that fitting takes.
@@ -143,11 +143,5 @@ def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and score (0 to 1) for every whole text; null and empty texts get the score of no words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size, whatever the corpus
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for piece in pieces(batches, "_text"):
-            yield piece.drop(columns="_text").assign(score=shared.value.scores(*features(piece["_text"])))
-
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
-    return rows.mapInPandas(run, f"{schema}, score double")
+    return map_texts(docs, list(keep), "text", [("score", "double", pa.float64())],
+                     lambda texts: ([shared.value.scores(*features(texts))], None))

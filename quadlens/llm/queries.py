@@ -28,7 +28,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels.where(remainder("doc_id", 3) != 1))
     scored = toxicity.score(docs, model, ("doc_id", "lang"))
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score",
-                         (F.col("score") >= toxicity.PREDICT_AT).cast("int").alias("predicted"), "threshold")
+                         (F.col("score") >= toxicity.PREDICT_AT).cast("int").alias("predicted"),
+                         toxicity.thresholds(model).alias("threshold"))
 
 
 def op5_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

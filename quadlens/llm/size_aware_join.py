@@ -19,12 +19,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlens.llm.common import grow, mix, only, parts_of, pieces, runs_of, shrink, word_hashes, words
+from quadlens.llm.common import grow, map_texts, mix, only, parts_of, pieces, runs_of, shrink, word_hashes, words
 from quadlens.llm.components import components
 from quadlens.session import cut
 
@@ -147,14 +148,14 @@ def possible(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, n, same, s): each text's set as an array of hashes; equal sets have equal `same`."""
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for piece in pieces(batches, "t"):
-            x, n = shingle_sets(piece["t"])
-            parts = np.split(x, np.cumsum(n)[:-1])
-            yield pd.DataFrame({"id": piece["k"], "n": n, "same": [xxhash.xxh3_128_digest(p.tobytes()) for p in parts],
-                                "s": [p.view(np.int64) for p in parts]})
-    rows = only(docs, key, text).toDF("k", "t").withColumn("k", F.col("k").cast("long"))
-    return rows.mapInPandas(run, "id long, n long, same binary, s array<long>")
+    def work(texts: list[str]) -> tuple[list, None]:
+        x, n = shingle_sets(texts)
+        ends = np.r_[0, np.cumsum(n)]
+        same = [xxhash.xxh3_128_digest(x[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+        return [n, same, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.view(np.int64)))], None
+
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    return map_texts(rows, ["id"], "t", [("n", "long", pa.int64()), ("same", "binary", pa.binary()), ("s", "array<long>", pa.list_(pa.int64()))], work)
 
 
 def boundary(ranked: DataFrame) -> int:

@@ -8,14 +8,15 @@ searched for. The tiles cover the item in any order, so a passage whose parts we
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quadlens.llm.common import mix, only, pieces, word_hashes, words
+from quadlens.llm.common import keep_rows, map_texts, mix, only, word_hashes, words
 
 LEAST = 5  # tokens of the shortest match
 FIRST = 24  # the length searched for first
@@ -181,17 +182,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED
     Repeated rows give repeated results; equal items each give their rows. Rows with a null id are compared as others.
     """
     spark, out = docs.sparkSession, None
-    kind, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    item = benchmark.schema["item_id"].dataType.simpleString()
     for block in blocks(benchmark, least):
         shared = spark.sparkContext.broadcast(block)  # bounded by BLOCK_CHARS
 
-        def run(batches: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for piece in pieces(batches):
-                rows = [(d, *hit) for d, t in zip(piece["doc_id"], piece["text"]) for hit in shared.value.found_in(t, covered)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "item_tokens", "covered_tokens", "tiles", "coverage"])
+        def work(texts: list[str], shared=shared) -> tuple[list, np.ndarray]:
+            hits = [(row, *hit) for row, t in enumerate(texts) for hit in shared.value.found_in(t, covered)]
+            return [[h[i] for h in hits] for i in range(1, 6)], np.array([h[0] for h in hits], np.int64)
 
-        part = only(docs, "doc_id", "text").mapInPandas(
-            run, f"doc_id {kind}, item_id {item}, item_tokens long, covered_tokens long, tiles long, coverage double")
+        part = map_texts(docs, ["doc_id"], "text", [("item_id", item, to_arrow_type(benchmark.schema["item_id"].dataType)), *(
+            (n, "long", pa.int64()) for n in ("item_tokens", "covered_tokens", "tiles")), ("coverage", "double", pa.float64())], work)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -201,9 +201,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, least
     for block in blocks(benchmark, least):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch[[not shared.value.found_in(t if isinstance(t, str) else "", covered) for t in batch["text"]]]
-
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = keep_rows(docs, "text", lambda texts, _, shared=shared: np.array([not shared.value.found_in(t, covered) for t in texts], bool))
     return docs
