@@ -14,22 +14,42 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlens.llm.common import only
+from quadlens.llm.common import only, runs_of
 from quadlens.llm.components import components
 from quadlens.session import cut
 
 LIMIT = 0.93
 TREES, LEAF, SAMPLE, LEVELS, SPILL = 8, 500, 1_500, 5, 0.08
 SEED = 20
+HELD = 20_000  # rows that a task routes at a time
 
 
-def unit(vectors: Iterable[np.ndarray]) -> np.ndarray:
-    x = np.array([np.asarray(v, np.float64) for v in vectors])
-    x = x / np.abs(x).max(1, keepdims=True)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+def matrix(blobs: Iterable[bytes], dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.float32).reshape(-1, dim).astype(np.float64)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1, keepdims=True))  # squares of floats neither overflow nor vanish in double
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """vec_id, label, v (32-bit floats as bytes, null where the vector links with nothing), dim."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            at = np.asarray(column.offsets, np.int64)
+            values = column.values.to_numpy(zero_copy_only=False).astype(np.float32) + np.float32(0)  # no -0.0; null is NaN
+            bad, filled = np.r_[0, np.cumsum(~np.isfinite(values))], np.r_[0, np.cumsum(values != 0)]
+            sound = (bad[at[1:]] == bad[at[:-1]]) & (filled[at[1:]] > filled[at[:-1]]) & ~np.asarray(column.is_null()) & ~np.asarray(batch.column(1).is_null())
+            blobs = [values[a:b].tobytes() if ok else None for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), sound.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary()), pa.array(np.diff(at).astype(np.int32))],
+                                             names=["vec_id", "label", "v", "dim"])
+    label = rows.schema["label"].dataType.simpleString()
+    return rows.select("vec_id", "label", "v").mapInArrow(run, f"vec_id long, label {label}, v binary, dim int")
 
 
 def directions(tree: int, node: int, dim: int, count: int) -> np.ndarray:
@@ -79,14 +99,15 @@ def route(x: np.ndarray, tree: int, node: int, low: np.ndarray, high: np.ndarray
 
 
 GROUP = ["tree", "label", "dim", "node"]
+STATE = [*GROUP, "id", "w", "v", "done"]
 
 
 def leaves(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """(tree, label, dim, node, id, w, v, done): each vector once for each leaf that it lies in."""
     state = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "label", "dim", F.lit(1).cast("long").alias("node"),
-                           "id", "w", "v", F.lit(False).alias("done"))
+                           "id", "w", "v", F.lit(False).alias("done")).select(*STATE)
     label, key = (vectors.schema[c].dataType.simpleString() for c in ("label", "id"))
-    row = f"tree int, label {label}, dim int, node long, id {key}, w long, v array<float>, done boolean"
+    row = f"tree int, label {label}, dim int, node long, id {key}, w long, v binary, done boolean"  # as STATE
     while True:
         sizes = state.where("not done").groupBy(*GROUP).agg(F.count("*").alias("n"))
         large = cut(sizes.where(F.col("n") > leaf), "large")
@@ -96,34 +117,62 @@ def leaves(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFram
         def fit(group: pd.DataFrame) -> pd.DataFrame:
             first = group.iloc[0]
             levels = int(min(LEVELS, max(1, np.ceil(np.log2(first["n"] / leaf) * 1.25))))
-            low, high = fit_cuts(unit(group["v"]), int(first["tree"]), int(first["node"]), levels)
+            low, high = fit_cuts(unit(matrix(group["v"], int(first["dim"]))), int(first["tree"]), int(first["node"]), levels)
             return pd.DataFrame([{**{c: first[c] for c in GROUP}, "low": low, "high": high}])
 
         sample = state.where("not done").join(large, GROUP).where(
             F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / SAMPLE)) == 0)
         cuts = cut(sample.groupBy(*GROUP).applyInPandas(fit, f"tree int, label {label}, dim int, node long, low array<double>, high array<double>"), "cuts")
 
-        def descend(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for (tree, node, *_), own in batch.groupby(["tree", "node", "label", "dim"]):
-                    low = own["low"].iloc[0]
+        def descend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in held(batches):
+                names = [pd.factorize(table.column(c).to_pandas())[0].astype(np.int64) for c in GROUP]
+                code = np.zeros(len(table), np.int64)
+                for n in names:
+                    code = pd.factorize(code * (n.max() + 1) + n)[0]
+                order = np.argsort(code, kind="stable")
+                starts = runs_of(code[order])
+                tree, node, dim, done = (table.column(c).to_numpy() for c in ("tree", "node", "dim", "done"))
+                took, nodes, ended = [], [], []
+                for own in np.split(order, starts[1:]):
+                    first = int(own[0])
+                    low = table.column("low")[first].as_py()
                     if low is None:
-                        yield own.drop(columns=["low", "high"])
+                        took.append(own)
+                        nodes.append(node[own])
+                        ended.append(done[own])
                         continue
-                    low, high = np.asarray(low, float), np.asarray(own["high"].iloc[0], float)
-                    rows, places = route(unit(own["v"]), int(tree), int(node), low, high)
-                    out = own.drop(columns=["low", "high"]).iloc[rows].copy()
-                    out["node"] = int(node) * (1 << (LEVELS + 1)) + places + 1
-                    out["done"] = bool(np.isnan(low[0]))  # no projection splits it
-                    yield out
-
-        state = cut(state.join(cuts, GROUP, "left").select(*state.columns, "low", "high").mapInPandas(descend, row), "forest")
+                    low, high = np.array(low), np.array(table.column("high")[first].as_py())
+                    x = unit(matrix(table.column("v").take(pa.array(own)).to_pylist(), int(dim[first])))
+                    rows, places = route(x, int(tree[first]), int(node[first]), low, high)
+                    took.append(own[rows])
+                    nodes.append(node[first] * (1 << (LEVELS + 1)) + places + 1)
+                    ended.append(np.full(len(rows), bool(np.isnan(low[0]))))  # no projection splits it
+                out = table.select(STATE).take(pa.array(np.concatenate(took)))
+                for name, values in (("node", np.concatenate(nodes)), ("done", np.concatenate(ended))):
+                    out = out.set_column(out.schema.get_field_index(name), name, pa.array(values))
+                yield from out.to_batches()
+
+        state = cut(state.join(cuts, GROUP, "left").select(*STATE, "low", "high").mapInArrow(descend, row), "forest")
+
+
+def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of some HELD rows, so that groups are not met in small pieces."""
+    own, n = [], 0
+    for batch in batches:
+        own.append(batch)
+        n += batch.num_rows
+        if n >= HELD:
+            yield pa.Table.from_batches(own).combine_chunks()
+            own, n = [], 0
+    if n:
+        yield pa.Table.from_batches(own).combine_chunks()
 
 
 def compare(members: pd.DataFrame, limit: float) -> pd.DataFrame:
     """For each vector of a leaf (or of two blocks of one): weight of its links not counted before, and one link that joins it."""
     ids, w, block = members["id"].to_numpy(), members["w"].to_numpy(np.int64), members["block"].to_numpy()
-    x = np.array([np.asarray(v, np.float64) for v in members["v"]])  # squares of floats neither overflow nor vanish in it
+    x = matrix(members["v"], len(members["v"].iloc[0]) // 4)
     norm = np.sqrt((x * x).sum(1))
     link = (x @ x.T) / np.outer(norm, norm) >= limit
     np.fill_diagonal(link, False)
@@ -158,9 +207,8 @@ def near_copies(df: DataFrame, limit: float = LIMIT, trees: int = TREES, leaf: i
     """
     rows = only(df, "vec_id", "embedding", "label").where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("x")) \
         .select(F.col("vec_id").cast("long").alias("vec_id"), "x.label", F.col("x.embedding").cast("array<float>").alias("v"))
-    rows = cut(rows, "vectors")
-    sound = "label is not null and size(v) > 0 and forall(v, e -> e is not null and not isnan(e) and abs(e) < float('inf')) and exists(v, e -> e <> 0)"
-    classes = cut(rows.where(sound).groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")).withColumn("dim", F.size("v")), "classes")
+    rows = cut(packed(rows), "vectors")
+    classes = cut(rows.where("v is not null").groupBy("label", "dim", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")), "classes")
     state = leaves(classes, trees, leaf).withColumn("key", F.xxhash64(*GROUP))
     keys = state.groupBy("id").agg(F.collect_set("key").alias("keys"))  # as many as the vector has leaves
     blocks = state.groupBy("key").agg(F.ceil(F.count("*") / (2 * leaf)).cast("int").alias("blocks"))  # 1 but for what cannot be split
