@@ -42,14 +42,41 @@ def _core(n: int, edges: list) -> set[int]:
     return core
 
 
+def _parts(n: int, edges: list) -> list[list[int]]:
+    """Nodes of each connected part."""
+    part = list(range(n))
+
+    def root(i: int) -> int:
+        while part[i] != i:
+            part[i] = part[part[i]]
+            i = part[i]
+        return i
+    for a, b, _ in edges:
+        part[root(a)] = root(b)
+    out: dict[int, list[int]] = {}
+    for i in range(n):
+        out.setdefault(root(i), []).append(i)
+    return list(out.values())
+
+
 def canonical_form(structure: str) -> str:
     """Equal for isomorphic structures and only for those.
 
-    ``structure`` is JSON ``{"g": [group of node i, ...], "e": [[i, j, label], ...]}``. Refined colours decide trees
-    hanging off the cyclic core, so only core nodes of equal colour are tried in turn, twins (same links) once.
+    ``structure`` is JSON ``{"g": [group of node i, ...], "e": [[i, j, label], ...]}``. Connected parts have their own
+    forms, so equal parts side by side cost no search.
     """
     data = json.loads(structure)
-    groups, edges = data["g"], [tuple(e) for e in data["e"]]
+    forms = []
+    for nodes in _parts(len(data["g"]), data["e"]):
+        number = {i: k for k, i in enumerate(nodes)}
+        edges = [(number[a], number[b], label) for a, b, label in data["e"] if a in number]
+        forms.append(_part_form([data["g"][i] for i in nodes], edges))
+    return json.dumps(sorted(forms))
+
+
+def _part_form(groups: list, edges: list) -> str:
+    """Form of one connected part. Refined colours decide trees hanging off the cyclic core, so only core nodes of equal
+    colour are tried in turn, twins (same links) once."""
     core = _core(len(groups), edges)
 
     def links(i: int, swap: int) -> tuple:

@@ -17,7 +17,7 @@ from quadlens.functions import text as X
 
 TERM_CLASSES = ("i", "l", "n", "v", "b", "x", "]")
 PATH_SIGNS = ("/", "|", "*", "+", "^", "!", "?")
-STRAY_SIGNS = ('"', "'", "\\", "`", "x", "@")
+STRAY_SIGNS = ('"', "'", "\\", "`", "x", "@", "%")
 
 
 def tokenised(queries: DataFrame, text: str = "query_text") -> DataFrame:
@@ -165,14 +165,15 @@ def shape_triples(annotated: DataFrame) -> DataFrame:
 
 
 # clauses whose meaning an existence test over plain patterns does not cover
-UNCOVERED = ("FILTER", "MINUS", "SERVICE", "GRAPH", "VALUES", "HAVING", "OFFSET", "EXISTS")
+UNCOVERED = ("FROM", "FILTER", "MINUS", "SERVICE", "GRAPH", "VALUES", "HAVING", "OFFSET", "EXISTS")
 
 
 def shape_checks(annotated: DataFrame) -> DataFrame:
-    """shape, is_ok, n, covered, one_row: facts about each skeleton.
+    """shape, is_ok, n, covered, one_row, branches, binds: facts about each skeleton.
 
     n counts triple patterns; covered says that an existence test over plain patterns, optional parts and at most one
-    union decides whether the query has an answer; one_row marks aggregates that always have one.
+    union decides whether the query has an answer; one_row marks aggregates that always have one; branches counts
+    those of the union; binds says that a BIND occurs.
     """
     c = F.col
     t = c("t")
@@ -182,8 +183,9 @@ def shape_checks(annotated: DataFrame) -> DataFrame:
     unions = F.count(F.when(t == "UNION", 1))
     return annotated.groupBy("shape").agg(
         F.first("is_ok").alias("is_ok"), F.count(F.when(triple, 1)).alias("n"),
-        (~F.max(uncovered) & ((unions == 0) | (F.count_distinct("branch") == unions + 1))).alias("covered"),
-        (F.max((c("head") == "SELECT") & t.isin(*vocab.AGGREGATES)) & ~F.max(t == "GROUP")).alias("one_row"))
+        (F.max(t == "{") & ~F.max(uncovered) & ((unions == 0) | (F.count_distinct("branch") == unions + 1))).alias("covered"),
+        (F.max((c("head") == "SELECT") & t.isin(*vocab.AGGREGATES)) & ~F.max(t == "GROUP")).alias("one_row"),
+        F.count_distinct("branch").alias("branches"), F.max(t == "BIND").alias("binds"))
 
 
 def at(position: Column, tokens: Column | None = None) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadlens import vocab
 from quadlens.functions import text as X
+from quadlens.operators import decompose as D
 from quadlens.operators import matching as M
 from quadlens.session import cut
 
@@ -36,58 +37,107 @@ def exists_in_role(terms: DataFrame, quads: DataFrame, role: str) -> DataFrame:
 
 # --- validity -------------------------------------------------------------------------------------------------------
 
-def match_units(triples: DataFrame) -> DataFrame:
-    """Patterns that must match for a query to have an answer: unit (query and union branch), uq_id, pos, s, p, o.
+def decided(unique: DataFrame, triples: DataFrame) -> DataFrame:
+    """The unique queries that plain patterns decide, with their facts (see ``shape_checks``).
 
-    OPTIONAL parts never decide whether there is an answer. A query with a union has one unit per branch, each with
-    the triples outside the union.
+    Left out are queries whose BIND fixes a variable of a triple, and those where a variable that an optional part binds
+    first is needed by a later triple.
     """
-    rows = triples.filter(F.col("ctx").isin("required", "union"))
-    branches = rows.filter("ctx = 'union'").select("uq_id", "branch").distinct()
-    fixed = rows.filter("ctx = 'required'").drop("branch").join(branches, "uq_id", "left")
-    return (fixed.unionByName(rows.filter("ctx = 'union'"))
-            .withColumn("unit", F.concat_ws("/", "uq_id", F.coalesce("branch", F.lit(-1))))
-            .select("unit", "uq_id", "pos", "s", "p", "o"))
+    covered = unique.filter("covered")
+    terms = F.array_distinct(F.array(*[F.struct(F.col(f"{r}.kind").alias("kind"), F.col(f"{r}.value").alias("value")) for r in ("s", "p", "o")]))
+    used = triples.select("uq_id", "pos", "ctx", "branch", F.explode(terms).alias("t")).filter("t.kind in ('variable', 'blank')")
+    # places of a variable, as many as the text has; one branch does not see what another binds
+    late = used.groupBy("uq_id", "t").agg(F.collect_list(F.struct("pos", "ctx", "branch")).alias("at")).filter("""exists(at, o ->
+        o.ctx = 'optional' and exists(at, n -> n.ctx <> 'optional' and n.pos > o.pos and (n.ctx = 'required' or o.branch is null or n.branch = o.branch))
+        and not exists(at, e -> e.ctx <> 'optional' and e.pos < o.pos and (e.ctx = 'required' or e.branch = o.branch)))""")
+    bound = D.bind_vars(covered.filter("binds").select(F.col("uq_id").alias("qid"), F.col("norm_text").alias("query_text")))
+    fixed = bound.join(used.select("uq_id", "t.value").distinct(), (F.col("qid") == F.col("uq_id")) & (F.col("var") == F.col("value")))
+    return covered.join(late.select("uq_id").unionByName(fixed.select("uq_id")).distinct(), "uq_id", "left_anti")
+
+
+def query_units(queries: DataFrame, triples: DataFrame) -> DataFrame:
+    """unit, uq_id, branch: a unit for each query, or for each branch of its union, also for those without a triple."""
+    seen = triples.filter("branch is not null").select("uq_id", "branch").distinct()
+    bare = queries.join(seen.groupBy("uq_id").agg(F.count("*").alias("n")), "uq_id", "left").filter(
+        "branches > coalesce(n, 0)").select("uq_id", F.lit(-2).alias("branch"))
+    branches = seen.withColumn("branch", F.col("branch").cast("int")).unionByName(bare)
+    return queries.select("uq_id").join(branches, "uq_id", "left").select(
+        F.concat_ws("/", "uq_id", F.coalesce("branch", F.lit(-1))).alias("unit"), "uq_id", "branch")
+
+
+def match_units(units: DataFrame, triples: DataFrame) -> DataFrame:
+    """Patterns that must match for a unit to have an answer: unit, pos, s, p, o.
+
+    OPTIONAL parts never decide whether there is an answer. A branch has its own triples and those outside the union.
+    """
+    columns = ("unit", "pos", "s", "p", "o")
+    fixed = units.join(triples.filter("ctx = 'required'").drop("branch"), "uq_id").select(*columns)
+    own = triples.filter("ctx = 'union'").withColumn("unit", F.concat_ws("/", "uq_id", F.coalesce("branch", F.lit(-1)))) \
+        .join(units.select("unit"), "unit", "left_semi").select(*columns)
+    return fixed.unionByName(own)
 
 
 def validity(unique: DataFrame, triples: DataFrame, quads: DataFrame) -> DataFrame:
     """uq_id, valid: does the query have an answer in the graph; null where plain patterns cannot decide it."""
-    covered = unique.select("uq_id", "covered", "one_row")
-    units = match_units(triples.join(covered.filter("covered and not one_row"), "uq_id", "left_semi"))
-    ordered = cut(M.ordered_patterns(units.drop("uq_id")), "ordered")
+    known = cut(decided(unique, triples).select("uq_id", "one_row", "branches"), "decided")
+    asked = known.filter("not one_row")
+    own = triples.join(asked.select("uq_id"), "uq_id", "left_semi")
+    units = query_units(asked, own)
+    ordered = cut(M.ordered_patterns(match_units(units, own)), "ordered")
     matched = M.match_all(ordered, M.keyed_quads(quads))
-    owner = units.select("unit", "uq_id").distinct()
-    found = ordered.select("unit", "bgp").join(matched, "bgp", "left").join(owner, "unit")
+    # a unit without a triple that must match always has an answer
+    found = units.select("unit", "uq_id").join(ordered.select("unit", "bgp"), "unit", "left").join(matched, "bgp", "left")
     # one branch with an answer is enough; without one, an undecided branch leaves the query undecided
     verdict = found.groupBy("uq_id").agg(
-        F.max(F.coalesce(F.col("status") == "matched", F.lit(False))).alias("hit"),
+        F.max(F.col("bgp").isNull() | F.coalesce(F.col("status") == "matched", F.lit(False))).alias("hit"),
         F.max(F.coalesce(F.col("status") == "unbounded", F.lit(False))).alias("open"))
-    rows = covered.join(verdict, "uq_id", "left")
-    return rows.select("uq_id", F.when(F.col("covered") & F.col("one_row"), True)
-                       .when(F.col("hit"), True).when(F.col("covered") & ~F.col("open"), False).alias("valid"))
+    rows = unique.select("uq_id").join(known.select("uq_id", "one_row"), "uq_id", "left").join(verdict, "uq_id", "left")
+    return rows.select("uq_id", F.when(F.col("one_row"), True).when(F.col("hit"), True).when(~F.col("open"), False).alias("valid"))
+
+
+def text_key(text: Column) -> Column:
+    """The name a verdict is kept under: ids differ from log to log, texts do not."""
+    return F.md5(text)
 
 
 def validity_incremental(unique: DataFrame, triples: DataFrame, quads: DataFrame, cache: DataFrame) -> DataFrame:
-    """Known verdicts from ``cache`` (uq_id, valid), the others computed now."""
-    todo = unique.join(cache, "uq_id", "left_anti")
-    fresh = validity(todo, triples.join(todo, "uq_id", "left_semi"), quads)
-    return cache.join(unique, "uq_id", "left_semi").select("uq_id", "valid").unionByName(fresh)
+    """Known verdicts from ``cache`` (text_key, valid), the others computed now."""
+    named = unique.withColumn("text_key", text_key(F.col("norm_text")))
+    todo = named.join(cache, "text_key", "left_anti")
+    fresh = validity(todo, triples.join(todo.select("uq_id"), "uq_id", "left_semi"), quads)
+    return named.select("uq_id", "text_key").join(cache, "text_key").select("uq_id", "valid").unionByName(fresh)
 
 
 # --- answers --------------------------------------------------------------------------------------------------------
 
 def bindings(unique: DataFrame, triples: DataFrame, quads: DataFrame) -> DataFrame:
-    """uq_id, vals (array of var, val sorted by var): every answer of covered queries without a union."""
-    covered = unique.filter("covered").select("uq_id").join(
-        triples.filter("ctx = 'union'").select("uq_id"), "uq_id", "left_anti")
-    units = match_units(triples.join(covered, "uq_id", "left_semi")).withColumn("unit", F.col("uq_id"))
-    ordered = cut(M.ordered_patterns(units.drop("uq_id")), "ordered")
-    found = ordered.join(M.match_all(ordered, M.keyed_quads(quads), keep_bindings=True), "bgp")
+    """uq_id, vals (array of var, val sorted by var): the distinct rows of the result variables of decided SELECT queries.
+
+    Left out are queries with a union, with expressions among the result variables, or with a result variable that the
+    triples outside optional parts do not bind.
+    """
+    head = F.regexp_extract("norm_text", r"(?s)^SELECT (?:DISTINCT |REDUCED )?(.*?) ?(?:WHERE )?\{", 1)
+    plain = decided(unique, triples).filter("form = 'SELECT' and branches = 0 and not one_row").select("uq_id", head.alias("head")).filter(
+        ~F.col("head").contains("("))
+    terms = F.array(*[F.struct(F.col(f"{r}.kind").alias("kind"), F.col(f"{r}.value").alias("value")) for r in ("s", "p", "o")])
+    used = triples.select("uq_id", "ctx", F.explode(terms).alias("t")).filter("t.kind = 'variable'").groupBy("uq_id").agg(
+        F.collect_set("t.value").alias("every"), F.collect_set(F.when(F.col("ctx") == "required", F.col("t.value"))).alias("bound"))
+    none = F.array().cast("array<string>")
+    shown = F.when(F.col("head") == "*", F.coalesce("every", none)).otherwise(
+        F.transform(F.split("head", " "), lambda v: F.substr(v, F.lit(2))))
+    asked = plain.join(used, "uq_id", "left").withColumn("shown", shown).filter(
+        F.size(F.array_except("shown", F.coalesce("bound", none))) == 0).select("uq_id", "shown")
+    asked = cut(asked, "asked")
+    units = asked.withColumn("unit", F.col("uq_id"))
+    ordered = cut(M.ordered_patterns(match_units(units, triples.filter("ctx = 'required'").join(asked, "uq_id", "left_semi"))), "ordered")
+    found = ordered.join(M.match_all(ordered, M.keyed_quads(quads), keep_bindings=True), "bgp").filter("status = 'matched'") \
+        .join(asked, F.col("unit") == F.col("uq_id"))
     named = F.transform("vals", lambda v: F.struct(
         F.get(F.col("names"), F.substr(v["var"], F.lit(2)).cast("int") - 1).alias("var"), v["val"].alias("val")))
-    shown = F.transform(F.filter(named, lambda v: v["var"].startswith("?v")), lambda v: F.struct(
+    vals = F.transform(F.filter(named, lambda v: v["var"].startswith("?v")), lambda v: F.struct(
         F.substr(v["var"], F.lit(3)).alias("var"), v["val"].alias("val")))
-    return found.filter("status = 'matched'").select(F.col("unit").alias("uq_id"), F.array_sort(shown).alias("vals"))
+    kept = F.filter(vals, lambda v: F.array_contains("shown", v["var"]))
+    return found.select("uq_id", F.array_sort(kept).alias("vals")).distinct()
 
 
 def first_binding(answers: DataFrame) -> DataFrame:

@@ -11,12 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadlens import vocab
 from quadlens.functions import text as X
 from quadlens.session import cut
 
-# a constants table up to this many rows is small enough to send to every executor
-BROADCAST_ROWS = 200_000
-
 
 def keyed_quads(quads: DataFrame) -> DataFrame:
     """s, p, o as comparable term keys (IRIs in angle brackets, literals with datatype or language), and g."""
@@ -124,7 +122,7 @@ def path_alternative(quads: DataFrame, predicates: Sequence[str]) -> DataFrame:
     return quads.filter(F.col("p").isin(*predicates)).select(F.col("s").alias("x"), F.col("o").alias("y")).distinct()
 
 
-def path_closure(quads: DataFrame, predicate: str, max_rounds: int = 64) -> DataFrame:
+def path_closure(quads: DataFrame, predicate: str) -> DataFrame:
     """x, y linked by one or more steps of ``predicate``.
 
     Paths double in length each round, so a chain of length n takes log2(n) rounds, and every round is written to
@@ -132,13 +130,12 @@ def path_closure(quads: DataFrame, predicate: str, max_rounds: int = 64) -> Data
     """
     known = quads.filter(F.col("p") == predicate).select(F.col("s").alias("x"), F.col("o").alias("y")).distinct()
     known = cut(known, "closure")
-    for _ in range(max_rounds):
+    while True:
         longer = known.alias("a").join(known.alias("b"), F.col("a.y") == F.col("b.x")).select("a.x", "b.y")
         grown = cut(known.union(longer).distinct(), "closure")
         if grown.count() == known.count():
             return grown
         known = grown
-    raise ValueError("closure did not settle; raise max_rounds")
 
 
 def construct(bindings: DataFrame, template: Sequence[tuple[Column, Column, Column]]) -> DataFrame:
@@ -182,7 +179,8 @@ def ordered_patterns(triples: DataFrame, key: str = "unit") -> DataFrame:
             known = F.lit(0)
             for r in ("s", "p", "o"):
                 known = known + F.when(~t[r].startswith("?") | F.array_contains(acc["bound"], t[r]), 1).otherwise(0)
-            return F.struct(known.alias("known"), (-t["pos"]).alias("first"), t.alias("t"))
+            # of equals, a class has the most members
+            return F.struct(known.alias("known"), (t["p"] != f"<{vocab.RDF_TYPE}>").alias("few"), (-t["pos"]).alias("first"), t.alias("t"))
         best = F.array_max(F.transform(acc["todo"], score))["t"]
         return X.let(best, lambda b: F.struct(
             F.filter(acc["todo"], lambda t: t["pos"] != b["pos"]).alias("todo"),
@@ -242,15 +240,12 @@ def match_all(ordered: DataFrame, quads: DataFrame, keep_bindings: bool = False)
     steps = steps.join(open_start, "bgp", "left_anti")
     # which kinds of joins occur: at most 16 rows per step, whatever the number of patterns
     kinds = sorted(tuple(r) for r in steps.select("step", "mask", "needs").distinct().collect())
-    n_patterns = steps.filter("step = 0").count()
 
     empty = F.array().cast("array<struct<var:string,val:string>>")
     state = steps.filter("step = 0").select("bgp", empty.alias("vals"))
-    small = n_patterns <= BROADCAST_ROWS
     done = None
     for step in range(max((k[0] for k in kinds), default=-1) + 1):
-        here = state.join(F.broadcast(steps.filter(F.col("step") == step)) if small else
-                          steps.filter(F.col("step") == step), "bgp")
+        here = state.join(steps.filter(F.col("step") == step), "bgp")
 
         def value(r: str) -> Column:
             bound = F.get(F.filter("vals", lambda v: v["var"] == F.col(r)), F.lit(0))["val"]
@@ -261,18 +256,18 @@ def match_all(ordered: DataFrame, quads: DataFrame, keep_bindings: bool = False)
             rows = here.filter((F.col("mask") == mask) & (F.col("needs") == needs))
             keys = list(mask)
             if not needs:
-                known = quads.select(*[F.col(k).alias(f"k_{k}") for k in keys]).distinct() if keys else None
                 if keys:
-                    rows = rows.join(known, [f"k_{k}" for k in keys], "left_semi")
+                    # the patterns' keys are the small side: they thin out the quads, and what is left of these answers
+                    on = [f"k_{k}" for k in keys]
+                    known = quads.select(*[F.col(k).alias(f"k_{k}") for k in keys]).join(rows.select(*on).distinct(), on, "left_semi")
+                    rows = rows.join(known.distinct(), on, "left_semi")
                 else:
                     rows = rows.join(F.broadcast(quads.limit(1).select(F.lit(1).alias("any"))), how="left_semi")
                 parts.append(rows.select("bgp", "n_steps", "step", "later", "vals"))
                 continue
             rest = [k for k in ("s", "p", "o") if k not in keys]
             found = quads.select(*[F.col(k).alias(f"k_{k}") for k in keys], *[F.col(k).alias(f"q_{k}") for k in rest])
-            # the constants of the first step are few and counted, so the quads need not move for them
-            rows = rows.drop(*[f"k_{k}" for k in rest])
-            rows = (F.broadcast(rows) if small and step == 0 else rows).join(found, [f"k_{k}" for k in keys])
+            rows = rows.drop(*[f"k_{k}" for k in rest]).join(found, [f"k_{k}" for k in keys])
             for i, a in enumerate(rest):
                 for b in rest[i + 1:]:
                     rows = rows.filter((F.col(a) != F.col(b)) | (F.col(f"q_{a}") == F.col(f"q_{b}")))

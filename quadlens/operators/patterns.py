@@ -11,20 +11,23 @@ from quadlens.functions import text as X
 from quadlens.operators import decompose as D
 
 
+#: What the structure of a query says about its answers, see ``shape_checks``.
+FACTS = ("covered", "one_row", "branches", "binds")
+
+
 def unique_queries(queries: DataFrame) -> DataFrame:
-    """uq_id, norm_text, freq, form, covered, one_row of the well-formed queries that differ after normalisation.
+    """uq_id, norm_text, freq, form, covered, one_row, branches, binds of the well-formed queries that differ after normalisation.
 
     Repeated texts are folded first (map-side), so normalisation runs once per distinct text.
     """
     texts = queries.groupBy("query_text").agg(F.min("qid").alias("qid"), F.count("*").alias("n"))
-    ok = D.shape_checks(D.shape_tokens(queries)).filter("is_ok").select("shape", "covered", "one_row")
+    ok = D.shape_checks(D.shape_tokens(queries)).filter("is_ok").select("shape", *FACTS)
     rows = texts.withColumn("joined", X.canonical(F.col("query_text")))
     rows = rows.select("qid", "n", X.normal_text(F.col("joined")).alias("norm_text"),
                        F.md5(X.skeleton(F.col("joined"))).alias("shape")).join(ok, "shape")
     return rows.groupBy("norm_text").agg(
-        F.min("qid").alias("uq_id"), F.sum("n").alias("freq"), F.first("covered").alias("covered"),
-        F.first("one_row").alias("one_row")).select(
-        "uq_id", "norm_text", "freq", X.query_form(F.col("norm_text")).alias("form"), "covered", "one_row")
+        F.min("qid").alias("uq_id"), F.sum("n").alias("freq"), *[F.first(f).alias(f) for f in FACTS]).select(
+        "uq_id", "norm_text", "freq", X.query_form(F.col("norm_text")).alias("form"), *FACTS)
 
 
 def unique_triples(unique: DataFrame) -> DataFrame:

@@ -144,12 +144,16 @@ def map_equivalence(triples: DataFrame, equiv: DataFrame) -> DataFrame:
 
 
 def simplified_key(triples: DataFrame, equiv: DataFrame | None = None) -> DataFrame:
-    """uq_id, n_simple, key: the set of (subject class, predicate, object class) of a query as one key."""
+    """uq_id, n_simple, key: the (subject class, predicate, object class) of a query as one key.
+
+    Two queries agree if they have as many triples and the same set of lines, so the key holds the number of triples.
+    """
     if equiv is None:
         s, o = _group(F.col("s.kind")), _group(F.col("o.kind"))
     else:
         triples = map_equivalence(triples, equiv)
         s, o = F.col("s_class"), F.col("o_class")
     line = F.concat_ws(" ", s, F.concat("p.kind", F.lit(":"), "p.value"), o)
-    return triples.select("uq_id", line.alias("line")).distinct().groupBy("uq_id").agg(
-        F.count("*").alias("n_simple"), F.md5(F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("key"))
+    lines = triples.groupBy("uq_id", line.alias("line")).agg(F.count("*").alias("n"))
+    return lines.groupBy("uq_id").agg(F.sum("n").alias("n_simple"), F.md5(F.concat_ws(
+        "\n", F.sum("n").cast("string"), F.array_join(F.array_sort(F.collect_list("line")), "\n"))).alias("key"))

@@ -74,10 +74,10 @@ def run_pattern_ranking(queries: DataFrame, quads: DataFrame, out: str, n: int =
     try:
         known = cut(report_io.load_validity(spark, cache), "validity")
     except AnalysisException:  # first run: no cache yet
-        known = spark.createDataFrame([], "uq_id bigint, valid boolean")
-    todo = unique.join(known, "uq_id", "left_anti")
-    report_io.append_validity(L.validity(todo, triples.join(todo, "uq_id", "left_semi"), quads), cache)
-    valid = report_io.load_validity(spark, cache)
+        known = spark.createDataFrame([], "text_key string, valid boolean")
+    valid = stored(L.validity_incremental(unique, triples, quads, known), f"{out}/verdicts")
+    keys = unique.select("uq_id", L.text_key(F.col("norm_text")).alias("text_key")).join(known, "text_key", "left_anti")
+    report_io.append_validity(valid.join(keys, "uq_id"), cache)
 
     entities = D.entity_freq(triples, "freq")
     index = stored(L.iri_query_index(triples, valid, D.top_labelled(entities, L.labels(quads, entities), n * top)),

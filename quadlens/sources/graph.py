@@ -26,6 +26,11 @@ def parse_nquads(lines: DataFrame, column: str = "value") -> DataFrame:
         F.when(F.col("t.lang").isNull(), F.col("t.datatype")).alias("datatype"), F.col("t.lang").alias("lang"), "g")
 
 
+def rejected_nquads(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines that are neither a quad, a comment nor blank."""
+    return lines.filter(~F.col(column).rlike(_QUAD) & ~F.col(column).rlike(r"^\s*(#.*)?$"))
+
+
 def read_nquads(spark: SparkSession, path: str) -> DataFrame:
     return parse_nquads(spark.read.text(path))
 

@@ -30,9 +30,10 @@ def write_pattern_docs(docs: DataFrame, path: str) -> None:
 
 
 def append_validity(df: DataFrame, path: str) -> None:
-    df.select("uq_id", "valid").write.mode("append").parquet(path)
+    """df: text_key, valid. Undecided queries are not kept, so a later run tries them again."""
+    df.select("text_key", "valid").filter("valid is not null").write.mode("append").parquet(path)
 
 
 def load_validity(spark: SparkSession, path: str) -> DataFrame:
-    """uq_id, valid; a query checked more than once keeps one verdict."""
-    return spark.read.parquet(path).groupBy("uq_id").agg(F.max("valid").alias("valid"))
+    """text_key, valid; a query checked more than once keeps one verdict."""
+    return spark.read.parquet(path).groupBy("text_key").agg(F.max("valid").alias("valid"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quadlens.functions import text as X
+from quadlens.operators import decompose as D
 from quadlens.operators.cleaning import clean_log
 
 
@@ -38,9 +39,18 @@ def latest_counts(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 
 
 def stream_term_counts(http_log: DataFrame, out: str, state: str, words: tuple[str, ...]) -> StreamingQuery:
-    """Running frequency of normalised queries."""
-    query = clean_log(http_log, words).select(X.normalise_query(F.col("query")).alias("norm_text"))
-    return stream_counts(query, ["norm_text"], out, state)
+    """Frequency of normalised well-formed queries, counted batch by batch, so no text stays in the stream's state."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = D.parse_or_keep(batch.select(F.col("query").alias("query_text"))).filter("is_ok")
+        norm = rows.select(X.normalise_query(F.col("query_text")).alias("norm_text"))
+        _upsert_log(out)(norm.groupBy("norm_text").agg(F.count("*").alias("n")).withColumn("text_key", F.md5("norm_text")), batch_id)
+    return (clean_log(http_log, words).writeStream.option("checkpointLocation", state).trigger(availableNow=True)
+            .foreachBatch(write).start())
+
+
+def term_counts(spark: SparkSession, out: str) -> DataFrame:
+    """norm_text, n: the sums of all batches."""
+    return spark.read.parquet(out).groupBy("text_key").agg(F.first("norm_text").alias("norm_text"), F.sum("n").alias("n")).drop("text_key")
 
 
 def windowed_counts(http_log: DataFrame, out: str, state: str, width: str = "1 hour", late: str = "1 hour") -> StreamingQuery:
