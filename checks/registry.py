@@ -78,7 +78,7 @@ class Workload(Fixture):
 
     @property
     def ranked(self) -> DataFrame:
-        return D.top_labelled(self.entities, L.labels(self.quads), 10)
+        return D.top_labelled(self.entities, L.labels(self.quads, self.entities), 10)
 
     @cached_property
     def structures(self) -> DataFrame:
@@ -115,10 +115,10 @@ class Workload(Fixture):
 
     @property
     def tops(self) -> DataFrame:
-        labels, out = L.labels(self.quads), None
+        out = None
         for role, freq in (("s", D.term_freq(self.triples, "s", "freq")), ("p", D.term_freq(self.triples, "p", "freq")),
                            ("o", D.term_freq(self.triples, "o", "freq")), ("type", D.rdf_type_freq(self.triples, "freq"))):
-            rows = D.top_labelled(freq, labels, 5).select(F.lit(role).alias("role"), "term")
+            rows = D.top_labelled(freq, L.labels(self.quads, freq), 5).select(F.lit(role).alias("role"), "term")
             out = rows if out is None else out.unionByName(rows)
         return out
 

@@ -28,11 +28,12 @@ def labels(quads: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 def exists_in_role(terms: DataFrame, quads: DataFrame, role: str) -> DataFrame:
     """Terms that occur in the graph as s, p or o (IRIs only).
 
-    The role is reduced to its distinct values first (map-side), so a predicate that fills a third of the graph is
-    one row at the join.
+    The terms are the small side: they thin out the quads, and what is left is reduced to distinct values (map-side), so a
+    predicate that fills a third of the graph is one row at the second join.
     """
     rows = quads.filter("o_kind = 'uri'") if role == "o" else quads
-    return terms.join(rows.select(F.col(role).alias("term")).distinct(), "term", "left_semi")
+    present = rows.select(F.col(role).alias("term")).join(terms.select("term").distinct(), "term", "left_semi").distinct()
+    return terms.join(present, "term", "left_semi")
 
 
 # --- validity -------------------------------------------------------------------------------------------------------

@@ -100,6 +100,7 @@ def run_pattern_ranking(queries: DataFrame, quads: DataFrame, out: str, n: int =
     reports = {
         "pattern_statistics": P.pattern_statistics(patterns), "type_statistics": D.type_statistics(triples, unique, valid),
         "scores": scores, "selected": selected, "usefulness": E.usefulness(stats, coverage),
+        "pattern_frequency": P.pattern_freq(patterns).orderBy(F.desc("n_unique"), "pattern"),
         "lengths": P.length_hist(patterns), "pattern_lengths": P.length_hist_patterns(patterns),
     }
     for name, report in reports.items():

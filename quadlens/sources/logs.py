@@ -6,23 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadlens import vocab
+from quadlens.functions import text as X
 
 ACCESS_LOG_SCHEMA = "url string, domain string, agent string, `@timestamp` timestamp"
 CLEAN_LOG_SCHEMA = "query string, domain string, agent string, ts timestamp"
 
 
 def read_access_log(spark: SparkSession, path: str) -> DataFrame:
-    """url, domain, agent, ts of a CSV log with a header; columns are found by name."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    """url, domain, agent, ts of a CSV log with a header; columns are found by name.
+
+    Urls are percent-encoded, so no value spans lines and a large file is read in splits.
+    """
+    rows = spark.read.csv(path, header=True, escape='"')
     return rows.select("url", "domain", "agent", F.col("`@timestamp`").cast("timestamp").alias("ts"))
 
 
 def read_query_tsv(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """raw: first column of a TSV log. A gzip file is one split, so its rows are spread right after reading."""
+    """raw: first column of a TSV log. Gzip files are one split each, so their rows are spread right after reading."""
     rows = spark.read.csv(path, sep="\t", header=True, quote="")
     rows = rows.select(F.col(f"`{rows.columns[0]}`").alias("raw"))
-    return rows.repartition(partitions or spark.sparkContext.defaultParallelism) if path.endswith(".gz") or partitions \
-        else rows
+    packed = any(name.endswith(".gz") for name in rows.inputFiles())
+    return rows.repartition(partitions or spark.sparkContext.defaultParallelism) if packed or partitions else rows
+
+
+def query_table(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """qid, query_text of the rows of a log: texts decoded, ids by a hash of the text, so they are the same in every run."""
+    text = X.repair_and_decode(F.col(column))
+    return raw.select(text.alias("query_text")).filter("query_text is not null").select(F.xxhash64("query_text").alias("qid"), "query_text")
 
 
 def read_delimited_queries(spark: SparkSession, path: str) -> DataFrame:

@@ -60,14 +60,37 @@ def test_nquads_round_trip(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, quads.collect()))
 
 
+def test_a_folder_of_gzip_logs_becomes_a_query_table(spark, tmp_path):
+    for k in (1, 2):
+        with gzip.open(tmp_path / f"log{k}.tsv.gz", "wt") as f:
+            f.write("anonymizedQuery\tother\nASK%20%7B%7D\tx\n" + f"SELECT+%2A+%7B+%3Fs+%3Fp+{k}+%7D\tx\n")
+    raw = logs.read_query_tsv(spark, str(tmp_path), 3)
+    rows = logs.query_table(raw).collect()
+    assert raw.rdd.getNumPartitions() == 3
+    assert sorted(r.query_text for r in rows) == ["ASK {}", "ASK {}", "SELECT * { ?s ?p 1 }", "SELECT * { ?s ?p 2 }"]
+    assert len({r.qid for r in rows}) == 3
+
+
+def test_cleaning_and_statistics_runs(spark, tmp_path):
+    hits = spark.createDataFrame([("/sparql?query=SELECT+%2A+%7B+%3Fs+%3Cp%3E+%3Fo+%7D", "d.org", "bot", TS), ("/about", "d.org", "bot", TS)],
+                                 "url string, domain string, agent string, ts timestamp")
+    assert runs.run_cleaning(hits, str(tmp_path)).count() > 0
+    log = spark.createDataFrame([(1, "SELECT * { ?s <p> ?o }"), (2, "ASK { <s> <q> ?o }")], "qid long, query_text string")
+    quads = spark.createDataFrame([("s", "p", "o", "uri", None, None, "g")], "s string, p string, o string, o_kind string, datatype string, lang string, g string")
+    reports_ = runs.run_statistics(log, quads, str(tmp_path))
+    assert {r.term for r in reports_["predicates"].collect()} <= {"p", "q"} and reports_["vocabulary"].count() > 0
+    assert runs.run_summary(quads, str(tmp_path), "http://d").count() >= 0
+    assert spark.read.text(str(tmp_path / "metadata.nt")).count() >= 0
+
+
 def test_reports_and_validity_cache(spark, tmp_path):
     df = spark.createDataFrame([("a\nb", 3)], "term string, n long")
     reports.write_ranked_report(df, str(tmp_path / "r"))
     assert spark.read.text(str(tmp_path / "r")).first()[0] == "a\\nb & 3"
     path = str(tmp_path / "valid")
-    for rows in ([(1, True), (2, None)], [(2, False)]):
-        reports.append_validity(spark.createDataFrame(rows, "uq_id long, valid boolean"), path)
-    assert {tuple(r) for r in reports.load_validity(spark, path).collect()} == {(1, True), (2, False)}
+    for rows in ([("a", True), ("b", None)], [("b", False)]):
+        reports.append_validity(spark.createDataFrame(rows, "text_key string, valid boolean"), path)
+    assert {tuple(r) for r in reports.load_validity(spark, path).collect()} == {("a", True), ("b", False)}
 
 
 def test_isomorphism_run(spark, tmp_path):
