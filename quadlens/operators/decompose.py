@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quadlens import vocab
 from quadlens.functions import text as X
+from quadlens.session import cut
 
 TERM_CLASSES = ("i", "l", "n", "v", "b", "x", "]")
 PATH_SIGNS = ("/", "|", "*", "+", "^", "!", "?")
@@ -35,8 +36,22 @@ def _change(up: Column, down: Column) -> Column:
     return F.when(up, 1).when(down, -1).otherwise(0)
 
 
+def stored_tokens(queries: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``tokenised``, written once: both the skeletons and the texts' own rows are read from it."""
+    return cut(tokenised(queries, text).select(*keep, "tokens", "skeleton", "shape"), "tokens")
+
+
+def shapes_of(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("shape").agg(F.first("skeleton").alias("skeleton"))
+
+
 def shape_tokens(queries: DataFrame, text: str = "query_text") -> DataFrame:
-    """One row per token of every distinct skeleton, with its place in the query.
+    """``annotated`` for the skeletons of the texts. Repeated texts go first (map-side), then repeated skeletons."""
+    return annotated(shapes_of(tokenised(queries.select(text).distinct(), text)))
+
+
+def annotated(shapes: DataFrame) -> DataFrame:
+    """One row per token of every skeleton, with its place in the query.
 
     pd / bd / sd are paren, brace and bracket depth; stmt numbers statements and ``head`` is the clause word that
     opened the statement (null for triples); ``frame`` is the opening bracket of a property list; seg and rank place
@@ -48,10 +63,7 @@ def shape_tokens(queries: DataFrame, text: str = "query_text") -> DataFrame:
     before = seq.rowsBetween(W.unboundedPreceding, -1)
     t = c("t")
 
-    # Repeated texts go first (map-side), then repeated skeletons. The exchange on the shape key is the last one of the
-    # analysis: every window below starts with that key.
-    tokens = tokenised(queries.select(text).distinct(), text)
-    shapes = tokens.groupBy("shape").agg(F.first("skeleton").alias("skeleton"))
+    # The exchange on the shape key is the last one of the analysis: every window below starts with that key.
     rows = shapes.select("shape", F.posexplode(F.split("skeleton", " ")).alias("pos", "t"))
 
     rows = rows.select(
@@ -224,8 +236,8 @@ def _terms(rows: DataFrame, keep: list[str]) -> DataFrame:
 def triple_patterns(queries: DataFrame, key: str = "qid", text: str = "query_text",
                     carry: tuple[str, ...] = ()) -> DataFrame:
     """Every triple pattern of every well-formed query: key, bgp_id, pos, s, p, o (term structs), ctx, branch."""
-    tok = tokenised(queries, text)
-    return _terms(per_query(tok, shape_triples(shape_tokens(queries, text)), [key, *carry]), [key, *carry])
+    tok = stored_tokens(queries, text, [key, *carry])
+    return _terms(per_query(tok, shape_triples(annotated(shapes_of(tok))), [key, *carry]), [key, *carry])
 
 
 def flat_triples(triples: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quadlens import vocab
 from quadlens.functions import text as X
 from quadlens.operators import decompose as D
+from quadlens.session import cut
 
 
 #: What the structure of a query says about its answers, see ``shape_checks``.
@@ -21,10 +22,11 @@ def unique_queries(queries: DataFrame) -> DataFrame:
     Repeated texts are folded first (map-side), so normalisation runs once per distinct text.
     """
     texts = queries.groupBy("query_text").agg(F.min("qid").alias("qid"), F.count("*").alias("n"))
-    ok = D.shape_checks(D.shape_tokens(queries)).filter("is_ok").select("shape", *FACTS)
-    rows = texts.withColumn("joined", X.canonical(F.col("query_text")))
-    rows = rows.select("qid", "n", X.normal_text(F.col("joined")).alias("norm_text"),
-                       F.md5(X.skeleton(F.col("joined"))).alias("shape")).join(ok, "shape")
+    texts = texts.select("qid", "n", X.canonical(F.col("query_text")).alias("joined"))
+    texts = cut(texts.select("qid", "n", X.normal_text(F.col("joined")).alias("norm_text"), X.skeleton(F.col("joined")).alias("skeleton"))
+                .withColumn("shape", F.md5("skeleton")), "texts")
+    ok = D.shape_checks(D.annotated(D.shapes_of(texts))).filter("is_ok").select("shape", *FACTS)
+    rows = texts.select("qid", "n", "norm_text", "shape").join(ok, "shape")
     return rows.groupBy("norm_text").agg(
         F.min("qid").alias("uq_id"), F.sum("n").alias("freq"), *[F.first(f).alias(f) for f in FACTS]).select(
         "uq_id", "norm_text", "freq", X.query_form(F.col("norm_text")).alias("form"), *FACTS)
@@ -69,8 +71,9 @@ def generalise(unique: DataFrame, generalise_filters: bool = False, rename_free:
     variable > aggregate. ``rename_free`` also numbers variables outside all triples as ``?freeN``.
     """
     c = F.col
-    slots = _shape_slots(D.shape_tokens(unique, "norm_text"))
-    rows = D.tokenised(unique, "norm_text").select("uq_id", "freq", "form", "tokens", "shape").join(slots, "shape")
+    tok = D.stored_tokens(unique, "norm_text", ["uq_id", "freq", "form"])
+    slots = _shape_slots(D.annotated(D.shapes_of(tok)))
+    rows = tok.drop("skeleton").join(slots, "shape")
 
     def tokens_at(places: Column) -> Column:
         return F.transform(places, lambda i: F.get(c("tokens"), i))
