@@ -122,20 +122,33 @@ def path_alternative(quads: DataFrame, predicates: Sequence[str]) -> DataFrame:
     return quads.filter(F.col("p").isin(*predicates)).select(F.col("s").alias("x"), F.col("o").alias("y")).distinct()
 
 
-def path_closure(quads: DataFrame, predicate: str) -> DataFrame:
-    """x, y linked by one or more steps of ``predicate``.
+def path_closure(quads: DataFrame, predicate: str, start: DataFrame | None = None, zero: bool = False, steps: int | None = None) -> DataFrame:
+    """x, y linked by one or more steps of ``predicate``; with ``zero`` also each node with itself.
 
-    Paths double in length each round, so a chain of length n takes log2(n) rounds, and every round is written to
-    shared storage. The loop ends with the first round that finds no new pair.
+    ``start`` (column x) asks only for what its nodes reach, at most ``steps`` steps away: each round follows the new pairs
+    of the last one. Without it, paths double in length each round, so a chain of length n takes log2(n) rounds. Every round
+    is written to shared storage. The loop ends with the first round that finds no new pair.
     """
-    known = quads.filter(F.col("p") == predicate).select(F.col("s").alias("x"), F.col("o").alias("y")).distinct()
-    known = cut(known, "closure")
-    while True:
-        longer = known.alias("a").join(known.alias("b"), F.col("a.y") == F.col("b.x")).select("a.x", "b.y")
-        grown = cut(known.union(longer).distinct(), "closure")
-        if grown.count() == known.count():
-            return grown
-        known = grown
+    edges = quads.filter(F.col("p") == predicate).select(F.col("s").alias("x"), F.col("o").alias("y")).distinct()
+    if start is None and steps is None:
+        known = cut(edges, "closure")
+        while True:
+            longer = known.alias("a").join(known.alias("b"), F.col("a.y") == F.col("b.x")).select("a.x", "b.y")
+            grown = cut(known.union(longer).distinct(), "closure")
+            if grown.count() == known.count():
+                break
+            known = grown
+        nodes = known.select("x").union(known.select("y"))
+    else:
+        nodes = (edges.select("x").union(edges.select("y")) if start is None else start.select("x")).distinct()
+        edges = cut(edges, "edges")
+        known = front = cut(nodes.join(edges, "x").select("x", "y"), "closure")
+        done = 1
+        while (steps is None or done < steps) and not front.isEmpty():
+            found = front.join(edges.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y")).distinct()
+            front = cut(found.join(known, ["x", "y"], "left_anti"), "closure")
+            known, done = known.unionByName(front), done + 1
+    return known.union(nodes.select("x", F.col("x").alias("y"))).distinct() if zero else known
 
 
 def construct(bindings: DataFrame, template: Sequence[tuple[Column, Column, Column]]) -> DataFrame:

@@ -71,6 +71,19 @@ def test_closure_of_a_chain_with_a_loop(spark):
     assert got == want
 
 
+def test_closure_from_a_start_and_with_zero_steps(spark):
+    edges = [(f"<n{i}>", "<p>", f"<n{i + 1}>", "g") for i in range(6)] + [("<n6>", "<p>", "<n4>", "g"), ("<m>", "<q>", "<n0>", "g")]
+    quads = spark.createDataFrame(edges, "s string, p string, o string, g string")
+    start = spark.createDataFrame([("<n2>",), ("<m>",)], "x string")
+
+    def pairs(**more):
+        return sorted((r.x, r.y) for r in M.path_closure(quads, "<p>", **more).collect())
+    assert pairs(start=start) == [("<n2>", f"<n{i}>") for i in (3, 4, 5, 6)]
+    assert pairs(start=start, steps=2) == [("<n2>", "<n3>"), ("<n2>", "<n4>")]
+    assert pairs(start=start, zero=True, steps=1) == [("<m>", "<m>"), ("<n2>", "<n2>"), ("<n2>", "<n3>")]
+    assert sorted(set(pairs(zero=True)) - set(pairs())) == [(f"<n{i}>", f"<n{i}>") for i in range(4)]
+
+
 def test_label_prefers_title_then_smallest(spark):
     rows = [("a", "http://purl.org/dc/terms/title", "T", "literal"), ("a", "http://www.w3.org/2000/01/rdf-schema#label", "A", "literal"),
             ("b", "http://www.w3.org/2000/01/rdf-schema#label", "z", "literal"),
