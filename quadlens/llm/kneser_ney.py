@@ -19,33 +19,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlens.llm.common import grow, mix, parts_of, pieces, runs_of, shrink, word_hashes, words
+from quadlens.llm.common import grow, mix, pack, parts_of, pieces, runs_of, shrink, unpack, word_hashes, words
 from quadlens.session import cut
 
-PIECE = 4_000_000  # characters of a piece
+PIECE = 2_500_000  # characters of a piece
 END = np.uint64(0xE4D0E4D0E4D0E4D1)  # stands for the end of a text
 START = -1  # number of the context before the first word
 SHORT = np.uint64(16)  # words of a pair travel without so many low bits
 SMOOTH = 0.1  # of the base score
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Small non-negative numbers as bytes: byte planes, compressed."""
-    x = np.ascontiguousarray(x, np.uint32)
-    return zstandard.compress(len(x).to_bytes(8, "little") + x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    raw = zstandard.decompress(blob)
-    planes = np.frombuffer(raw, np.uint8, offset=8).reshape(4, int.from_bytes(raw[:8], "little"))
-    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
-
-
 def part_of(w: np.ndarray, parts: int) -> np.ndarray:
     return ((w >> SHORT) % np.uint64(parts)).astype(np.int64)
 
@@ -119,7 +106,7 @@ def dealt(first: np.ndarray, second: np.ndarray, part: np.ndarray, hot: np.ndarr
 
 def ask_pairs(table: DataFrame, parts: int, hot_words: list[int]) -> DataFrame:
     """For each piece and part: its pairs as runs of equal first words, with training counts."""
-    hot_hashes = np.array(sorted(hot_words), np.int64).view(np.uint64)
+    hot_hashes = np.array(hot_words, np.int64).view(np.uint64)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -138,7 +125,7 @@ def ask_pairs(table: DataFrame, parts: int, hot_words: list[int]) -> DataFrame:
                     own = order[cuts[p]:cuts[p + 1]]
                     run_ = runs_of(first[own])
                     lead = first[own][run_]
-                    out.append({"part": p, "piece": row["piece"], "firsts": np.where(lead < 0, np.uint64(0), w[lead]).tobytes(),
+                    out.append({"part": p, "piece": row["piece"], "firsts": shrink(np.where(lead < 0, np.uint64(0), w[lead])),
                                 "spread": ((lead < 0) | hot[lead]).tobytes(), "runs": pack(np.diff(np.r_[run_, len(own)])),
                                 "seconds": (w[second[own]] >> SHORT).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes(), "counts": pack(count[own])})
                 yield pd.DataFrame(out, columns=["part", "piece", "firsts", "spread", "runs", "seconds", "counts"])
@@ -167,7 +154,7 @@ def answer_pairs(parts: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         first, second, count, at = [], [], [], [0]
         for _, r in group.iterrows():
-            runs, lead = unpack(r["runs"]), np.frombuffer(r["firsts"], np.uint64)
+            runs, lead = unpack(r["runs"]), grow(r["firsts"])
             first.append(np.repeat(lead, runs))
             six = np.zeros((int(runs.sum()), 8), np.uint8)
             six[:, :6] = np.frombuffer(r["seconds"], np.uint8).reshape(6, -1).T
@@ -192,12 +179,12 @@ def answer_pairs(parts: int):
                 if len(starts):
                     sums[:, j] = np.add.reduceat(x[by].astype(np.int64), starts)
             contexts, sums = mapped(folder, "contexts", v[by][starts]), sums
-            spread = np.unique(np.concatenate([np.frombuffer(r, np.uint64)[np.frombuffer(s, bool)] for r, s in zip(group["firsts"], group["spread"])]))
+            spread = np.unique(np.concatenate([grow(r)[np.frombuffer(s, bool)] for r, s in zip(group["firsts"], group["spread"])]))
             own = np.isin(contexts, spread)
             out += [_row("hot", word=int(c), n=[int(k) for k in s]) for c, s in zip(np.asarray(contexts[own]).view(np.int64), sums[own])]
             for i, (_, r) in enumerate(group.iterrows()):
                 asked = key[at[i]:at[i + 1]]
-                lead = np.frombuffer(r["firsts"], np.uint64)
+                lead = grow(r["firsts"])
                 out.append(_row("pairs", int(r["part"]), int(r["piece"]), pack(_look(keys, totals, asked)),
                                 pack(np.concatenate([_look(contexts, sums[:, j], lead) for j in range(4)]))))
             del keys, totals, contexts
@@ -239,7 +226,7 @@ def ask_words(table: DataFrame) -> DataFrame:
 
 def answer_words(hot_words: list[int]):
     """A part of the word model: training counts, how many words each follows; answers each piece."""
-    hot_hashes = np.array(sorted(hot_words), np.int64).view(np.uint64)
+    hot_hashes = np.array(hot_words, np.int64).view(np.uint64)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         asked, before = group[group["kind"] == "words"], group[group["kind"] == "before"]
@@ -252,7 +239,9 @@ def answer_words(hot_words: list[int]):
                 own = grow(r["a"])
                 n = _look(w, c, own)
                 follows = np.where(n > 0, _look(s, k, own >> SHORT), 0)
-                out.append(_row("words", int(r["part"]), int(r["piece"]), pack(np.concatenate([n, follows])), np.isin(own, hot_hashes).tobytes()))
+                # a word that is dealt out by its second words is named by its place among those, from 1
+                place = _look(hot_hashes, np.arange(1, len(hot_hashes) + 1), own)
+                out.append(_row("words", int(r["part"]), int(r["piece"]), pack(np.concatenate([n, follows])), pack(place)))
             del w, s
         return _frame(out)
     return run
@@ -281,7 +270,7 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.clip(out, 0, [0, 1, 2, 3])
 
 
-def scored_pieces(totals: dict, hot: dict[int, list[int]], parts: int):
+def scored_pieces(totals: dict, hot: dict[int, list[int]], hot_words: list[int], parts: int):
     """Scores of a piece's texts from its tokens and the answers to it."""
     off, low = discounts(totals["pairs"]), discounts(totals["follows"])
     n1, n2, _, _ = totals["follows"]
@@ -294,11 +283,11 @@ def scored_pieces(totals: dict, hot: dict[int, list[int]], parts: int):
         counts = [unpack(b) for b in answers["a"]]
         c = np.concatenate([x[:len(x) // 2] for x in counts])
         k = np.concatenate([x[len(x) // 2:] for x in counts])
-        is_hot = np.concatenate([np.frombuffer(b, bool) for b in answers["b"]])
+        hot_place = np.concatenate([unpack(b) for b in answers["b"]])
         part = np.repeat(answers["part"].astype(int).to_numpy(), [len(x) // 2 for x in counts])
         size, at = tokens_of(row)
         first, second, inverse, before = pairs_of(size, at, len(c))
-        place = dealt(first, second, part, is_hot)
+        place = dealt(first, second, part, hot_place > 0)
         order = np.argsort(place, kind="stable")
         cuts = np.searchsorted(place[order], np.arange(parts + 1))
         n = np.zeros(len(first), np.int64)
@@ -308,10 +297,8 @@ def scored_pieces(totals: dict, hot: dict[int, list[int]], parts: int):
             n[own] = unpack(a)
             lead = first[own][runs_of(first[own])]
             context[lead] = unpack(b).reshape(4, -1).T
-        if hot:
-            hashes = np.concatenate([grow(b) for b in row["words"]])
-            for i in np.flatnonzero(is_hot):
-                context[i] = hot.get(int(hashes[i:i + 1].view(np.int64)[0]), [0, 0, 0, 0])
+        for i in np.flatnonzero(hot_place):
+            context[i] = hot.get(hot_words[hot_place[i] - 1], [0, 0, 0, 0])
         context[START] = hot.get(0, [0, 0, 0, 0])
         lower = (np.maximum(k - low[np.minimum(k, 3)], 0) / entries if entries else np.zeros(len(k))) + rest / (vocabulary + 1)
         total = context[:, 0]
@@ -336,11 +323,12 @@ def score(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str = "te
     Null and empty texts have the end alone. Repeated rows count and are scored as often as they occur; null keys stay null.
     An empty table gives an empty result; without training rows every token is as likely as any other.
     """
-    parts = parts_of(docs.sparkSession)
+    parts = 2 * parts_of(docs.sparkSession)
     table = cut(packed_pieces(docs.withColumn("_train", F.coalesce(train, F.lit(False))), key, text, "_train", parts), "pieces")
     learned = table.agg(F.sum("learned")).first()[0] or 0
     often = table.select(F.explode("often").alias("o")).groupBy("o.w").agg(F.sum("o.n").alias("n")).where(F.col("n") * 8 * parts >= max(1, learned))
-    hot_words = [r["w"] for r in often.collect()]  # at most 8 for each part
+    # at most 8 for each part, in the order of unsigned hashes
+    hot_words = np.sort(np.array([r["w"] for r in often.collect()], np.int64).view(np.uint64)).view(np.int64).tolist()
     pairs = cut(ask_pairs(table, parts, hot_words).groupBy("part").applyInPandas(answer_pairs(parts), ANSWER), "pairs")
     asked = ask_words(table).unionByName(pairs.where("kind = 'before'"))
     found = cut(asked.groupBy("part").applyInPandas(answer_words(hot_words), ANSWER), "words")
@@ -350,10 +338,10 @@ def score(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str = "te
     b = found.where("kind = 'wordsum'").agg(*(F.sum(F.col("n")[j]) for j in range(7))).first()
     a, b = [x or 0 for x in a], [x or 0 for x in b]
     totals = {"pairs": a[:4], "entries": a[4], "learned": b[0], "vocabulary": b[1], "follows": b[2:6], "kinds": b[6]}
-    own = table.select(F.lit("piece").alias("kind"), "piece", "ids", "known", "train", "sizes", "tokens", "ranks", "words")
+    own = table.select(F.lit("piece").alias("kind"), "piece", "ids", "known", "train", "sizes", "tokens", "ranks")
     answers = pairs.where("kind = 'pairs'").unionByName(found.where("kind = 'words'")).select("kind", "part", "piece", "a", "b")
     both = own.unionByName(answers, allowMissingColumns=True)
-    out = both.groupBy("piece").applyInPandas(scored_pieces(totals, hot, parts), "id long, held_out boolean, n_tokens long, "
+    out = both.groupBy("piece").applyInPandas(scored_pieces(totals, hot, hot_words, parts), "id long, held_out boolean, n_tokens long, "
                                               "n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", key)
 
