@@ -8,14 +8,16 @@
 3. Light-light pairs meet in subsets of two elements, all others in inverted lists of single elements. Both are taken from
    a set's rarest elements only, as many as linked sets cannot help sharing. The size that parts light from heavy is the
    one with the lowest counted cost.
-4. A list's members are first compared with a few hubs. Members that are in one component by then need no more
-   comparing, the others are compared in further rounds with ever more hubs, until each list has one component left or
-   every pair of it was compared. So a large group of copies costs links in proportion to its size, and no pair is lost.
+4. Long lists are first compared with one member, their hub. Members that are in one component by then need no more
+   comparing; what is left is compared in whole, or with ever more hubs while a list is very long, until each list has one
+   component left or every pair of it was compared. So a large group of copies costs links in proportion to its size, and
+   no pair is lost. A pair is compared only if what both sets have after the shared element is enough for a link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -25,15 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlens.llm.common import grow, map_texts, mix, only, parts_of, pieces, runs_of, shrink, word_hashes, words
+from quadlens.llm.common import grow, map_texts, mix, only, pack, parts_of, pieces, runs_of, shrink, unpack, word_hashes, words
 from quadlens.llm.components import components
 from quadlens.session import cut
 
 WIDTH = 5  # words of a shingle
-PIECE = 4_000_000  # characters that share one packed array
+PIECE = 2_000_000  # characters that share one packed array
 MANY = np.uint32(0xFFFFFFFF)  # in place of a document: several of the piece
 LIGHT_MOST = 64  # the boundary is looked for up to this size
-SMALL_LIST = 8  # lists up to this length are compared in whole at once
+#: Lists up to these lengths are compared in whole, in the first round and in later ones; longer ones with hubs.
+WHOLE = (8, 1024)
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -72,7 +75,7 @@ def shingle_sets(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def possible(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, candidate): the size of every row's set, and whether it may link with another.
+    """(key, n, same, candidate): size and name of every row's set (equal sets have equal names), and whether it may link.
 
     Of a set of n the n - needed(n) + 1 + n // 16 smallest hashes are counted; linked sets share 1 + needed(n) // 16 of them.
     """
@@ -83,6 +86,8 @@ def possible(docs: DataFrame, key: str, text: str) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for piece in pieces(batches, "t", PIECE):
             x, n = shingle_sets(piece["t"])
+            ends = np.cumsum(n)
+            same = b"".join(xxhash.xxh3_128_digest(x[a:b].tobytes()) for a, b in zip((ends - n).tolist(), ends.tolist()))
             taken = np.where(n > 0, n - needed(n) + 1 + n // 16, 0)
             starts = np.cumsum(n) - n
             place = np.arange(len(x)) - np.repeat(starts, n) < np.repeat(taken, n)
@@ -102,7 +107,7 @@ def possible(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame({
                 "shard": [*full, number % shards], "piece": number,
                 "hashes": [*(shrink(x[cuts[s]:cuts[s + 1]]) for s in full), None],
-                "owners": [*(owner[cuts[s]:cuts[s + 1]].tobytes() for s in full), None],
+                "owners": [*(pack(owner[cuts[s]:cuts[s + 1]]) for s in full), same],
                 "keys": [*[None] * len(full), ids.astype(np.int64).tobytes()],
                 "sizes": [*[None] * len(full), n.astype(np.int32).tobytes()],
                 "shared": [*[None] * len(full), shared.tobytes()]})
@@ -115,63 +120,141 @@ def possible(docs: DataFrame, key: str, text: str) -> DataFrame:
         if not len(group):
             return passing
         x = [grow(b) for b in group["hashes"]]
-        owner = np.concatenate([np.frombuffer(b, np.uint32) for b in group["owners"]])
+        owner = np.concatenate([unpack(b) for b in group["owners"]]).astype(np.uint64)
         source = np.repeat(np.arange(len(x), dtype=np.uint64), [len(v) for v in x])
         x = np.concatenate(x)
         order = np.argsort(x, kind="stable")
         run = runs_of(x[order])
         length = np.diff(np.r_[run, len(x)])
         hit = order[np.repeat(length > 1, length)]
-        hit = hit[owner[hit] != MANY]
+        hit = hit[owner[hit] != np.uint64(MANY)]
         both, times = np.unique((source[hit] << np.uint64(32)) | owner[hit], return_counts=True)
         at = np.searchsorted(both >> np.uint64(32), np.arange(len(group) + 1, dtype=np.uint64))
         full = np.flatnonzero(np.diff(at))
         low = (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         answers = pd.DataFrame({"piece": group["piece"].to_numpy()[full],
-                                "owners": [low[at[i]:at[i + 1]].tobytes() for i in full], "keys": None, "sizes": None,
+                                "owners": [pack(low[at[i]:at[i + 1]]) for i in full], "keys": None, "sizes": None,
                                 "shared": [times[at[i]:at[i + 1]].astype(np.int32).tobytes() for i in full]})
         return pd.concat([passing, answers]) if len(passing) else answers
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         docs_row = group[group["keys"].notna()].iloc[0]
         n, total = np.frombuffer(docs_row["sizes"], np.int32).astype(np.int64), np.frombuffer(docs_row["shared"], np.int32).copy()
-        for owners, shared in zip(group["owners"], group["shared"]):
-            if owners is not None:
-                total[np.frombuffer(owners, np.uint32)] += np.frombuffer(shared, np.int32)
-        return pd.DataFrame({key: np.frombuffer(docs_row["keys"], np.int64), "n": n, "candidate": (n > 0) & (total >= 1 + needed(n) // 16)})
+        for keys, owners, shared in zip(group["keys"], group["owners"], group["shared"]):
+            if keys is None:
+                total[unpack(owners)] += np.frombuffer(shared, np.int32)
+        same = docs_row["owners"]
+        return pd.DataFrame({key: np.frombuffer(docs_row["keys"], np.int64), "n": n, "same": [same[i:i + 16] for i in range(0, len(same), 16)],
+                             "candidate": ((n > 0) & (total >= 1 + needed(n) // 16)).astype(np.int32)})
 
     rows = only(docs, key, text).toDF("k", "t").where("k is not null").withColumn("k", F.col("k").cast("long"))
     dealt = rows.mapInPandas(deal, "shard long, piece long, hashes binary, owners binary, keys binary, sizes binary, shared binary")
     counted = dealt.groupBy("shard").applyInPandas(count, "piece long, owners binary, keys binary, sizes binary, shared binary")
-    return counted.groupBy("piece").applyInPandas(settle, f"`{key}` long, n long, candidate boolean")
+    return counted.groupBy("piece").applyInPandas(settle, f"`{key}` long, n long, same binary, candidate int")
 
 
 def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, same, s): each text's set as an array of hashes; equal sets have equal `same`."""
+    """(id, n, s): each text's set as an array of hashes."""
     def work(texts: list[str]) -> tuple[list, None]:
         x, n = shingle_sets(texts)
         ends = np.r_[0, np.cumsum(n)]
-        same = [xxhash.xxh3_128_digest(x[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-        return [n, same, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.view(np.int64)))], None
+        return [n, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.view(np.int64)))], None
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    return map_texts(rows, ["id"], "t", [("n", "long", pa.int64()), ("same", "binary", pa.binary()), ("s", "array<long>", pa.list_(pa.int64()))], work)
+    return map_texts(rows, ["id"], "t", [("n", "long", pa.int64()), ("s", "array<long>", pa.list_(pa.int64()))], work)
+
+
+def ranked_sets(sets: DataFrame) -> DataFrame:
+    """(id, n, m, r): of each set that may link, how many elements others have too, and the rarest of these as (df, e).
+
+    An element's df is the number of sets that have it, as a power of two; r has all elements among the n - needed + 2 rarest.
+    Again only packed arrays travel: each piece asks for its distinct elements and is answered in the same order.
+    """
+    shards = parts_of(sets.sparkSession)
+
+    def dealt(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct elements by shard, how often they occur, where shards start, and each entry's place."""
+        distinct, place, times = np.unique(x, return_inverse=True, return_counts=True)
+        shard = (distinct % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return distinct[order], times[order], np.searchsorted(shard[order], np.arange(shards + 1)), back[place]
+
+    def ask(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in held(batches):
+            x = np.concatenate([np.asarray(s, np.int64) for s in batch["s"]]).view(np.uint64)
+            distinct, times, cuts, _ = dealt(x)
+            full = np.flatnonzero(np.diff(cuts))
+            yield pd.DataFrame({
+                "shard": [*full, number % shards], "piece": number, "x": [*(shrink(distinct[cuts[s]:cuts[s + 1]]) for s in full), x.tobytes()],
+                "times": [*(pack(times[cuts[s]:cuts[s + 1]]) for s in full), None],
+                "ids": [*[None] * len(full), batch["id"].to_numpy(np.int64).tobytes()], "sizes": [*[None] * len(full), pack(batch["n"].to_numpy())]})
+            number += 1
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        passing = group[group["ids"].notna()]
+        group = group[group["ids"].isna()]
+        if not len(group):
+            return passing
+        x, times = [grow(b) for b in group["x"]], [unpack(b) for b in group["times"]]
+        ends = np.cumsum([len(v) for v in x])
+        keys, place = np.unique(np.concatenate(x), return_inverse=True)
+        df = np.bincount(place, np.concatenate(times), len(keys)).astype(np.int64)[place]
+        return pd.concat([passing, group.assign(x=None, times=[pack(v) for v in np.split(df, ends[:-1])])])
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        own = group[group["ids"].notna()].iloc[0]
+        x, n, ids = np.frombuffer(own["x"], np.uint64), unpack(own["sizes"]), np.frombuffer(own["ids"], np.int64)
+        df = np.concatenate([unpack(b) for b in group[group["ids"].isna()].sort_values("shard")["times"]])[dealt(x)[3]]
+        rows = []
+        starts = np.cumsum(n) - n
+        for i, a, size in zip(ids.tolist(), starts.tolist(), n.tolist()):
+            mine = df[a:a + size]
+            shared = np.flatnonzero(mine > 1)
+            most = size - (3 * size + 3) // 4 + 2 - (size - len(shared))
+            if most < 2:
+                continue  # too many elements that no other set has
+            level = np.floor(np.log2(mine[shared])).astype(np.int64)
+            rare = np.lexsort((x[a:a + size][shared], level))[:most]
+            rows.append((i, size, len(shared), level[rare], x[a:a + size][shared][rare].view(np.int64)))
+        return pd.DataFrame({**{c: np.array([r[i] for r in rows], np.int64) for i, c in enumerate(("id", "n", "m"))},
+                             "df": pd.Series([r[3] for r in rows], dtype=object), "e": pd.Series([r[4] for r in rows], dtype=object)})
+
+    schema = "shard long, piece long, x binary, times binary, ids binary, sizes binary"
+    answered = sets.select("id", "n", "s").mapInPandas(ask, schema).groupBy("shard").applyInPandas(answer, schema)
+    rows = answered.groupBy("piece").applyInPandas(settle, "id long, n long, m long, df array<long>, e array<long>")
+    return rows.select("id", "n", "m", F.arrays_zip("df", "e").alias("r"))
+
+
+def held(batches: Iterable[pd.DataFrame], limit: int = 500_000) -> Iterator[pd.DataFrame]:
+    """Rows gathered until their sets have some `limit` elements."""
+    own, total = [], 0
+    for batch in batches:
+        own.append(batch)
+        total += int(batch["n"].sum())
+        if total >= limit:
+            yield pd.concat(own)
+            own, total = [], 0
+    if total:
+        yield pd.concat(own)
 
 
 def boundary(ranked: DataFrame) -> int:
     """The largest light size, by the counted cost of subsets and of scanned lists for each size up to LIGHT_MOST."""
-    k1, k2 = _rarest("1"), _rarest("2")
+    k2 = _rarest("2")
     by_size = ranked.groupBy(F.least("n", F.lit(LIGHT_MOST + 1)).alias("size")).agg(
-        F.sum(k2 * (k2 - 1) / 2).alias("subsets"), F.sum(F.expr(f"aggregate(slice(r, 1, {_RAREST.format(c=1)}), 0D, (a, e) -> a + e.df)")).alias("scan"),
-        F.sum(k1).alias("own"))
+        F.sum(k2 * (k2 - 1) / 2).alias("subsets"),
+        F.sum(F.expr(f"aggregate(slice(r, 1, {_RAREST.format(c=1)}), 0D, (a, e) -> a + pow(2, e.df))")).alias("scan"))
     rows = {r["size"]: r for r in by_size.collect()}  # LIGHT_MOST + 1 rows at most
     def cost(b: int) -> float:
         return sum(r["subsets"] * (s <= b) + r["scan"] * (4 * s > 3 * b) for s, r in rows.items())
     return min(range(LIGHT_MOST + 1), key=cost)
 
 
-#: How many of a set's shared elements, rarest first, are among its n - needed + c rarest, as those found once come first.
-_RAREST = "greatest(0, cast(n - floor((3 * n + 3) / 4) + {c} - (n - size(r)) as int))"
+#: How many of a set's m shared elements, rarest first, are among its n - needed + c rarest, as those found once come first.
+_RAREST = "cast(greatest(0, n - floor((3 * n + 3) / 4) + {c} - (n - m)) as int)"
 
 
 def _rarest(c: str) -> F.Column:
@@ -179,17 +262,27 @@ def _rarest(c: str) -> F.Column:
 
 
 def lists(ranked: DataFrame, light: int) -> DataFrame:
-    """(key, id, n, kind): the subsets of light sets (kind 2) and the single elements of heavy and nearly heavy ones (1, 0)."""
-    subset = f"""flatten(transform(sequence(1, greatest(k - 1, 1)), i -> transform(slice(r, i + 1, greatest(k - i, 0)),
-        e -> xxhash64(least(element_at(r, i).e, e.e), greatest(element_at(r, i).e, e.e)))))"""
-    pairs = ranked.where(F.col("n") <= light).withColumn("k", _rarest("2")).where("k > 1").select(
-        F.explode(F.array_distinct(F.expr(subset))).alias("key"), "id", "n", F.lit(2).alias("kind"))
-    singles = ranked.where(4 * F.col("n") > 3 * light).withColumn("k", _rarest("1")).where("k > 0").select(
-        F.explode(F.expr("transform(slice(r, 1, k), e -> e.e)")).alias("key"), "id", "n",
-        (F.col("n") > light).cast("int").alias("kind"))
+    """(key, id, n, at, kind): the subsets of light sets (kind 2) and the single elements of heavy and nearly heavy ones (1, 0).
+
+    at: the place of the (last) element in its set, rarest first.
+    """
+    subset = """flatten(transform(sequence(1, greatest(k - 1, 1)), i -> transform(slice(r, i + 1, greatest(k - i, 0)), (e, j) -> struct(
+        xxhash64(least(element_at(r, i).e, e.e), greatest(element_at(r, i).e, e.e)) as key, i + j as at))))"""
+    single = "transform(slice(r, 1, k), (e, i) -> struct(e.e as key, i as at))"
+
+    def rows(some: DataFrame, expr: str, kind: F.Column) -> DataFrame:
+        return some.select("id", "n", "m", kind.alias("kind"), F.explode(F.expr(expr)).alias("x")).select(
+            "x.key", "id", "n", (F.col("n") - F.col("m") + F.col("x.at")).alias("at"), "kind")
+    pairs = rows(ranked.where(F.col("n") <= light).withColumn("k", _rarest("2")).where("k > 1"), subset, F.lit(2))
+    singles = rows(ranked.where(4 * F.col("n") > 3 * light).withColumn("k", _rarest("1")).where("k > 0"), single, (F.col("n") > light).cast("int"))
     return pairs.unionByName(singles)
 
 
+#: Whether members a and b of a list may link: light sets meet in subsets, sizes are near, and enough follows what they share.
+MAY_LINK = """(a.kind = 2 or a.kind = 1 or b.kind = 1) and 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+    and 7 * (if(a.kind = 2, 2, 1) + least(a.n - a.at, b.n - b.at) - 1) >= 3 * (a.n + b.n)"""
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= 75 * union."""
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -198,59 +291,41 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * shared >= 75 * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def links_of(sets: DataFrame) -> DataFrame:
-    """Links (a, b) among distinct sets that give the same components as all their links."""
-    spark = sets.sparkSession
-    flat = sets.select("id", F.explode("s").alias("e"))
-    common = flat.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = flat.join(common, "e").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("r"))  # one set
-    ranked = cut(ranked.join(sets.select("id", "n"), "id").where(_RAREST.format(c=1) + " > 0"), "ranked")
-    entries = lists(ranked, boundary(ranked))
-    often = entries.groupBy("key", (F.col("kind") == 2).alias("two")).agg(F.count("*").alias("g"), F.max("kind").alias("heavy"))
-    entries = entries.withColumn("two", F.col("kind") == 2).join(often.where("g > 1 and heavy > 0"), ["key", "two"])
-    entries = cut(entries.select("key", "two", "id", "n", "kind", "g"), "lists")
-    found, hubs = [], 1
-    # lists compared in whole
-    a, b = entries.where(F.col("g") <= SMALL_LIST), entries.where(F.col("g") <= SMALL_LIST)
-    b = b.select("key", "two", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("kind").alias("kb"))
-    whole = a.join(b, ["key", "two"]).where("id < b").select(F.col("id").alias("a"), "b", "n", "nb", "kind", "kb")
-    entries = entries.where(F.col("g") > SMALL_LIST)
-    owner = None
-    while True:
+def owners_of(sets: DataFrame) -> DataFrame:
+    """(node, component) of the distinct sets that link with another."""
+    ranked = cut(ranked_sets(sets), "ranked")
+    entries = lists(ranked, boundary(ranked)).withColumn("two", F.col("kind") == 2)
+    # lists of the same members are one list: elements of a passage that the same texts share make no work of their own
+    often = entries.groupBy("key", "two").agg(F.count("*").alias("g"), F.max("kind").alias("heavy"), F.bit_xor(F.xxhash64("id")).alias("x"),
+                                              F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("g > 1 and heavy > 0")
+    entries = entries.join(often.select("key", "two", "g", F.xxhash64("g", "x", "y").alias("list")), ["key", "two"])
+    entries = entries.groupBy(F.col("list").alias("key"), "two", "g", "id", "n", "kind").agg(F.min("at").alias("at"))
+    entries = cut(entries, "lists").withColumn("c", F.col("id"))
+    owner, hubs = None, 1
+    for whole in chain(WHOLE[:1], repeat(WHOLE[1])):
+        short, long = entries.where(F.col("g") <= whole), entries.where(F.col("g") > whole)
+        pairs = short.alias("a").join(short.alias("b"), F.expr(f"a.key = b.key and a.two = b.two and a.id < b.id and a.c <> b.c and {MAY_LINK}")).selectExpr(
+            "a.id as a", "b.id as b")
         # a list's hubs: the members with the smallest of several hashes
-        picks = [F.min(F.struct(F.xxhash64("id", F.lit(j)), "id", "n", "kind")).alias(f"h{j}") for j in range(hubs)]
-        heads = entries.groupBy("key", "two").agg(*picks).select("key", "two", F.array_distinct(F.array(
-            *(F.struct(*(F.col(f"h{j}.{c}") for c in ("id", "n", "kind"))) for j in range(hubs)))).alias("hubs"))
-        met = entries.join(heads, ["key", "two"])
-        pairs = met.select("id", "n", "kind", F.explode("hubs").alias("h")).select(
-            F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"), "n", F.col("h.n").alias("nb"), "kind", F.col("h.kind").alias("kb")).where("a < b")
-        if whole is not None:
-            pairs, whole = pairs.unionByName(whole), None
-        # light pairs meet in subsets, and sizes too far apart never link
-        pairs = pairs.where("(kind = 2 or kind = 1 or kb = 1) and 4 * least(n, nb) >= 3 * greatest(n, nb)").select("a", "b").distinct()
-        if owner is not None:
-            pairs = _apart(pairs, owner)
-        found.append(cut(verified(pairs, sets), "verified"))
-        every = found[0]
-        for more in found[1:]:
-            every = every.unionByName(more)
-        rest = met.where(~F.exists("hubs", lambda h: h["id"] == F.col("id"))).select("key", "two", "id", "n", "kind")
-        owner = cut(components(every, "a", "b"), "owners")
-        owned = rest.join(owner, F.col("id") == F.col("node"), "left").select(rest["*"], F.coalesce("component", "id").alias("c"))
-        open_ = owned.groupBy("key", "two").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-        entries = cut(rest.join(open_.select("key", "two"), ["key", "two"], "left_semi"), "lists")
+        member = F.struct("id", "n", "at", "kind", "c")
+        picks = [F.min(F.struct(F.xxhash64("id", F.lit(j)).alias("h"), member.alias("m"))) for j in range(hubs)]
+        heads = long.groupBy("key", "two").agg(F.array_distinct(F.array(*(p["m"] for p in picks))).alias("hubs"))
+        met = long.join(heads, ["key", "two"])
+        hubbed = long.alias("a").join(heads.select("key", "two", F.inline("hubs")).alias("b"), F.expr(
+            f"a.key = b.key and a.two = b.two and a.id <> b.id and a.c <> b.c and {MAY_LINK}")).selectExpr("a.id as a", "b.id as b")
+        pairs = pairs.unionByName(hubbed.selectExpr("least(a, b) as a", "greatest(a, b) as b")).distinct()
+        new = cut(verified(pairs, sets), "verified")
+        # components so far are links too: of those before only their outcome counts
+        owner = cut(components(new if owner is None else new.unionByName(owner.selectExpr("node as a", "component as b")), "a", "b"), "owners")
+        rest = met.where(~F.exists("hubs", lambda h: (h["id"] == F.col("id")) & (h["n"] == F.col("n")) & (h["at"] == F.col("at")))).drop("hubs", "c", "g")
+        rest = rest.join(owner, F.col("id") == F.col("node"), "left").select(rest["*"], F.coalesce("component", "id").alias("c"))
+        left = rest.groupBy("key", "two").agg(F.count("*").alias("g"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+        entries = cut(rest.join(left.select("key", "two", "g"), ["key", "two"]), "lists")
         if entries.isEmpty():
-            return every
+            return owner
         hubs = min(4 * hubs, 32)
 
 
-def _apart(pairs: DataFrame, owner: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
-    a = owner.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = owner.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
-
-
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for every row: links are Jaccard similarities of at least 0.75, none is lost.
 
@@ -258,18 +333,25 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     share a key give one row each and one component. Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    # texts that cannot link are left out by a filter of bounded size before the exchange
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
     sizes = cut(possible(docs, key, text), "possible")
-    chosen = docs.join(sizes.where("candidate").select(key), key, "left_semi")
-    sets = cut(sets_of(chosen, key, text), "sets")
-    classes = sets.groupBy("same", "n").agg(F.min("id").alias("first"))
-    members = cut(sets.select("id", "same", "n").join(classes, ["same", "n"]).select("id", "first").distinct(), "members")
-    # one row for each class, also where rows repeat
-    heads = sets.join(classes.select(F.col("first").alias("id"), "same", "n"), ["id", "same", "n"], "left_semi").dropDuplicates(["id", "same"])
-    heads = cut(heads.groupBy("id").agg(F.max_by(F.struct("n", "s"), "n").alias("x")).select("id", "x.n", "x.s"), "heads")
-    every = links_of(heads).unionByName(members.select(F.col("id").alias("a"), F.col("first").alias("b")))
-    found = components(every, "a", "b").select(F.col("node").alias(key), "component")
+    copies = sizes.where("n > 0").groupBy("same").agg(F.min(key).alias("first"), F.max("candidate").alias("candidate"), F.count("*").alias("copies"))
+    copies = cut(copies, "copies")
+    # one text for each set, that of the first copy
+    chosen = docs.join(copies.where("candidate > 0").select(F.col("first").alias(key)), key, "left_semi")
+    # a runtime filter of bounded size keeps most texts that cannot link out of the exchange
+    least = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    usual = spark.conf.get(least)
+    spark.conf.set(least, "1MB")
+    heads = cut(sets_of(chosen, key, text), "heads")
+    spark.conf.set(least, usual)
+    owner = owners_of(heads)
+    # a class has the id of its first copy
+    first = sizes.join(copies.where("copies > 1").select("same", "first"), "same", "left").select(key, "n", F.when(F.col("n") > 0, F.coalesce("first", key)).alias("first"))
+    if not sizes.groupBy(key).count().where("count > 1").isEmpty():
+        # ids with several texts join the components of these
+        links = owner.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(first.where("first is not null").select(F.col(key).alias("a"), F.col("first").alias("b")))
+        owner, first = components(links, "a", "b"), first.withColumn("first", F.col(key))
+    found = first.join(owner, F.col("first") == F.col("node"), "left")
     nulls = docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias(key), F.lit(None).cast("long").alias("n_shingles"),
                                                    F.lit(None).cast("long").alias("component_id"))
-    return sizes.join(found, key, "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component", key).alias("component_id")).unionByName(nulls)
+    return found.select(key, F.col("n").alias("n_shingles"), F.coalesce("component", "first", key).alias("component_id")).unionByName(nulls)

@@ -63,8 +63,15 @@ def test_null_keys_and_empty_tables(spark):
 
 
 def test_the_boundary_follows_the_cost(spark):
-    rows = [(i, n, [(2, i * 100 + j) for j in range(n)]) for i, n in enumerate([8] * 5 + [60] * 5)]
-    ranked = spark.createDataFrame(rows, "id long, n long, r array<struct<df: long, e: long>>")
+    rows = [(i, n, n, [(1, i * 100 + j) for j in range(n)]) for i, n in enumerate([8] * 5 + [60] * 5)]
+    schema = "id long, n long, m long, r array<struct<df: long, e: long>>"
+    ranked = spark.createDataFrame(rows, schema)
     assert 0 <= saj.boundary(ranked) <= saj.LIGHT_MOST
-    dear = spark.createDataFrame([(i, n, [(10_000, e) for _, e in r]) for i, n, r in rows], "id long, n long, r array<struct<df: long, e: long>>")
+    dear = spark.createDataFrame([(i, n, m, [(13, e) for _, e in r]) for i, n, m, r in rows], schema)
     assert saj.boundary(dear) >= saj.boundary(ranked)
+
+
+def test_pieces_without_a_possible_link(spark):
+    rows = [(i, [i * 1000 + k for k in range(20)]) for i in range(40)]
+    sets = spark.createDataFrame(rows, "id long, s array<long>").selectExpr("id", "20L as n", "s").repartition(5)
+    assert saj.ranked_sets(sets).count() == 0
