@@ -4,8 +4,9 @@ Vectors are compared only with those of their label. Each tree splits a group at
 vectors near the cut go to both sides, so close neighbours seldom part, and hardly ever in all trees. Splitting runs in
 rounds: a bounded sample of each large group fits the cuts of several levels, all rows descend them, until every group is
 a leaf. Leaves are compared in whole in double precision; a pair counts in the first leaf that it shares, so no pairs need
-to be gathered. Equal vectors count as one with a weight. A group that no projection can split is compared exactly, dealt
-out in pairs of blocks.
+to be gathered. Equal vectors count as one with a weight. A group that no projection can split, or of whose pairs a fair
+share are links (cuts would part them), is compared exactly, dealt out in pairs of blocks: that takes at most 1 / DENSE
+comparisons for each link. Where that holds for all vectors of a label, one tree does.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from quadlens.session import cut
 
 LIMIT = 0.93
 TREES, LEAF, SAMPLE, LEVELS, SPILL = 8, 500, 1_500, 5, 0.08
+DENSE = 0.05  # share of links among a group's pairs from which it is not split
+BLOCK, STEP = 4_096, 512  # rows of a block, and of it that are compared at a time
 SEED = 20
 HELD = 20_000  # rows that a task routes at a time
 
@@ -57,7 +60,13 @@ def directions(tree: int, node: int, dim: int, count: int) -> np.ndarray:
     return np.random.default_rng([SEED, tree, node & 0xFFFFFFFF, (node >> 32) & 0xFFFFFFFF]).normal(size=(count, dim))
 
 
-def fit_cuts(x: np.ndarray, tree: int, node: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
+def dense(x: np.ndarray, limit: float) -> bool:
+    """Whether a fair share of the pairs of unit vectors are links."""
+    n = len(x)
+    return int((x @ x.T >= limit).sum()) - n >= DENSE * n * (n - 1)
+
+
+def fit_cuts(x: np.ndarray, tree: int, node: int, levels: int, limit: float = LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """For each place of a binary heap of `levels` levels: from where on right, up to where left. NaN: not split."""
     count = (1 << levels) - 1
     d = directions(tree, node, x.shape[1], count)
@@ -67,7 +76,7 @@ def fit_cuts(x: np.ndarray, tree: int, node: int, levels: int) -> tuple[np.ndarr
     for place in range(count):
         share = rng.uniform(0.42, 0.58)
         own = members.pop(place, None)
-        if own is None or len(own) < 24:
+        if own is None or len(own) < 24 or dense(x[own], limit):
             continue
         p = x[own] @ d[place]
         a, b = np.quantile(p, [share - SPILL, share + SPILL])
@@ -102,12 +111,13 @@ GROUP = ["tree", "label", "dim", "node"]
 STATE = [*GROUP, "id", "w", "v", "done"]
 
 
-def leaves(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def leaves(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF, limit: float = LIMIT) -> DataFrame:
     """(tree, label, dim, node, id, w, v, done): each vector once for each leaf that it lies in."""
     state = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "label", "dim", F.lit(1).cast("long").alias("node"),
                            "id", "w", "v", F.lit(False).alias("done")).select(*STATE)
     label, key = (vectors.schema[c].dataType.simpleString() for c in ("label", "id"))
     row = f"tree int, label {label}, dim int, node long, id {key}, w long, v binary, done boolean"  # as STATE
+    first_round = True
     while True:
         sizes = state.where("not done").groupBy(*GROUP).agg(F.count("*").alias("n"))
         large = cut(sizes.where(F.col("n") > leaf), "large")
@@ -117,13 +127,18 @@ def leaves(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFram
         def fit(group: pd.DataFrame) -> pd.DataFrame:
             first = group.iloc[0]
             levels = int(min(LEVELS, max(1, np.ceil(np.log2(first["n"] / leaf) * 1.25))))
-            low, high = fit_cuts(unit(matrix(group["v"], int(first["dim"]))), int(first["tree"]), int(first["node"]), levels)
+            low, high = fit_cuts(unit(matrix(group["v"], int(first["dim"]))), int(first["tree"]), int(first["node"]), levels, limit)
             return pd.DataFrame([{**{c: first[c] for c in GROUP}, "low": low, "high": high}])
 
         sample = state.where("not done").join(large, GROUP).where(
             F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / SAMPLE)) == 0)
         cuts = cut(sample.groupBy(*GROUP).applyInPandas(fit, f"tree int, label {label}, dim int, node long, low array<double>, high array<double>"), "cuts")
 
+        if first_round and trees > 1:  # where the first tree's root is compared in whole, the other trees add nothing
+            whole = cuts.where("tree = 0 and coalesce(isnan(low[0]), true)").select(F.explode(F.sequence(F.lit(1), F.lit(trees - 1))).alias("tree"), "label", "dim")
+            state = state.join(whole, ["tree", "label", "dim"], "left_anti").select(*STATE)
+        first_round = False
+
         def descend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in held(batches):
                 names = [pd.factorize(table.column(c).to_pandas())[0].astype(np.int64) for c in GROUP]
@@ -142,7 +157,7 @@ def leaves(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFram
                         nodes.append(node[own])
                         ended.append(done[own])
                         continue
-                    low, high = np.array(low), np.array(table.column("high")[first].as_py())
+                    low, high = np.array(low, float), np.array(table.column("high")[first].as_py(), float)  # null is NaN
                     x = unit(matrix(table.column("v").take(pa.array(own)).to_pylist(), int(dim[first])))
                     rows, places = route(x, int(tree[first]), int(node[first]), low, high)
                     took.append(own[rows])
@@ -174,31 +189,47 @@ def compare(members: pd.DataFrame, limit: float) -> pd.DataFrame:
     ids, w, block = members["id"].to_numpy(), members["w"].to_numpy(np.int64), members["block"].to_numpy()
     x = matrix(members["v"], len(members["v"].iloc[0]) // 4)
     norm = np.sqrt((x * x).sum(1))
-    link = (x @ x.T) / np.outer(norm, norm) >= limit
-    np.fill_diagonal(link, False)
-    if members["bi"].iloc[0] != members["bj"].iloc[0]:
-        link &= block[:, None] != block[None]
+    bi, bj = members["bi"].iloc[0], members["bj"].iloc[0]
+    left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
+    steps = [slice(a, a + STEP) for a in range(0, len(left), STEP)]
+    link = np.empty((len(left), len(right)), bool)
+    for s in steps:
+        link[s] = (x[left[s]] @ x[right].T) / np.outer(norm[left[s]], norm[right]) >= limit
+    if bi == bj:
+        np.fill_diagonal(link, False)
     fresh = link.copy()
     key = members["key"].iloc[0]
-    earlier: dict[int, list[int]] = {}
-    for i, keys in enumerate(members["keys"]):
-        for k in keys:
-            if k < key:
-                earlier.setdefault(k, []).append(i)
-    for own in earlier.values():
-        if len(own) > 1:
-            fresh[np.ix_(own, own)] = False
-    low = ids.copy()
+    earlier: dict[int, tuple[list[int], list[int]]] = {}
+    for side, own in enumerate((left, right)):
+        for i, keys in enumerate(members["keys"].iloc[own]):
+            for k in keys:
+                if k < key:
+                    earlier.setdefault(k, ([], []))[side].append(i)
+    for a, b in earlier.values():
+        if a and b:
+            fresh[np.ix_(a, b)] = False
+    links = np.zeros(len(ids), np.int64)
+    for s in steps:
+        links[left[s]] += (fresh[s] * w[right][None]).sum(1)
+        if bi != bj:
+            links[right] += (fresh[s] * w[left[s]][:, None]).sum(0)
+    low, far = ids.copy(), np.iinfo(np.int64).max
     while True:  # smallest id that links reach within the leaf
-        new = np.minimum(low, np.where(link, low[None], np.iinfo(np.int64).max).min(1))
+        new = low.copy()
+        for s in steps:
+            new[left[s]] = np.minimum(new[left[s]], np.where(link[s], low[right][None], far).min(1, initial=far))
+            if bi != bj:
+                new[right] = np.minimum(new[right], np.where(link[s], low[left[s]][:, None], far).min(0, initial=far))
         if (new == low).all():
             break
         low = new
-    keep = link.any(1)
-    return pd.DataFrame({"id": ids[keep], "links": (fresh * w[None]).sum(1)[keep], "to": low[keep]})
+    keep = np.zeros(len(ids), bool)
+    keep[left] |= link.any(1)
+    keep[right] |= link.any(0)
+    return pd.DataFrame({"id": ids[keep], "links": links[keep], "to": low[keep]})
 
 
-def near_copies(df: DataFrame, limit: float = LIMIT, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def near_copies(df: DataFrame, limit: float = LIMIT, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vec_id: links are cosines of at least `limit` under equal labels.
 
     Null labels, null or empty vectors, null or non-finite components and zero vectors link with nothing; vectors of other
@@ -209,9 +240,9 @@ def near_copies(df: DataFrame, limit: float = LIMIT, trees: int = TREES, leaf: i
         .select(F.col("vec_id").cast("long").alias("vec_id"), "x.label", F.col("x.embedding").cast("array<float>").alias("v"))
     rows = cut(packed(rows), "vectors")
     classes = cut(rows.where("v is not null").groupBy("label", "dim", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")), "classes")
-    state = leaves(classes, trees, leaf).withColumn("key", F.xxhash64(*GROUP))
+    state = leaves(classes, trees, leaf, limit).withColumn("key", F.xxhash64(*GROUP))
     keys = state.groupBy("id").agg(F.collect_set("key").alias("keys"))  # as many as the vector has leaves
-    blocks = state.groupBy("key").agg(F.ceil(F.count("*") / (2 * leaf)).cast("int").alias("blocks"))  # 1 but for what cannot be split
+    blocks = state.groupBy("key").agg(F.ceil(F.count("*") / max(2 * leaf, block)).cast("int").alias("blocks"))  # 1 but for what is not split
     placed = state.join(keys, "id").join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     placed = placed.select("key", "keys", "id", "w", "v", "block", other).select(

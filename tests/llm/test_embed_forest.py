@@ -33,6 +33,18 @@ def test_recall_on_groups_of_copies(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_recall_on_a_large_group_of_distinct_near_copies(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=32) + rng.normal(0, 0.15, (5000, 32)), rng.normal(size=(5000, 32))])
+    labels, ids = np.ones(len(x), int), rng.permutation(len(x)) * 3
+    df = spark.createDataFrame([(int(i), [float(e) for e in v], int(c)) for i, v, c in zip(ids, x, labels)], SCHEMA)
+    got = {r["vec_id"]: r for r in ef.near_copies(df).collect()}
+    want, component = brute(ids, x, labels)
+    assert want.max() > 4000
+    assert [got[i]["n_links"] for i in ids] == want.tolist()
+    assert [got[i]["component_id"] for i in ids] == component.tolist()
+
+
 def test_equal_and_collinear_vectors_that_no_projection_splits(spark):
     rows = [(i, [1.0, 2.0, 3.0], 1) for i in range(50)] + [(100 + i, [(i + 1) * 1.0, (i + 1) * 2.0, (i + 1) * 3.0], 1) for i in range(60)]
     got = ef.near_copies(spark.createDataFrame(rows, SCHEMA), trees=3, leaf=10).collect()
