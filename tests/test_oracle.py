@@ -1,8 +1,15 @@
 """A part of the registered queries next to their oracles on the smallest data; ``checks.run`` does all of them."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
+from checks.oracle import oracles
+from checks.registry import QUERIES
 from checks.run import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -23,7 +30,20 @@ def test_query_equals_oracle(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(oracles())
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_entry_works_without_the_optional_package(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("quadlens", "checks"):
+        shutil.copytree(os.path.join(root, name), tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(os.path.join(root, name)):
+            shutil.copy(os.path.join(root, name), tmp_path)
+    found = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries())"], cwd=tmp_path, capture_output=True,
+                           text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
+    assert set(found.stdout.split()) == set(QUERIES)
 
 
 def test_flagship(spark):
