@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlens.llm import bpe_trie, embed_forest, kneser_ney, licences, nbsvm, pii_boost, shard_tree, size_aware_join, tiling, toxicity
+from quadlens.llm import bpe_trie, embed_forest, kneser_ney, licences, nbsvm, pii_boost, prefix_counts, shard_tree, size_aware_join, tiling, toxicity
 from quadlens.llm.common import read, remainder
+from quadlens.session import cut
 
 
 def op1_embed_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +64,13 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licensed(docs.select("doc_id", F.when(F.col("source").isNotNull(), path).alias("path"), "text"))
 
 
+def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = cut(prefix_counts.prefix_table(read(spark, sf_dir, "documents")), "prefixes")
+    return prefix_counts.report(table, 512)
+
+
 OPERATORS = (op1_embed_forest, op2_kneser_ney, op3_tiling, op4_toxicity, op5_shard_tree, op6_bpe_trie, op7_nbsvm, op8_size_aware_join, op9_pii_boost,
-             op10_licences)
+             op10_licences, op11_prefix_counts)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 #: DuckDB SQL where it can express the operator; the others are tested against brute force in tests/llm.
