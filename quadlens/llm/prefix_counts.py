@@ -13,10 +13,11 @@ for that prefix alone. Counts may fall from one prefix to the next.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from operator import sub
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from quadlens.llm.bpe_trie import BLANK, WORD, Trie, default_vocabulary
 from quadlens.llm.common import map_texts
 
-#: Words whose tables a task keeps, and characters of words too long to be worth keeping.
-CACHED_WORDS, KEPT_CHARS = 300_000, 64
+#: Words whose tables a task keeps.
+CACHED_WORDS = 400_000
 #: Blanks before a word: all but the last are a word of their own, which they are not while the text ends with them.
 RUN = regex.compile(f"[{BLANK}]{{2,}}(?=[^{BLANK}])")
 #: fixed values: word endings that are only split off when whole
@@ -40,50 +41,61 @@ class PrefixCounter:
 
     def __init__(self, path: str) -> None:
         trie = Trie(path)
-        self.crossed, self.crossing, self.special, self.never = trie.crossed, trie.crossing, trie.special, float("inf")
-        self.ending = ahocorasick.Automaton()
-        for spelling, token in trie.tokens.items():
-            self.ending.add_word(spelling.decode("latin-1"), (len(spelling), token))
-        self.ending.make_automaton()
+        self.tokens, self.crossed, self.crossing, self.special = trie.tokens, trie.crossed, trie.crossing, trie.special
+        self.longest = max(map(len, self.tokens))
         self.cache: dict[str, bytes] = {}
         self.late: dict[str, int] = {}
 
     def counts(self, word: bytes) -> list[int]:
-        """Tokens of each prefix of one word, by bytes; entry 0 is the empty prefix."""
-        count, last = [0] * (len(word) + 1), [-1] * (len(word) + 1)
-        crossed, never = self.crossed, self.never
-        for at, (length, token) in self.ending.iter(word.decode("latin-1")):  # at each end, longer tokens first
-            end = at + 1
-            if last[end] >= 0:
-                continue
-            start = end - length
-            if start:
-                pair = last[start], token
-                gap = crossed.get(pair)
-                if (self.crossing(*pair) if gap is None else gap) != never:
-                    continue
-            last[end], count[end] = token, count[start] + 1
-        if -1 in last[1:]:
-            raise ValueError("the vocabulary lacks a byte")
+        """Tokens of each prefix of one word, by bytes; entry 0 is the empty prefix.
+
+        Just one token can end a prefix, so any order of trying finds it: first the last token grown by a byte, then short ones.
+        """
+        n = len(word)
+        count, last = [0] * (n + 1), [-1] * (n + 1)
+        token_of, crossed, never = self.tokens.get, self.crossed.get, float("inf")
+        start = 0
+        for end in range(1, n + 1):
+            tried = end
+            while True:
+                token = token_of(word[start:end])
+                if token is not None:
+                    if not start:
+                        break
+                    pair = last[start], token
+                    gap = crossed(pair)
+                    if (self.crossing(*pair) if gap is None else gap) == never:
+                        break
+                start = tried = tried - 1
+                if end - start > self.longest or start < 0:
+                    raise ValueError("the vocabulary lacks a byte")
+            last[end] = token
+            count[end] = count[start] + 1
         return count
 
+    def made(self, word: str) -> bytes:
+        spelled = word.encode("utf-8")
+        count = self.counts(spelled)
+        if word in ENDINGS:  # cut short, the apostrophe is a word and the letter another
+            count[2] = 1 + self.counts(spelled[1:2])[1]
+        if len(spelled) > len(word):
+            count = [0, *(count[i] for i in range(1, len(spelled)) if spelled[i] & 0xC0 != 0x80), count[-1]]
+        return array("h", map(sub, count[1:], count)).tobytes()
+
+    def learn(self, words: Iterable[str]) -> None:
+        """The step of the count at each character of the words not seen yet, as 16-bit numbers: a token of n bytes can lower a count by
+        n - 1."""
+        words = set(words)
+        new = words.difference(self.cache)
+        if len(self.cache) + len(new) > CACHED_WORDS:
+            self.cache.clear()
+            new = words
+        for word in new:
+            self.cache[word] = self.made(word)
+
     def steps(self, word: str) -> bytes:
-        """The step of the count at each character of a word, as 16-bit numbers: a token of n bytes can lower a count by n - 1."""
         found = self.cache.get(word)
-        if found is None:
-            spelled = word.encode("utf-8")
-            count = np.array(self.counts(spelled))
-            if word in ENDINGS:  # cut short, the apostrophe is a word and the letter another
-                count[2] = 1 + self.counts(spelled[1:2])[1]
-            if len(spelled) > len(word):
-                lead = np.frombuffer(spelled, np.uint8)
-                count = count[np.r_[0, np.flatnonzero((lead[1:] & 0xC0) != 0x80) + 1, len(spelled)]]
-            found = np.diff(count).astype(np.int16).tobytes()
-            if len(word) <= KEPT_CHARS:
-                if len(self.cache) >= CACHED_WORDS:
-                    self.cache.clear()
-                self.cache[word] = found
-        return found
+        return self.made(word) if found is None else found
 
     def total(self, word: str) -> int:
         return int(np.frombuffer(self.steps(word), np.int16).sum())
@@ -105,7 +117,8 @@ class PrefixCounter:
             try:
                 joined.append(b"".join(map(self.cache.__getitem__, words)))
             except KeyError:
-                joined.append(b"".join(map(self.steps, words)))
+                self.learn(words)
+                joined.append(b"".join(map(self.cache.__getitem__, words)))
         steps = np.frombuffer(bytearray(b"".join(joined)), np.int16)
         for m in RUN.finditer(text):
             end, more = m.end(), self.whole_run(m[0])
