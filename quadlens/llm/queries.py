@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlens.llm import bpe_trie, embed_forest, kneser_ney, licences, nbsvm, pii_boost, prefix_counts, shard_tree, size_aware_join, tiling, token_alignment, toxicity
+from quadlens.llm import bpe_trie, embed_forest, embed_whitening, kneser_ney, licences, nbsvm, pii_boost, prefix_counts, shard_tree, size_aware_join, tiling, token_alignment, toxicity
 from quadlens.llm.common import read, remainder
 from quadlens.session import cut
 
@@ -73,8 +73,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.report(read(spark, sf_dir, "documents"))
 
 
+def op13_embed_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 OPERATORS = (op1_embed_forest, op2_kneser_ney, op3_tiling, op4_toxicity, op5_shard_tree, op6_bpe_trie, op7_nbsvm, op8_size_aware_join, op9_pii_boost,
-             op10_licences, op11_prefix_counts, op12_token_alignment)
+             op10_licences, op11_prefix_counts, op12_token_alignment, op13_embed_whitening)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 #: DuckDB SQL where it can express the operator; the others are tested against brute force in tests/llm.
