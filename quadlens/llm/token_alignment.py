@@ -30,7 +30,7 @@ from quadlens.llm.common import arrow_pieces, grow, map_texts, pack, shrink, unp
 from quadlens.session import cut
 
 #: Parts whose alignment a task keeps, and their links.
-CACHED_PARTS, CACHED_LINKS = 150_000, 3_000_000
+CACHED_PARTS, CACHED_LINKS = 250_000, 5_000_000
 #: Links (a pair in a document) and documents of a block.
 BLOCK_LINKS, BLOCK_DOCS = 3_000_000, 40_000
 #: Characters a task aligns at a time.
@@ -87,24 +87,32 @@ class Aligner:
             self.add((" " + p).encode(), a.ids, b if p else [self.blank])  # B gives the empty text no blank
 
     def add(self, spelled: bytes, a: list[int], b: list[int]) -> None:
-        a_spelled, b_spelled = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        a_bytes, b_bytes = self.a_bytes, self.b_bytes
+        a_spelled, b_spelled = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
         same = b"".join(a_spelled) == spelled and b"".join(b_spelled) == spelled
-        groups = []
+        groups, links = [], []
         if same:
-            a_ends, b_ends = list(accumulate(map(len, a_spelled))), list(accumulate(map(len, b_spelled)))
-            a_index, b_index = {e: i for i, e in enumerate(a_ends)}, {e: i for i, e in enumerate(b_ends)}
+            a_index = dict(zip(accumulate(map(len, a_spelled)), range(len(a))))
+            b_index = dict(zip(accumulate(map(len, b_spelled)), range(len(b))))
             i = j = 0
             for end in sorted(a_index.keys() & b_index.keys()):
                 i_to, j_to = a_index[end] + 1, b_index[end] + 1
+                if i_to - i == j_to - j == 1:
+                    groups.append(f"{a[i]}|{b[j]}")
+                    links.append(a[i] << 32 | b[j])
+                    i, j = i_to, j_to
+                    continue
                 groups.append(",".join(map(str, a[i:i_to])) + "|" + ",".join(map(str, b[j:j_to])))
+                a_ends, b_ends = list(a_index), list(b_index)
                 while i < i_to:  # the token that ends first gives way; both do at the group's end
-                    self.links.append(a[i] << 32 | b[j])
+                    links.append(a[i] << 32 | b[j])
                     x, y = a_ends[i], b_ends[j]
                     i, j = i + (x <= y), j + (y <= x)
         self.same.append(same)
         self.n_a.append(len(a))
         self.n_b.append(len(b))
         self.n_groups.append(len(groups))
+        self.links.extend(links)
         self.ends.append(len(self.links))
         self.groups.append(";".join(groups).encode())
 
