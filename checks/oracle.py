@@ -135,22 +135,33 @@ def _answers() -> str:
              f"JOIN key c ON c.o = a.s AND c.p = '{customer}'"),
         part(24, ["c"], ["a.s"], f"JOIN key a ON a.p = '{label}' AND a.o = "
              "'\"Customer#00000000' || cast(k % 7 as string) || '\"@en'"),
+        part(4, ["s"], ["a.s"], f"JOIN key a ON a.p = '{label}' AND a.o LIKE '%\"@en'"),
+        part(13, ["c"], ["a.s"], f"JOIN key a ON a.p = '{nation}' AND (a.o = {na} OR a.o = '<{EX}nation/7>')"),
+        # every customer has one nation, every order one status
+        part(14, ["c"], ["a.s"], f"JOIN key a ON a.p = '{nation}' AND a.o <> {na}"),
+        part(15, ["o"], ["a.s"], f"JOIN key a ON a.o = {cu} AND a.p = '{customer}' JOIN key b ON b.s = a.s AND b.p = '{status}' "
+             f"AND b.o = '\"F\"{xs}'"),
+        part(16, ["o"], ["a.s"], f"JOIN key a ON a.o = {cu} AND a.p = '{customer}' JOIN key b ON b.s = a.s AND b.p = '{status}' "
+             f"AND b.o <> '\"P\"{xs}'"),
+        part(33, ["g", "s"], ["'<' || a.g || '>'", "a.s"], f"JOIN key a ON a.p = '{region}' AND a.o = '<{EX}region/' || cast(k % 5 as string) || '>'"),
+        part(34, ["type"], ["b.o"], f"JOIN key a ON a.o = {na} AND a.p = '{nation}' AND contains(a.s, 'customer') JOIN key b ON b.s = a.s "
+             f"AND b.p = '<{RDF_TYPE}>' JOIN key c ON c.s = a.s AND c.p = '{label}'"),
     ]
     names = "uq_id, n_vars, n1, v1, n2, v2, n3, v3"
     return f"""matches({names}) AS ({' UNION ALL '.join(parts)}),
-answers AS (SELECT {names} FROM matches JOIN u USING (uq_id) WHERE tmpl IN (0, 1, 20, 21, 24)
+answers AS (SELECT DISTINCT {names} FROM matches JOIN u USING (uq_id) WHERE tmpl IN (0, 1, 4, 13, 14, 15, 16, 20, 21, 24, 33, 34)
   UNION ALL SELECT DISTINCT uq_id, 1, n2, v2, NULL, NULL, NULL, NULL FROM matches JOIN u USING (uq_id) WHERE tmpl = 22)"""
 
 
 def _valid() -> str:
     """Templates without an answer whatever the constants, with an undecided one, and those in ``answers``."""
-    never = "10, 23, 25, 26, 28, 29, 30, 31"
-    undecided = "4, 7, 9, 12, 13, 14, 15, 16, 17, 19, 27, 33, 34"
+    never = "10, 23, 25, 26, 27, 28, 29, 30, 31"
+    undecided = "7, 9, 17, 19"
     either = (f"EXISTS (SELECT 1 FROM key WHERE p = '<{EX}p/customer>') OR "
               f"EXISTS (SELECT 1 FROM key WHERE p = '<{EX}p/nation>' AND o = {FILL['$NA']})")
     return f"""{_answers()},
 valid AS (SELECT uq_id, CASE WHEN tmpl IN ({never}) THEN false WHEN tmpl IN ({undecided}) THEN NULL
-  WHEN tmpl = 3 THEN {either} ELSE uq_id IN (SELECT uq_id FROM matches) END AS valid FROM u)"""
+  WHEN tmpl = 3 THEN {either} WHEN tmpl = 12 THEN {FILL['$CU']} IN (SELECT s FROM key) ELSE uq_id IN (SELECT uq_id FROM matches) END AS valid FROM u)"""
 
 
 from checks.fixtures import FILLERS as FILL  # noqa: E402

@@ -71,7 +71,7 @@ def annotated(shapes: DataFrame) -> DataFrame:
         F.sum(_change(t == "(", t == ")")).over(upto).alias("pd"),
         F.sum(_change(t == "{", t == "}")).over(upto).alias("bd"),
         F.sum(_change(t == "[", t == "]")).over(upto).alias("sd"),
-        F.lag("t").over(seq).alias("prev"), F.lead("t").over(seq).alias("next"))
+        F.lag("t").over(seq).alias("prev"), F.lead("t").over(seq).alias("next"), F.lag("t", 2).over(seq).alias("prev2"))
 
     # braces: the block a token is in and what kind of group it is
     at_top = c("pd") == 0
@@ -99,11 +99,16 @@ def annotated(shapes: DataFrame) -> DataFrame:
         inside(c("kind") == "minus").alias("in_minus"), inside(c("kind") == "service").alias("in_service"),
         inside(c("sub") & (c("lvl") > 1)).alias("in_sub"), inside(c("kind") == "graph").alias("in_graph"),
         inside(c("kind") == "optional").alias("in_opt"), inside(c("alt")).alias("in_alt"),
+        inside(c("kind") == "exists").alias("in_exists"), inside(c("kind").isin("exists", "minus")).alias("in_test"),
         # statements open at a clause word, brace or dot outside parentheses
         F.sum(F.when(at_top & (brace | (t == ".") | _is_clause(t)), 1).otherwise(0)).over(upto).alias("lead"))
     lead = W.partitionBy("shape", "lead").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.select(
         "*", F.last(F.when((t == "{") & c("alt") & (c("in_alt") == 1), c("pos")), True).over(upto).alias("alt_open"),
+        F.when(c("in_test") > 0, F.last(F.when((t == "{") & c("kind").isin("exists", "minus") & (c("in_test") == 1), F.struct(
+            c("pos").alias("open"), F.when(c("kind") == "minus", "minus").when(c("prev2") == "NOT", "notexists").otherwise("exists").alias("sign"))),
+            True).over(upto)).alias("test"),
+        F.when(c("in_graph") > 0, F.last(F.when((t == "{") & (c("kind") == "graph"), c("pos")), True).over(upto) - 1).alias("graph_at"),
         F.first("t").over(lead).alias("lead_t"),
         F.sum(F.when((t == ")") & at_top, 1).otherwise(0)).over(lead).alias("closed"))
     # ... and after the closing parenthesis of a FILTER or BIND
@@ -122,12 +127,14 @@ def annotated(shapes: DataFrame) -> DataFrame:
         "*", F.when(c("sd") > 0, opener.over(depth)).otherwise(-1).alias("frame"),
         F.when(t == "]", opener.over(inner)).otherwise(c("pos")).alias("idx"))
 
-    is_triple = c("head").isNull() & (c("hidden") == 0)
+    # the triples of an EXISTS test are no patterns of the query, but its test needs them
+    is_triple = c("head").isNull() & (c("hidden") == c("in_exists"))
+    shown = c("hidden") == 0
     # a path cannot be part of a plain pattern; parentheses inside a triple statement are paths too
     path_sign = is_triple & ((at_top & t.isin(*PATH_SIGNS)) | ((t == "(") & (c("pd") == 1)))
     rows = rows.select(
         "*", (is_triple & at_top & t.isin(*TERM_CLASSES)).alias("is_term"), path_sign.alias("path_sign"))
-    breaks = (brace & at_top & (c("kind") != "exists")) | (at_top & t.isin("BIND", "VALUES")) | c("path_sign")
+    breaks = (brace & at_top & (c("kind") != "exists")) | (at_top & t.isin("BIND", "VALUES")) | (shown & c("path_sign"))
     rows = rows.withColumn("brk", F.sum(F.when(breaks, 1).otherwise(0)).over(upto))
 
     scope = W.partitionBy("shape", "stmt", "frame")
@@ -149,7 +156,7 @@ def annotated(shapes: DataFrame) -> DataFrame:
         F.max("rank").over(segment).alias("terms"), F.max(c("is_term") & (t == "]")).over(segment).alias("anon"),
         F.sum(F.when(plain & (t == ","), 1).otherwise(0)).over(segment).alias("commas"))
     # well-formed: a known form, balanced nesting, no stray signs or words, and complete triple statements
-    complete = (c("is_path") | (c("terms") - c("base") == c("commas") + 1)
+    complete = (~shown | c("is_path") | (c("terms") - c("base") == c("commas") + 1)
                 | ((c("commas") == 0) & ((c("terms") == 0) | ((c("terms") == 1) & c("anon") & (c("base") == 2)))))
     stray = t.isin(*STRAY_SIGNS) | (plain & t.rlike("^[A-Z_]{2,}$"))
     end = F.max_by(F.abs("pd") + F.abs("bd") + F.abs("sd"), "pos").over(checked)
@@ -161,41 +168,57 @@ def annotated(shapes: DataFrame) -> DataFrame:
            .when(c("in_graph") > 0, "graph").when(c("in_opt") > 0, "optional").when(c("in_alt") > 0, "union")
            .otherwise("required"))
     return rows.select(
-        "shape", "pos", "t", "prev", "next", "pd", "bd", "sd", "block", "kind", "hidden", "stmt", "head", "frame",
-        "idx", "is_term", "path_sign", "is_path", "is_ok", "seg", "rank", "base", "subj", "pred", "brk", ctx.alias("ctx"),
+        "shape", "pos", "t", "prev", "next", "pd", "bd", "sd", "block", "kind", "hidden", "stmt", "head", "frame", "idx", "is_term",
+        "in_opt", "in_alt", "in_graph", "in_test", "in_service", "in_sub", "alt_open", "test", "graph_at", (shown & c("path_sign")).alias("path_sign"), "is_path", "is_ok", "seg", "rank", "base", "subj", "pred", "brk", ctx.alias("ctx"),
         F.when(c("in_alt") > 0, c("alt_open")).alias("branch"))
 
 
 def shape_triples(annotated: DataFrame) -> DataFrame:
-    """Positions of the triple patterns of each well-formed skeleton: shape, bgp_id, pos, s_at, p_at, o_at, ctx, branch."""
+    """Positions of the triple patterns of each well-formed skeleton: shape, bgp_id, pos, s_at, p_at, o_at, ctx, branch, part, graph_at.
+
+    ctx is the kind of group a triple stands in; part says what it is for the answers, whatever graph it stands in: required, of a
+    union's branch, optional, or not part of them (aside). graph_at is the place of the name of its graph.
+    """
     c = F.col
-    found = annotated.filter(c("is_ok") & c("is_term") & (c("rank") > c("base")) & ~c("is_path"))
+    found = annotated.filter(c("is_ok") & (c("hidden") == 0) & c("is_term") & (c("rank") > c("base")) & ~c("is_path"))
+    part = (F.when((c("in_test") > 0) | (c("in_service") > 0) | (c("in_sub") > 0), "aside").when(c("in_opt") > 0, "optional")
+            .when(c("in_alt") > 0, "union").otherwise("required"))
     return found.select(
         "shape", (F.dense_rank().over(W.partitionBy("shape").orderBy("brk")) - 1).cast("bigint").alias("bgp_id"),
         (F.row_number().over(W.partitionBy("shape").orderBy("idx")) - 1).cast("bigint").alias("pos"),
-        c("subj").alias("s_at"), c("pred").alias("p_at"), c("idx").alias("o_at"), "ctx", "branch")
+        c("subj").alias("s_at"), c("pred").alias("p_at"), c("idx").alias("o_at"), "ctx", "branch", part.alias("part"), "graph_at")
 
 
-# clauses whose meaning an existence test over plain patterns does not cover
-UNCOVERED = ("FROM", "FILTER", "MINUS", "SERVICE", "GRAPH", "VALUES", "HAVING", "OFFSET", "EXISTS")
+# clauses whose meaning the tests of ``conditions`` do not cover
+UNCOVERED = ("FROM", "SERVICE", "HAVING")
 
 
 def shape_checks(annotated: DataFrame) -> DataFrame:
     """shape, is_ok, n, covered, one_row, branches, binds: facts about each skeleton.
 
-    n counts triple patterns; covered says that an existence test over plain patterns, optional parts and at most one
-    union decides whether the query has an answer; one_row marks aggregates that always have one; branches counts
-    those of the union; binds says that a BIND occurs.
+    n counts triple patterns; covered says that plain patterns with their conditions, optional parts and at most one union decide
+    whether the query has an answer (filters: see ``conditions.shape_conditions``); one_row marks aggregates that always have one;
+    branches counts those of the union; binds says that a BIND occurs.
     """
     c = F.col
     t = c("t")
-    triple = c("is_ok") & c("is_term") & (c("rank") > c("base")) & ~c("is_path")
-    uncovered = (t.isin(*UNCOVERED) | c("path_sign") | ((t == "SELECT") & (c("bd") > 0))
-                 | c("ctx").isin("minus", "service", "graph", "subselect"))
+    triple = c("is_ok") & (c("hidden") == 0) & c("is_term") & (c("rank") > c("base")) & ~c("is_path")
+    opens_test = (t == "{") & c("kind").isin("exists", "minus")
+    # a test holds triples alone and stands at the outermost level or directly in a branch
+    bad_test = (c("in_opt") == 0) & (
+        ((c("in_test") > 0) & (c("head").isNotNull() | ((t == "{") & ~opens_test) | (c("in_test") > 1) | (c("in_graph") > 0)))
+        | (opens_test & (c("bd") - c("in_alt") != 2)) | (c("in_alt") > 1) & (c("in_test") > 0))
+    at_level = (c("bd") == 1) | ((c("bd") == 2) & (((c("in_alt") == 1) & (c("block") == c("alt_open"))) | (c("in_graph") == 1)))
+    uncovered = (t.isin(*UNCOVERED) | c("path_sign") | ((c("in_test") > 0) & c("is_path")) | ((t == "SELECT") & (c("bd") > 0)) | ((t == "EXISTS") & (c("pd") > 0)) | bad_test
+                 | ((t == "FILTER") & (c("in_opt") == 0) & (c("in_test") == 0) & ~at_level)
+                 | ((t == "VALUES") & (c("in_opt") == 0) & (c("bd") > 1))
+                 | ((t == "{") & (c("kind") == "graph") & ~c("prev").isin("i", "v"))
+                 | c("ctx").isin("service", "subselect"))
     unions = F.count(F.when(t == "UNION", 1))
     return annotated.groupBy("shape").agg(
         F.first("is_ok").alias("is_ok"), F.count(F.when(triple, 1)).alias("n"),
-        (F.max(t == "{") & ~F.max(uncovered) & ((unions == 0) | (F.count_distinct("branch") == unions + 1))).alias("covered"),
+        ((F.max(t == "{") | F.max((c("head") == "DESCRIBE") & (t == "i")))
+         & ~F.max(F.coalesce(uncovered, F.lit(False))) & ((unions == 0) | (F.count_distinct("branch") == unions + 1))).alias("covered"),
         (F.max((c("head") == "SELECT") & t.isin(*vocab.AGGREGATES)) & ~F.max(t == "GROUP")).alias("one_row"),
         F.count_distinct("branch").alias("branches"), F.max(t == "BIND").alias("binds"))
 
@@ -228,21 +251,22 @@ def token_rows(queries: DataFrame) -> DataFrame:
 
 
 def _terms(rows: DataFrame, keep: list[str]) -> DataFrame:
-    places = ["ctx", "branch", "s_at", "p_at", "o_at"]
-    picked = rows.select(*keep, "bgp_id", "pos", *[at(F.col(f"{r}_at")).alias(r) for r in ("s", "p", "o")], *places)
-    return picked.select(*keep, "bgp_id", "pos", *[X.term_struct(F.col(r)).alias(r) for r in ("s", "p", "o")], *places)
+    places = ["ctx", "branch", "s_at", "p_at", "o_at", "part"]
+    picked = rows.select(*keep, "bgp_id", "pos", *[at(F.col(f"{r}_at")).alias(r) for r in ("s", "p", "o")], *places, at(F.col("graph_at")).alias("graph"))
+    return picked.select(*keep, "bgp_id", "pos", *[X.term_struct(F.col(r)).alias(r) for r in ("s", "p", "o")], *places, "graph")
 
 
 def triple_patterns(queries: DataFrame, key: str = "qid", text: str = "query_text",
                     carry: tuple[str, ...] = ()) -> DataFrame:
-    """Every triple pattern of every well-formed query: key, bgp_id, pos, s, p, o (term structs), ctx, branch."""
+    """Every triple pattern of every well-formed query: key, bgp_id, pos, s, p, o (term structs), ctx, branch, and for the
+    answers part and graph (token of the graph's name, null outside GRAPH)."""
     tok = stored_tokens(queries, text, [key, *carry])
     return _terms(per_query(tok, shape_triples(annotated(shapes_of(tok))), [key, *carry]), [key, *carry])
 
 
 def flat_triples(triples: DataFrame) -> DataFrame:
     """Triple patterns with the term structs spread into plain columns."""
-    out = [F.col(name) for name in triples.columns if name not in ("s", "p", "o")]
+    out = [F.col(name) for name in triples.columns if name not in ("s", "p", "o", "part", "graph")]
     for role in ("s", "p", "o"):
         out += [F.col(f"{role}.value").alias(role), F.col(f"{role}.kind").alias(f"{role}_kind")]
     return triples.select(*out, F.col("o.datatype").alias("o_datatype"), F.col("o.lang").alias("o_lang"))
@@ -285,23 +309,26 @@ def iri_mentions(queries: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("n")))
 
 
+def values_cells(annotated: DataFrame) -> DataFrame:
+    """shape, block, row, col, var_at, term_at of the cells of inline data."""
+    c = F.col
+    data = annotated.filter("kind = 'values'")
+    cells = data.withColumn("tuple", F.sum(F.when(c("t") == "(", 1).otherwise(0)).over(
+        W.partitionBy("shape", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    cells = cells.filter(c("t").isin("i", "l", "n", "UNDEF")).withColumn(
+        "col", F.row_number().over(W.partitionBy("shape", "block", "tuple").orderBy("pos")))
+    single = c("tuple") == 0
+    cells = cells.select("shape", "stmt", "block", F.when(single, c("col")).otherwise(c("tuple")).alias("row"),
+                         F.when(single, 1).otherwise(c("col")).alias("col"), c("pos").alias("term_at"))
+    names = annotated.filter("head = 'VALUES' and t = 'v'").select(
+        "shape", (c("stmt") + 1).alias("stmt"), c("pos").alias("var_at"),
+        F.row_number().over(W.partitionBy("shape", "stmt").orderBy("pos")).alias("col"))
+    return cells.join(names, ["shape", "stmt", "col"]).select("shape", "block", "row", "col", "var_at", "term_at")
+
+
 def values_blocks(queries: DataFrame) -> DataFrame:
     """qid, block, row, var, term of inline VALUES data, wherever it stands in the query."""
-    def rows(a: DataFrame) -> DataFrame:
-        c = F.col
-        data = a.filter("kind = 'values'")
-        cells = data.withColumn("tuple", F.sum(F.when(c("t") == "(", 1).otherwise(0)).over(
-            W.partitionBy("shape", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)))
-        cells = cells.filter(c("t").isin("i", "l", "n", "UNDEF")).withColumn(
-            "col", F.row_number().over(W.partitionBy("shape", "block", "tuple").orderBy("pos")))
-        single = c("tuple") == 0
-        cells = cells.select("shape", "stmt", "block", F.when(single, c("col")).otherwise(c("tuple")).alias("row"),
-                             F.when(single, 1).otherwise(c("col")).alias("col"), c("pos").alias("term_at"))
-        names = a.filter("head = 'VALUES' and t = 'v'").select(
-            "shape", (c("stmt") + 1).alias("stmt"), c("pos").alias("var_at"),
-            F.row_number().over(W.partitionBy("shape", "stmt").orderBy("pos")).alias("col"))
-        return cells.join(names, ["shape", "stmt", "col"]).select("shape", "block", "row", "var_at", "term_at")
-    out = _clauses(queries, rows)
+    out = _clauses(queries, values_cells)
     return out.select("qid", F.col("block").cast("bigint").alias("block"), F.col("row").cast("bigint").alias("row"),
                       X.term_struct(at(F.col("var_at")))["value"].alias("var"), at(F.col("term_at")).alias("term"))
 

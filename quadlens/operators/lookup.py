@@ -12,6 +12,7 @@ from quadlens import vocab
 from quadlens.functions import text as X
 from quadlens.operators import decompose as D
 from quadlens.operators import matching as M
+from quadlens.operators.conditions import decidable, slot, text_conditions
 from quadlens.session import cut
 
 
@@ -39,23 +40,28 @@ def exists_in_role(terms: DataFrame, quads: DataFrame, role: str) -> DataFrame:
 # --- validity -------------------------------------------------------------------------------------------------------
 
 def decided(unique: DataFrame, triples: DataFrame) -> DataFrame:
-    """The unique queries that plain patterns decide, with their facts (see ``shape_checks``).
+    """The unique queries that plain patterns with conditions decide, with their facts (see ``shape_checks``).
 
     Left out are queries whose BIND fixes a variable of a triple, and those where a variable that an optional part binds
     first is needed by a later triple.
     """
     covered = unique.filter("covered")
     terms = F.array_distinct(F.array(*[F.struct(F.col(f"{r}.kind").alias("kind"), F.col(f"{r}.value").alias("value")) for r in ("s", "p", "o")]))
-    used = triples.select("uq_id", "pos", "ctx", "branch", F.explode(terms).alias("t")).filter("t.kind in ('variable', 'blank')")
+    used = triples.select("uq_id", "pos", "part", "branch", F.explode(terms).alias("t")).filter("t.kind in ('variable', 'blank')")
     # places of a variable, as many as the text has; one branch does not see what another binds
-    late = used.groupBy("uq_id", "t").agg(F.collect_list(F.struct("pos", "ctx", "branch")).alias("at")).filter("""exists(at, o ->
-        o.ctx = 'optional' and exists(at, n -> n.ctx <> 'optional' and n.pos > o.pos and (n.ctx = 'required' or o.branch is null or n.branch = o.branch))
-        and not exists(at, e -> e.ctx <> 'optional' and e.pos < o.pos and (e.ctx = 'required' or e.branch = o.branch)))""")
-    bound = D.bind_vars(covered.filter("binds").select(F.col("uq_id").alias("qid"), F.col("norm_text").alias("query_text")))
-    fixed = bound.join(used.select("uq_id", "t.value").distinct(), (F.col("qid") == F.col("uq_id")) & (F.col("var") == F.col("value")))
+    late = used.groupBy("uq_id", "t").agg(F.collect_list(F.struct("pos", "part", "branch")).alias("at")).filter("""exists(at, o ->
+        o.part = 'optional' and exists(at, n -> n.part <> 'optional' and n.pos > o.pos and (n.part = 'required' or o.branch is null or n.branch = o.branch))
+        and not exists(at, e -> e.part <> 'optional' and e.pos < o.pos and (e.part = 'required' or e.branch = o.branch)))""")
+    fixed = bind_names(covered).alias("b").join(used.select("uq_id", "t.value").distinct().alias("u"), "uq_id").filter("var = value")
     return covered.join(late.select("uq_id").unionByName(fixed.select("uq_id")).distinct(), "uq_id", "left_anti")
 
 
+def bind_names(unique: DataFrame) -> DataFrame:
+    """uq_id, var: variables that BIND sets."""
+    found = D.bind_vars(unique.filter("binds").select(F.col("uq_id").alias("qid"), F.col("norm_text").alias("query_text")))
+    return found.withColumnRenamed("qid", "uq_id")
+
+
 def query_units(queries: DataFrame, triples: DataFrame) -> DataFrame:
     """unit, uq_id, branch: a unit for each query, or for each branch of its union, also for those without a triple."""
     seen = triples.filter("branch is not null").select("uq_id", "branch").distinct()
@@ -67,33 +73,160 @@ def query_units(queries: DataFrame, triples: DataFrame) -> DataFrame:
 
 
 def match_units(units: DataFrame, triples: DataFrame) -> DataFrame:
-    """Patterns that must match for a unit to have an answer: unit, pos, s, p, o.
+    """Triples that must match for a unit to have an answer, by name or key: unit, pos, s, p, o, g.
 
-    OPTIONAL parts never decide whether there is an answer. A branch has its own triples and those outside the union.
+    OPTIONAL parts never decide whether there is an answer. A branch has its own triples and those outside the union. g is null
+    outside GRAPH.
     """
-    columns = ("unit", "pos", "s", "p", "o")
-    fixed = units.join(triples.filter("ctx = 'required'").drop("branch"), "uq_id").select(*columns)
-    own = triples.filter("ctx = 'union'").withColumn("unit", F.concat_ws("/", "uq_id", F.coalesce("branch", F.lit(-1)))) \
+    graph = F.when(F.col("graph").isNotNull(), slot(X.term_struct(F.col("graph"))))
+    columns = ("unit", "pos", *[slot(F.col(r)).alias(r) for r in ("s", "p", "o")], graph.alias("g"))
+    fixed = units.join(triples.filter("part = 'required'").drop("branch"), "uq_id").select(*columns)
+    own = triples.filter("part = 'union'").withColumn("unit", F.concat_ws("/", "uq_id", F.coalesce("branch", F.lit(-1)))) \
         .join(units.select("unit"), "unit", "left_semi").select(*columns)
     return fixed.unionByName(own)
 
 
+def unit_conditions(units: DataFrame, conditions: DataFrame, own: DataFrame, triples: DataFrame, binds: DataFrame) -> DataFrame:
+    """unit, kind, grp, op, vars, args, open: the conditions of each unit; open marks those that cannot be decided.
+
+    A filter has to look at variables that the unit's own triples bind; inline data and tests must not share a variable with optional
+    parts or BIND alone.
+    """
+    def names(df: DataFrame, *terms: Column) -> DataFrame:
+        return df.select(df.columns[0], F.explode(F.array(*terms)).alias("v")).filter(F.col("v").startswith("?"))
+    bound = names(own, *[F.col(r) for r in M.ROLES]).groupBy("unit").agg(F.collect_set("v").alias("bound"))
+    loose = names(triples.filter("part = 'optional'").select("uq_id", "s", "p", "o"), *[slot(F.col(r)) for r in ("s", "p", "o")]) \
+        .unionByName(binds.select("uq_id", F.concat(F.lit("?v"), "var").alias("v"))).groupBy("uq_id").agg(F.collect_set("v").alias("loose"))
+    rows = units.join(conditions.withColumnRenamed("branch", "at"), "uq_id").filter("at is null or at = branch")
+    rows = rows.join(bound, "unit", "left").join(loose, "uq_id", "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("bound", F.coalesce("bound", none)).withColumn("loose", F.coalesce("loose", none))
+    unknown = F.when(F.col("kind") == "filter", F.exists("vars", lambda v: ~F.array_contains("bound", v))).otherwise(
+        F.exists("vars", lambda v: ~F.array_contains("bound", v) & F.array_contains("loose", v)))
+    return rows.select("unit", "kind", "grp", "op", "vars", "args", "bound", (unknown | ~decidable(F.col("kind"), F.col("op"), F.col("args"))).alias("open"))
+
+
+def _packed(own: DataFrame, units: DataFrame) -> DataFrame:
+    """unit, todo of every unit; empty where there is no triple."""
+    fields = ("pos", *M.ROLES, "n", "subjects", "objects")
+    packed = own.groupBy("unit").agg(F.collect_list(F.struct(*fields)).alias("todo"))
+    empty = F.array().cast("array<struct<pos:bigint,s:string,p:string,o:string,g:string,n:double,subjects:double,objects:double>>")
+    return units.select("unit").join(packed, "unit", "left").withColumn("todo", F.coalesce(F.col("todo"), empty))
+
+
+def solutions(own: DataFrame, conditions: DataFrame, wanted: DataFrame, quads: DataFrame) -> DataFrame:
+    """unit, vals: the distinct bindings of the wanted variables of each unit that has an answer.
+
+    own: ``match_units``; conditions: ``unit_conditions`` without open ones; wanted: unit, keep (names in the order of the result).
+    A variable with a list of terms (=, IN, VALUES) starts from them. MINUS and EXISTS groups are matched from the bindings of the
+    variables they share with the rest, for all units at once, one group of each unit after the other.
+    """
+    none = F.array().cast("array<string>")
+    conditions = cut(conditions, "conditions")
+    own = cut(M.with_sizes(own, quads), "triples")
+    tested = conditions.filter("kind = 'test'").select("unit", "grp", "op", F.array_intersect("vars", "bound").alias("shared"))
+    shared = tested.groupBy("unit").agg(F.array_distinct(F.flatten(F.collect_set("shared"))).alias("shared"))
+    plain = conditions.filter("kind in ('filter', 'values')").groupBy("unit").agg(F.collect_list(F.struct("op", "vars", "args")).alias("conds"))
+
+    # the shortest list of terms a variable is limited to
+    columns = F.size("vars")
+    listed = (F.when((F.col("op") == "rows") & (columns > 0), F.transform(F.filter(F.sequence(F.lit(0), F.size("args") - 1), lambda i: i % columns == 0),
+                                                                          lambda i: F.get("args", i)))
+              .when(F.col("op").isin("eq", "in") & F.forall("args", lambda a: a.startswith("<")), F.col("args")))
+    lists = conditions.filter("kind in ('filter', 'values') and size(args) > 0").select("unit", F.get("vars", F.lit(0)).alias("var"), listed.alias("terms"), "bound").filter(
+        F.col("terms").isNotNull() & F.array_contains("bound", F.col("var")) & ~F.array_contains("terms", ""))
+    lists = lists.groupBy("unit").agg(F.min(F.struct(F.size("terms").alias("n"), "var", F.array_sort(F.array_distinct("terms")).alias("terms"))).alias("list"))
+
+    struct = "array<struct<op:string,vars:array<string>,args:array<string>>>"
+    patterns = _packed(own, wanted).join(wanted, "unit").join(plain, "unit", "left").join(lists, "unit", "left").join(shared, "unit", "left").select(
+        "unit", "todo", F.coalesce("conds", F.array().cast(struct)).alias("conds"),
+        F.when(F.col("list").isNull(), none).otherwise(F.array("list.var")).alias("given"), F.col("list.terms").alias("terms"),
+        F.array_union("keep", F.coalesce("shared", none)).alias("keep"), F.when(F.col("shared").isNotNull(), F.col("unit")).alias("apart"))
+    ordered = cut(M.ordered_patterns(patterns), "ordered")
+    found = _named(ordered, M.match_all(ordered, quads))
+    if tested.isEmpty():
+        return found
+    found = cut(found, "found")
+    groups = cut(tested.groupBy("unit", "grp", "op").agg(F.array_distinct(F.flatten(F.collect_set("shared"))).alias("shared"))
+                 .withColumn("nth", F.row_number().over(W.partitionBy("unit").orderBy("grp"))), "groups")
+    inner = conditions.filter("kind = 'test'").select(F.concat_ws("#", "unit", "grp").alias("unit"), *[F.get("vars", F.lit(i)).alias(f"v{i}") for i in range(3)],
+                                                      F.col("grp"))
+    # places of terms come as names or keys, so a test's triples need no further reading
+    inner = inner.select("unit", F.monotonically_increasing_id().alias("pos"), F.col("v0").alias("s"), F.col("v1").alias("p"), F.col("v2").alias("o"),
+                         F.lit(None).cast("string").alias("g"))
+    inner = cut(M.with_sizes(cut(inner, "tests"), quads), "tests")
+    for nth in range(1, groups.agg(F.max("nth")).first()[0] + 1):
+        now = groups.filter(F.col("nth") == nth)
+        asked = found.join(now, "unit")
+        part = F.array_sort(F.filter("vals", lambda v: F.array_contains("shared", v["var"])))
+        asked = cut(asked.select("unit", "vals", "op", "shared", F.concat_ws("#", "unit", "grp").alias("test"), part.alias("part")), "asked")
+        plans = now.select(F.concat_ws("#", "unit", "grp").alias("unit"), F.array_sort("shared").alias("given"))
+        plans = _packed(inner.join(plans, "unit", "left_semi"), plans).join(plans, "unit").select(
+            "unit", "todo", F.array().cast(struct).alias("conds"), "given", F.lit(None).cast("array<string>").alias("terms"), F.col("given").alias("keep"),
+            F.col("unit").alias("apart"))
+        plans = cut(M.ordered_patterns(plans), "ordered")
+        starts = asked.select(F.col("test").alias("unit"), "part").distinct().join(plans.select("unit", "bgp", "names"), "unit").select(
+            "bgp", F.transform("part", lambda v: F.struct(F.concat(F.lit("?"), F.array_position("names", v["var"]).cast("string")).alias("var"), v["val"].alias("val"))).alias("vals"))
+        holds_for = _named(plans, M.match_all(plans, quads, starts)).select(F.col("unit").alias("test"), F.array_sort("vals").alias("part")).distinct()
+        yes = asked.join(holds_for, ["test", "part"], "left_semi").filter("op = 'exists'")
+        no = asked.join(holds_for, ["test", "part"], "left_anti").filter("op <> 'exists'")
+        # without a common variable MINUS takes nothing away
+        apart = asked.filter("op = 'minus' and size(shared) = 0")
+        kept = yes.unionByName(no).unionByName(apart).select("unit", "vals").unionByName(found.join(now, "unit", "left_anti"))
+        found = cut(kept.distinct(), "found")
+    return found
+
+
+def _named(ordered: DataFrame, matched: DataFrame) -> DataFrame:
+    """unit, vals with the names of each unit."""
+    return ordered.select("unit", "bgp", "names").join(matched, "bgp").select("unit", F.transform("vals", lambda v: F.struct(
+        F.get(F.col("names"), F.substr(v["var"], F.lit(2)).cast("int") - 1).alias("var"), v["val"].alias("val"))).alias("vals"))
+
+
+#: Slices at the end of a text; a number of rows to skip is not counted, but a LIMIT of 0 leaves none.
+NO_ROWS, SKIPS = r" LIMIT 0+(?: OFFSET [0-9]+)?$", r" OFFSET 0*[1-9][0-9]*(?: LIMIT [0-9]+)?$"
+
+
+def restricted(quads: DataFrame, *triples: DataFrame) -> DataFrame:
+    """Quads as keys, written once: those of the predicates that some triple names, or all if one has a variable there."""
+    keyed = M.keyed_quads(quads)
+    used = triples[0].select("p")
+    for more in triples[1:]:
+        used = used.unionByName(more.select("p"))
+    used = cut(used.distinct(), "predicates")
+    if used.filter(M.is_variable(F.col("p"))).isEmpty():
+        keyed = keyed.join(used, "p", "left_semi")
+    return cut(keyed.select("s", "p", "o", F.concat(F.lit("<"), "g", F.lit(">")).alias("g")), "quads")
+
+
 def validity(unique: DataFrame, triples: DataFrame, quads: DataFrame) -> DataFrame:
-    """uq_id, valid: does the query have an answer in the graph; null where plain patterns cannot decide it."""
-    known = cut(decided(unique, triples).select("uq_id", "one_row", "branches"), "decided")
-    asked = known.filter("not one_row")
+    """uq_id, valid: does the query have an answer in the graph; null where patterns and conditions cannot decide it."""
+    known = decided(unique, triples).select(
+        "uq_id", "one_row", "branches", "binds", "norm_text", "conditions", F.col("norm_text").rlike(NO_ROWS).alias("no_rows"), F.col("norm_text").rlike(SKIPS).alias("skips"),
+        (~F.contains("norm_text", F.lit("{"))).alias("bare"))
+    known = cut(known, "decided")
+    asked = known.filter("not one_row and not no_rows and not bare")
     own = triples.join(asked.select("uq_id"), "uq_id", "left_semi")
-    units = query_units(asked, own)
-    ordered = cut(M.ordered_patterns(match_units(units, own)), "ordered")
-    matched = M.match_all(ordered, M.keyed_quads(quads))
-    # a unit without a triple that must match always has an answer
-    found = units.select("unit", "uq_id").join(ordered.select("unit", "bgp"), "unit", "left").join(matched, "bgp", "left")
+    units = cut(query_units(asked, own), "units")
+    needed = cut(match_units(units, own), "needed")
+    of_text = cut(text_conditions(known.filter("not one_row and not no_rows")), "of_text")
+    conditions = cut(unit_conditions(units, of_text.filter("kind <> 'describe'"), needed, own, bind_names(asked)), "unit_conditions")
+    open_units = conditions.filter("open").select("unit").distinct()
+    keyed = restricted(quads, needed, conditions.filter("kind = 'test'").select(F.get("vars", F.lit(1)).alias("p")))
+    todo = units.join(open_units, "unit", "left_anti").select("unit", F.array().cast("array<string>").alias("keep"))
+    found = solutions(needed.join(todo, "unit", "left_semi"), conditions.join(todo, "unit", "left_semi"), todo, keyed)
+    status = units.select("unit", "uq_id").join(found.select("unit", F.lit(True).alias("hit")).distinct(), "unit", "left") \
+        .join(open_units.withColumn("open", F.lit(True)), "unit", "left")
     # one branch with an answer is enough; without one, an undecided branch leaves the query undecided
-    verdict = found.groupBy("uq_id").agg(
-        F.max(F.col("bgp").isNull() | F.coalesce(F.col("status") == "matched", F.lit(False))).alias("hit"),
-        F.max(F.coalesce(F.col("status") == "unbounded", F.lit(False))).alias("open"))
-    rows = unique.select("uq_id").join(known.select("uq_id", "one_row"), "uq_id", "left").join(verdict, "uq_id", "left")
-    return rows.select("uq_id", F.when(F.col("one_row"), True).when(F.col("hit"), True).when(~F.col("open"), False).alias("valid"))
+    verdict = status.groupBy("uq_id").agg(F.max(F.coalesce("hit", F.lit(False))).alias("hit"), F.max(F.coalesce("open", F.lit(False))).alias("open"))
+    named = of_text.filter("kind = 'describe'").select("uq_id", F.explode("args").alias("s"))
+    described = named.join(M.keyed_quads(quads).select("s").join(named.select("s").distinct(), "s", "left_semi").distinct(), "s", "left_semi") \
+        .select("uq_id", F.lit(True).alias("described")).distinct()
+    rows = unique.select("uq_id").join(known.select("uq_id", "one_row", "no_rows", "skips", "bare"), "uq_id", "left") \
+        .join(verdict, "uq_id", "left").join(described, "uq_id", "left")
+    valid = (F.when(F.col("no_rows"), False).when(F.col("one_row"), ~F.col("skips")).when(F.col("described"), True)
+             .when(F.col("bare"), False).when(F.col("hit"), F.when(~F.col("skips"), True)).when(~F.col("open"), False))
+    return rows.select("uq_id", valid.alias("valid"))
 
 
 def text_key(text: Column) -> Column:
@@ -114,31 +247,34 @@ def validity_incremental(unique: DataFrame, triples: DataFrame, quads: DataFrame
 def bindings(unique: DataFrame, triples: DataFrame, quads: DataFrame) -> DataFrame:
     """uq_id, vals (array of var, val sorted by var): the distinct rows of the result variables of decided SELECT queries.
 
-    Left out are queries with a union, with expressions among the result variables, or with a result variable that the
-    triples outside optional parts do not bind.
+    Left out are queries with a union, with expressions among the result variables, with BIND under ``*``, with a LIMIT of 0 or an
+    OFFSET, or with a result variable that the triples outside optional parts do not bind.
     """
     head = F.regexp_extract("norm_text", r"(?s)^SELECT (?:DISTINCT |REDUCED )?(.*?) ?(?:WHERE )?\{", 1)
-    plain = decided(unique, triples).filter("form = 'SELECT' and branches = 0 and not one_row").select("uq_id", head.alias("head")).filter(
-        ~F.col("head").contains("("))
-    terms = F.array(*[F.struct(F.col(f"{r}.kind").alias("kind"), F.col(f"{r}.value").alias("value")) for r in ("s", "p", "o")])
-    used = triples.select("uq_id", "ctx", F.explode(terms).alias("t")).filter("t.kind = 'variable'").groupBy("uq_id").agg(
-        F.collect_set("t.value").alias("every"), F.collect_set(F.when(F.col("ctx") == "required", F.col("t.value"))).alias("bound"))
+    plain = decided(unique, triples).filter("form = 'SELECT' and branches = 0 and not one_row").filter(
+        ~F.col("norm_text").rlike(NO_ROWS) & ~F.col("norm_text").rlike(SKIPS)).withColumn("head", head).filter(
+        ~F.col("head").contains("(") & ((F.col("head") != "*") | ~F.col("binds")))
+    terms = F.array(*[F.struct(F.col(f"{r}.kind").alias("kind"), F.col(f"{r}.value").alias("value")) for r in ("s", "p", "o")],
+                    F.struct(X.term_struct(F.col("graph"))["kind"].alias("kind"), X.term_struct(F.col("graph"))["value"].alias("value")))
+    used = triples.filter("part in ('required', 'optional')").select("uq_id", "part", F.explode(terms).alias("t")).filter("t.kind = 'variable'").groupBy("uq_id").agg(
+        F.collect_set("t.value").alias("every"), F.collect_set(F.when(F.col("part") == "required", F.col("t.value"))).alias("bound"))
     none = F.array().cast("array<string>")
     shown = F.when(F.col("head") == "*", F.coalesce("every", none)).otherwise(
         F.transform(F.split("head", " "), lambda v: F.substr(v, F.lit(2))))
-    asked = plain.join(used, "uq_id", "left").withColumn("shown", shown).filter(
-        F.size(F.array_except("shown", F.coalesce("bound", none))) == 0).select("uq_id", "shown")
-    asked = cut(asked, "asked")
-    units = asked.withColumn("unit", F.col("uq_id"))
-    ordered = cut(M.ordered_patterns(match_units(units, triples.filter("ctx = 'required'").join(asked, "uq_id", "left_semi"))), "ordered")
-    found = ordered.join(M.match_all(ordered, M.keyed_quads(quads), keep_bindings=True), "bgp").filter("status = 'matched'") \
-        .join(asked, F.col("unit") == F.col("uq_id"))
-    named = F.transform("vals", lambda v: F.struct(
-        F.get(F.col("names"), F.substr(v["var"], F.lit(2)).cast("int") - 1).alias("var"), v["val"].alias("val")))
-    vals = F.transform(F.filter(named, lambda v: v["var"].startswith("?v")), lambda v: F.struct(
+    asked = plain.join(used, "uq_id", "left").withColumn("shown", F.array_sort(F.array_distinct(shown))).filter(
+        F.size(F.array_except("shown", F.coalesce("bound", none))) == 0)
+    asked = cut(asked.select("uq_id", "shown", "binds", "norm_text", "conditions"), "asked")
+    own = triples.join(asked.select("uq_id"), "uq_id", "left_semi")
+    units = asked.select(F.col("uq_id").cast("string").alias("unit"), "uq_id", F.lit(None).cast("int").alias("branch"), F.transform(
+        "shown", lambda v: F.concat(F.lit("?v"), v)).alias("keep"))
+    needed = cut(match_units(units.select("unit", "uq_id"), own), "needed")
+    conditions = cut(unit_conditions(units.select("unit", "uq_id", "branch"), text_conditions(asked), needed, own, bind_names(asked)), "unit_conditions")
+    todo = units.join(conditions.filter("open").select("unit").distinct(), "unit", "left_anti").select("unit", "keep")
+    keyed = restricted(quads, needed, conditions.filter("kind = 'test'").select(F.get("vars", F.lit(1)).alias("p")))
+    found = solutions(needed.join(todo, "unit", "left_semi"), conditions.join(todo, "unit", "left_semi"), todo, keyed)
+    kept = F.transform(F.filter("vals", lambda v: F.array_contains("keep", v["var"])), lambda v: F.struct(
         F.substr(v["var"], F.lit(3)).alias("var"), v["val"].alias("val")))
-    kept = F.filter(vals, lambda v: F.array_contains("shown", v["var"]))
-    return found.select("uq_id", F.array_sort(kept).alias("vals")).distinct()
+    return found.join(todo, "unit").join(units.select("unit", "uq_id"), "unit").select("uq_id", F.array_sort(kept).alias("vals")).distinct()
 
 
 def first_binding(answers: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Matching graph patterns against quads with joins.
 
-``bgp_match`` answers one pattern shape for a table of constants. ``match_all`` answers many different basic graph
-patterns in one set of joins: step k joins the k-th triple of every pattern, whatever its shape.
+``bgp_match`` answers one pattern shape for a table of constants. ``match_all`` answers many different basic graph patterns with
+their conditions in one set of joins: step k joins the k-th triple of every pattern, whatever its shape.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadlens import vocab
 from quadlens.functions import text as X
+from quadlens.operators.conditions import holds
 from quadlens.session import cut
 
 
@@ -170,135 +170,166 @@ def describe(quads: DataFrame, resources: DataFrame, as_object: bool = False) ->
 
 # --- many shapes at once --------------------------------------------------------------------------------------------
 
-def ordered_patterns(triples: DataFrame, key: str = "unit") -> DataFrame:
-    """key, bgp, step, n_steps, s, p, o, later: the triples of each pattern in join order.
+ROLES = ("s", "p", "o", "g")
+VALS = "array<struct<var:string,val:string>>"
 
-    Each next triple has the most terms that are constants or already bound. Variables are renamed by first use, so
-    equal patterns of different queries get the same ``bgp`` and are matched once. ``later`` lists variables that
-    further steps need.
-    """
-    terms = [F.when(F.col(f"{r}.kind").isin("variable", "blank"),
-                    F.concat(F.lit("?"), F.substr(f"{r}.kind", F.lit(1), F.lit(1)), f"{r}.value"))
-             .otherwise(X.term_key(*[F.col(f"{r}.{f}") for f in ("kind", "value", "datatype", "lang")])).alias(r)
-             for r in ("s", "p", "o")]
-    packed = triples.select(key, F.struct("pos", *terms).alias("t")).groupBy(key).agg(
-        F.array_sort(F.collect_list("t")).alias("todo"))
 
+def is_variable(term: Column) -> Column:
+    return term.startswith("?")
+
+
+def with_sizes(triples: DataFrame, quads: DataFrame) -> DataFrame:
+    """Triples (s, p, o as names or keys) with what the graph holds for their constants: n, subjects, objects.
+
+    Rows of a predicate, and of a predicate with an object where both are constants, are counted; distinct subjects and objects
+    of a predicate are estimates (a partial aggregation, no exchange of the quads).
+    """
+    of_p = cut(quads.groupBy("p").agg(F.count("*").alias("n_p"), F.approx_count_distinct("s").alias("n_s"), F.approx_count_distinct("o").alias("n_o")), "sizes")
+    whole = of_p.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_p", "n_s", "n_o")]).first()
+    pairs = triples.filter(~is_variable(F.col("p")) & ~is_variable(F.col("o"))).select("p", "o").distinct()
+    of_po = quads.select("p", "o").join(pairs, ["p", "o"], "left_semi").groupBy("p", "o").agg(F.count("*").alias("n_po"))
+    rows = triples.join(of_p, "p", "left").join(of_po, ["p", "o"], "left")
+
+    def size(name: str) -> Column:
+        return F.when(is_variable(F.col("p")), F.lit(whole[name])).otherwise(F.coalesce(name, F.lit(0))).cast("double")
+    n = (F.when(is_variable(F.col("o")), size("n_p")).when(is_variable(F.col("p")), size("n_p") / F.greatest(size("n_o"), F.lit(1.0)))
+         .otherwise(F.coalesce("n_po", F.lit(0)).cast("double")))
+    n = F.when(is_variable(F.col("s")), n).otherwise(n / F.greatest(size("n_s"), F.lit(1.0)))
+    return rows.select(*triples.columns, n.alias("n"), F.greatest(size("n_s"), F.lit(1.0)).alias("subjects"),
+                       F.greatest(size("n_o"), F.lit(1.0)).alias("objects"))
+
+
+def ordered_patterns(patterns: DataFrame) -> DataFrame:
+    """unit, names, bgp, steps, conds, given, keep: the triples of each pattern in join order.
+
+    patterns: unit, todo (array of pos, s, p, o, g, n, subjects, objects), conds (array of op, vars, args), given (variables bound at the
+    start), terms (of the first given one, null if a table gives them), keep (variables to return, in this order) and apart (null, or a
+    key of patterns that must not be folded). The next triple is the one that is expected to multiply the bindings least, by the
+    sizes of its constants and the variables bound so far. Variables are renamed by first use, so equal patterns of
+    different queries get the same ``bgp`` and are matched once.
+    """
     def variables(t: Column) -> Column:
-        return F.filter(F.array(t["s"], t["p"], t["o"]), lambda x: x.startswith("?"))
+        return F.filter(F.array(*[t[r] for r in ROLES]), lambda x: x.isNotNull() & is_variable(x))
 
     def pick(acc: Column, _: Column) -> Column:
         def score(t: Column) -> Column:
-            known = F.lit(0)
-            for r in ("s", "p", "o"):
-                known = known + F.when(~t[r].startswith("?") | F.array_contains(acc["bound"], t[r]), 1).otherwise(0)
-            # of equals, a class has the most members
-            return F.struct(known.alias("known"), (t["p"] != f"<{vocab.RDF_TYPE}>").alias("few"), (-t["pos"]).alias("first"), t.alias("t"))
-        best = F.array_max(F.transform(acc["todo"], score))["t"]
+            def known(r: str) -> Column:
+                return is_variable(t[r]) & F.array_contains(acc["bound"], t[r])
+            size = t["n"] / F.when(known("s"), t["subjects"]).otherwise(1.0) / F.when(known("o"), t["objects"]).otherwise(1.0)
+            return F.struct(size.alias("size"), t["pos"].alias("first"), t.alias("t"))
+        best = F.array_min(F.transform(acc["todo"], score))["t"]
         return X.let(best, lambda b: F.struct(
             F.filter(acc["todo"], lambda t: t["pos"] != b["pos"]).alias("todo"),
             F.array_append(acc["done"], b).alias("done"),
             F.array_union(acc["bound"], variables(b)).alias("bound")))
 
-    start = F.struct(F.col("todo").alias("todo"), F.slice("todo", 1, 0).alias("done"),
-                     F.array().cast("array<string>").alias("bound"))
-    rows = packed.withColumn("plan", F.aggregate(F.sequence(F.lit(1), F.size("todo")), start, pick))
+    start = F.struct(F.col("todo").alias("todo"), F.slice("todo", 1, 0).alias("done"), F.col("given").alias("bound"))
+    rows = patterns.withColumn("plan", F.aggregate(F.transform("todo", lambda t: t["pos"]), start, pick))
 
-    def renamed(t: Column, r: str) -> Column:
-        return F.when(t[r].startswith("?"), F.concat(
-            F.lit("?"), F.array_position(F.col("plan.bound"), t[r]).cast("string"))).otherwise(t[r])
-    rows = rows.select(key, F.col("plan.bound").alias("names"), F.transform("plan.done", lambda t: F.struct(
-        *[renamed(t, r).alias(r) for r in ("s", "p", "o")])).alias("steps"))
-    rows = rows.withColumn("bgp", F.md5(F.to_json("steps")))
-    return rows
+    def renamed(x: Column) -> Column:
+        place = F.array_position(F.col("plan.bound"), x)
+        return F.when(x.isNotNull() & is_variable(x), F.when(place > 0, F.concat(F.lit("?"), place.cast("string"))).otherwise("?0")).otherwise(x)
+    rows = rows.select(
+        "unit", F.col("plan.bound").alias("names"),
+        F.transform("plan.done", lambda t: F.struct(*[renamed(t[r]).alias(r) for r in ROLES])).alias("steps"),
+        F.transform("conds", lambda c: F.struct(c["op"].alias("op"), F.transform(c["vars"], renamed).alias("vars"), c["args"].alias("args"))).alias("conds"),
+        F.transform("given", renamed).alias("given"), "terms", F.transform("keep", renamed).alias("keep"), "apart")
+    return rows.withColumn("bgp", F.md5(F.to_json(F.struct("steps", "conds", "given", "terms", "keep", "apart"))))
+
+
+def starts_of(ordered: DataFrame) -> DataFrame:
+    """bgp, vals: the bindings each distinct pattern starts with: none, or one row for each term of its first given variable."""
+    none = F.array(F.array().cast(VALS))
+    rows = F.when(F.col("terms").isNull(), none).otherwise(F.transform(
+        "terms", lambda t: F.array(F.struct(F.get("given", F.lit(0)).alias("var"), t.alias("val")))))
+    return ordered.groupBy("bgp").agg(F.first("given").alias("given"), F.first("terms").alias("terms")).select("bgp", F.explode(rows).alias("vals"))
 
 
 def pattern_steps(ordered: DataFrame) -> DataFrame:
-    """One row per distinct pattern and step, with the lookup mask: which of s, p, o are constants or bound."""
-    once = ordered.groupBy("bgp").agg(F.first("steps").alias("steps"))
+    """One row per distinct pattern and step, with the lookup mask: which of s, p, o, g are constants or bound."""
+    once = ordered.groupBy("bgp").agg(*[F.first(c).alias(c) for c in ("steps", "conds", "given", "keep")])
 
     def variables(steps: Column) -> Column:
-        return F.array_distinct(F.filter(F.flatten(F.transform(steps, lambda t: F.array(t["s"], t["p"], t["o"]))),
-                                         lambda x: x.startswith("?")))
-    rows = once.select("bgp", "steps", F.size("steps").alias("n_steps"), F.posexplode("steps").alias("step", "t"))
+        return F.array_distinct(F.filter(F.flatten(F.transform(steps, lambda t: F.array(*[t[r] for r in ROLES]))), lambda x: x.isNotNull() & is_variable(x)))
+
+    def ready(c: Column, bound: str) -> Column:
+        return F.forall(c["vars"], lambda v: F.array_contains(bound, v) | ~F.array_contains("every", v))
+    rows = once.select("*", F.size("steps").alias("n_steps"), F.array_union("given", variables(F.col("steps"))).alias("every"),
+                       F.posexplode("steps").alias("step", "t"))
+    rows = rows.select("*", F.array_union("given", variables(F.slice("steps", F.lit(1), F.col("step")))).alias("before"))
+    rows = rows.select("*", F.array_union("before", variables(F.array("t"))).alias("after"))
+    waiting = F.filter("conds", lambda c: ~ready(c, "after"))
     rows = rows.select(
-        "bgp", "n_steps", "step", "t.*", variables(F.slice("steps", F.lit(1), F.col("step"))).alias("before"),
-        variables(F.slice("steps", F.col("step") + 2, F.greatest(F.col("n_steps") - F.col("step") - 1, F.lit(0))))
-        .alias("later"))
-    for r in ("s", "p", "o"):
-        rows = rows.withColumn(f"has_{r}", ~F.col(r).startswith("?") | F.array_contains("before", F.col(r)))
-    mask = F.concat(*[F.when(F.col(f"has_{r}"), r).otherwise("") for r in ("s", "p", "o")])
-    fresh = F.filter(F.array_distinct(F.filter(F.array("s", "p", "o"), lambda x: x.startswith("?"))),
-                     lambda x: ~F.array_contains("before", x))
+        "bgp", "n_steps", "step", "t.*", "before", "keep",
+        F.filter("conds", lambda c: ready(c, "after") & ((F.col("step") == 0) | ~ready(c, "before"))).alias("conds"),
+        F.array_union(F.array_union("keep", F.flatten(F.transform(waiting, lambda c: c["vars"]))),
+                      variables(F.slice("steps", F.col("step") + 2, F.greatest(F.col("n_steps") - F.col("step") - 1, F.lit(0))))).alias("later"))
+    for r in ROLES:
+        rows = rows.withColumn(f"has_{r}", F.col(r).isNotNull() & (~is_variable(F.col(r)) | F.array_contains("before", F.col(r))))
+    new = F.filter(F.array(*[F.when(F.col(r).isNotNull() & ~F.col(f"has_{r}"), F.col(r)) for r in ROLES]), lambda x: x.isNotNull())
+    wanted = F.array_union("later", F.flatten(F.transform("conds", lambda c: c["vars"])))
+    mask = F.concat(*[F.when(F.col(f"has_{r}"), r).otherwise("") for r in ROLES])
     # a repeated fresh variable (?a p ?a) has to be compared, so it needs the quad itself
-    repeated = F.size(F.filter(F.array(*[F.when(~F.col(f"has_{r}"), F.col(r)) for r in ("s", "p", "o")]),
-                               lambda x: x.isNotNull())) > F.size(fresh)
-    return rows.select("bgp", "n_steps", "step", "s", "p", "o", "later", mask.alias("mask"), fresh.alias("fresh"),
-                       repeated.alias("repeated"))
+    needs = (F.size(new) > F.size(F.array_distinct(new))) | (F.size(F.array_intersect(new, wanted)) > 0)
+    return rows.select("bgp", "n_steps", "step", *ROLES, *[f"has_{r}" for r in ROLES], "conds", "later", mask.alias("mask"), needs.alias("needs"))
+
 
+def value_in(vals: Column):
+    return lambda name: F.get(F.filter(vals, lambda v: v["var"] == name), F.lit(0))["val"]
 
-def match_all(ordered: DataFrame, quads: DataFrame, keep_bindings: bool = False) -> DataFrame:
-    """bgp, status (and bindings) for every distinct pattern: matched patterns come back, the others do not.
 
-    Existence only (``keep_bindings=False``): a variable is dropped as soon as no later step needs it and equal
-    bindings are folded, so a step without needed variables is a semi-join and a pattern never multiplies its rows
-    by matches nobody asked for. Patterns that would have to start from every quad (a step with no constant and no
-    bound variable whose variables are needed later) have status ``unbounded`` and are not evaluated.
+def match_all(ordered: DataFrame, quads: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """bgp, vals for every distinct pattern that matches: the distinct bindings of the variables it keeps.
+
+    A variable is dropped as soon as no later step or condition needs it and equal bindings are folded, so a step without needed
+    variables is a semi-join and a pattern never multiplies its rows by matches nobody asked for. A step reads the quads once
+    for each of its two kinds of joins: every quad offers one key for each lookup mask that occurs there. Conditions are tested
+    at the first step that has all their variables.
     """
     spark = quads.sparkSession
+    state = starts_of(ordered) if starts is None else starts
+    bare = ordered.filter("size(steps) = 0").groupBy("bgp").agg(F.first("conds").alias("conds"))
+    done = state.join(bare, "bgp").filter(F.forall("conds", lambda c: holds(c, value_in(F.col("vals"))))).select("bgp", "vals")
     steps = cut(pattern_steps(ordered), "steps")
-    steps = steps.withColumn("needs", F.lit(True) if keep_bindings else (
-        F.col("repeated") | (F.size(F.array_intersect("fresh", "later")) > 0)))
-    open_start = steps.filter("mask = ''").filter("needs or repeated").select("bgp").distinct()
-    steps = steps.join(open_start, "bgp", "left_anti")
-    # which kinds of joins occur: at most 16 rows per step, whatever the number of patterns
+    # which kinds of lookups occur: at most 32 rows per step, whatever the number of patterns
     kinds = sorted(tuple(r) for r in steps.select("step", "mask", "needs").distinct().collect())
 
-    empty = F.array().cast("array<struct<var:string,val:string>>")
-    state = steps.filter("step = 0").select("bgp", empty.alias("vals"))
-    done = None
+    def key(mask: str, prefix: str) -> Column:
+        return F.concat_ws("\x1f", F.lit(mask), *[F.col(f"{prefix}{r}") for r in mask])
+
     for step in range(max((k[0] for k in kinds), default=-1) + 1):
         here = state.join(steps.filter(F.col("step") == step), "bgp")
-
-        def value(r: str) -> Column:
-            bound = F.get(F.filter("vals", lambda v: v["var"] == F.col(r)), F.lit(0))["val"]
-            return F.when(F.col(r).startswith("?"), bound).otherwise(F.col(r))
-        here = here.select("*", *[value(r).alias(f"k_{r}") for r in ("s", "p", "o")])
+        bound = value_in(F.col("vals"))
+        here = here.select("*", *[F.when(is_variable(F.col(r)), bound(F.col(r))).otherwise(F.col(r)).alias(f"k_{r}") for r in ROLES])
+        own = F.lit(None)
+        for mask in sorted({k[1] for k in kinds if k[0] == step}):
+            own = F.when(F.col("mask") == mask, key(mask, "k_")).otherwise(own)
+        here = here.withColumn("key", own)
         parts = []
-        for _, mask, needs in [k for k in kinds if k[0] == step]:
-            rows = here.filter((F.col("mask") == mask) & (F.col("needs") == needs))
-            keys = list(mask)
-            if not needs:
-                if keys:
-                    # the patterns' keys are the small side: they thin out the quads, and what is left of these answers
-                    on = [f"k_{k}" for k in keys]
-                    known = quads.select(*[F.col(k).alias(f"k_{k}") for k in keys]).join(rows.select(*on).distinct(), on, "left_semi")
-                    rows = rows.join(known.distinct(), on, "left_semi")
-                else:
-                    rows = rows.join(F.broadcast(quads.limit(1).select(F.lit(1).alias("any"))), how="left_semi")
-                parts.append(rows.select("bgp", "n_steps", "step", "later", "vals"))
-                continue
-            rest = [k for k in ("s", "p", "o") if k not in keys]
-            found = quads.select(*[F.col(k).alias(f"k_{k}") for k in keys], *[F.col(k).alias(f"q_{k}") for k in rest])
-            rows = rows.drop(*[f"k_{k}" for k in rest]).join(found, [f"k_{k}" for k in keys])
-            for i, a in enumerate(rest):
-                for b in rest[i + 1:]:
-                    rows = rows.filter((F.col(a) != F.col(b)) | (F.col(f"q_{a}") == F.col(f"q_{b}")))
-            new = F.array_distinct(F.array(*[F.struct(F.col(k).alias("var"), F.col(f"q_{k}").alias("val"))
-                                             for k in rest])) if rest else empty
-            parts.append(rows.select("bgp", "n_steps", "step", "later", F.concat("vals", new).alias("vals")))
+        for needs in sorted({k[2] for k in kinds if k[0] == step}):
+            masks = [k[1] for k in kinds if k[0] == step and k[2] == needs]
+            rows = here.filter(F.col("needs") == needs)
+            offered = quads.select(*ROLES, F.explode(F.array(*[key(m, "") for m in masks])).alias("key"))
+            if needs:
+                found = rows.join(offered.select("key", *[F.col(r).alias(f"q_{r}") for r in ROLES]), "key")
+                for i, a in enumerate(ROLES):
+                    for b in ROLES[i + 1:]:
+                        fresh = ~F.col(f"has_{a}") & ~F.col(f"has_{b}") & F.coalesce(F.col(a) == F.col(b), F.lit(False))
+                        found = found.filter(~fresh | (F.col(f"q_{a}") == F.col(f"q_{b}")))
+                new = F.filter(F.array(*[F.struct(F.when(~F.col(f"has_{r}"), F.col(r)).alias("var"), F.col(f"q_{r}").alias("val")) for r in ROLES]),
+                               lambda v: v["var"].isNotNull())
+                rows = found.withColumn("vals", F.concat("vals", F.array_distinct(new).cast(VALS)))
+            else:
+                # the patterns' keys are the small side: they thin out the quads, and what is left of these answers
+                known = offered.select("key").join(rows.select("key").distinct(), "key", "left_semi").distinct()
+                rows = rows.join(known, "key", "left_semi")
+            parts.append(rows.select("bgp", "n_steps", "conds", "later", "vals"))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
-        if not keep_bindings:
-            out = out.withColumn("vals", F.array_sort(F.filter(
-                "vals", lambda v: F.array_contains("later", v["var"])))).distinct()
+        out = out.filter((F.size("conds") == 0) | F.forall("conds", lambda c: holds(c, value_in(F.col("vals")))))
+        out = out.select("bgp", "n_steps", F.array_sort(F.filter("vals", lambda v: F.array_contains("later", v["var"]))).alias("vals")).distinct()
         out = cut(out, "bindings")
-        ended = out.filter(F.col("n_steps") == step + 1).select("bgp", "vals")
-        done = ended if done is None else done.unionByName(ended)
+        done = done.unionByName(out.filter(F.col("n_steps") == step + 1).select("bgp", "vals"))
         state = out.filter(F.col("n_steps") > step + 1).select("bgp", "vals")
-    schema = "bgp string, vals array<struct<var:string,val:string>>"
-    done = done if done is not None else spark.createDataFrame([], schema)
-    out = done.select("bgp", F.lit("matched").alias("status"), "vals") if keep_bindings else \
-        done.select("bgp", F.lit("matched").alias("status")).distinct()
-    return out.unionByName(open_start.select("bgp", F.lit("unbounded").alias("status")), allowMissingColumns=True)
+    return done

@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 from quadlens import vocab
 from quadlens.functions import text as X
 from quadlens.operators import decompose as D
+from quadlens.operators.conditions import shape_conditions
 from quadlens.session import cut
 
 
 #: What the structure of a query says about its answers, see ``shape_checks``.
-FACTS = ("covered", "one_row", "branches", "binds")
+FACTS = ("covered", "one_row", "branches", "binds", "conditions")
 
 
 def unique_queries(queries: DataFrame) -> DataFrame:
-    """uq_id, norm_text, freq, form, covered, one_row, branches, binds of the well-formed queries that differ after normalisation.
+    """uq_id, norm_text, freq, form and facts of the well-formed queries that differ after normalisation.
+
+    The facts are what the structure says about the answers: covered, one_row, branches, binds (see ``shape_checks``) and conditions, the
+    places of filters, inline data and tests (see ``shape_conditions``).
 
     Repeated texts are folded first (map-side), so normalisation runs once per distinct text.
     """
@@ -25,7 +29,8 @@ def unique_queries(queries: DataFrame) -> DataFrame:
     texts = texts.select("qid", "n", X.canonical(F.col("query_text")).alias("joined"))
     texts = cut(texts.select("qid", "n", X.normal_text(F.col("joined")).alias("norm_text"), X.skeleton(F.col("joined")).alias("skeleton"))
                 .withColumn("shape", F.md5("skeleton")), "texts")
-    ok = D.shape_checks(D.annotated(D.shapes_of(texts))).filter("is_ok").select("shape", *FACTS)
+    annotated = cut(D.annotated(D.shapes_of(texts)), "annotated")
+    ok = D.shape_checks(annotated).filter("is_ok").join(shape_conditions(annotated), "shape", "left").select("shape", *FACTS)
     rows = texts.select("qid", "n", "norm_text", "shape").join(ok, "shape")
     return rows.groupBy("norm_text").agg(
         F.min("qid").alias("uq_id"), F.sum("n").alias("freq"), *[F.first(f).alias(f) for f in FACTS]).select(
@@ -49,7 +54,7 @@ def _shape_slots(annotated: DataFrame) -> DataFrame:
                                    F.lower("opened")))
     a = a.withColumn("agg_n", F.row_number().over(W.partitionBy("shape", "agg").orderBy("pos")))
     a = a.withColumn("joined", F.max(t.isin("&&", "||") & (c("pd") == 1)).over(W.partitionBy("shape", "stmt")))
-    triple = c("is_term") & (c("rank") > c("base")) & ~c("is_path")
+    triple = (c("hidden") == 0) & c("is_term") & (c("rank") > c("base")) & ~c("is_path")
     constant = (c("head") == "FILTER") & (c("hidden") == 0) & ~c("joined") & (c("pd") == 1) & t.isin("i", "l", "n") \
         & (c("prev") == "=") & (c("next") == ")")
     return a.groupBy("shape").agg(

@@ -14,7 +14,10 @@ QUADS = "s string, p string, o string, o_kind string, datatype string, lang stri
 @pytest.fixture(scope="module")
 def quads(spark):
     rows = [("a", "p", "b"), ("a2", "p", "b2"), ("d", "q2", "e")]
-    return spark.createDataFrame([(*r, "uri", None, None, "g") for r in rows], QUADS)
+    xsd = "http://www.w3.org/2001/XMLSchema#"
+    literals = [("n1", "age", "42", "literal", xsd + "integer", None, "h2"), ("n2", "age", "7", "literal", xsd + "integer", None, "h2"),
+                ("n1", "name", "Anna b", "literal", None, "en", "h2")]
+    return spark.createDataFrame([(*r, "uri", None, None, "g") for r in rows] + literals, QUADS)
 
 
 def log_of(spark, texts):
@@ -35,6 +38,59 @@ VERDICTS = {
     "ASK { }": True,
     "SELECT * { { ?a <none> ?b } UNION { ?a <none2> ?b } }": False,
     "SELECT * { ?s <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <c> . ?s <p> <b> }": False,
+    "SELECT * { ?a <p> ?b } LIMIT 0": False,
+    "SELECT ( COUNT ( * ) AS ?n ) { ?a <none> ?b } LIMIT 0": False,
+    "SELECT * { ?a <p> ?b } OFFSET 9": None,
+    "SELECT * { ?a <none> ?b } OFFSET 9": False,
+    "DESCRIBE <a>": True,
+    "DESCRIBE <b>": False,
+    "DESCRIBE <b> <d>": True,
+    "SELECT ?s { ?s ?p ?s }": False,
+    "SELECT * { ?s ?p ?o . ?o ?q ?r }": False,
+    "SELECT * { ?s ?p ?o . ?s ?q ?r }": True,
+    "SELECT * { ?a <p> ?b FILTER ( ?a = <a2> ) }": True,
+    "SELECT * { ?a <p> ?b FILTER ( ?a = <d> ) }": False,
+    "SELECT * { ?a <p> ?b FILTER ( ?a != <a> && ?b != <b2> ) }": False,
+    "SELECT * { ?a <p> ?b FILTER ( ?a IN ( <z> , <a> ) ) FILTER ( ?b NOT IN ( <b2> ) ) }": True,
+    "SELECT * { ?a <p> ?b FILTER ( ?a = <a> || ?b = <none> ) }": True,
+    "SELECT * { ?a <p> ?b FILTER ( ?a = ?b ) }": False,
+    "SELECT * { ?a <p> ?b FILTER ( ?c = <a> ) }": None,
+    "SELECT * { ?a <p> ?b FILTER ( STRLEN ( ?b ) > 3 ) }": None,
+    "SELECT * { ?n <age> ?x FILTER ( ?x > 40 ) }": True,
+    "SELECT * { ?n <age> ?x FILTER ( 42 < ?x ) }": False,
+    "SELECT * { ?n <age> ?x FILTER ( ?x = 42.0 ) }": True,
+    "SELECT * { ?n <name> ?x FILTER ( LANG ( ?x ) = \"en\" ) }": True,
+    "SELECT * { ?n <name> ?x FILTER LANGMATCHES ( LANG ( ?x ) , \"FR\" ) }": False,
+    "SELECT * { ?n <name> ?x FILTER REGEX ( ?x , \"^ann\" , \"i\" ) }": True,
+    "SELECT * { ?n <name> ?x FILTER REGEX ( ?x , \"^nn\" ) }": False,
+    "SELECT * { ?n <name> ?x FILTER REGEX ( ?x , \"a.*b\" ) }": None,
+    "SELECT * { ?n <name> ?x FILTER CONTAINS ( LCASE ( STR ( ?x ) ) , \"anna\" ) }": True,
+    "SELECT * { ?n <name> ?x FILTER ( ISIRI ( ?x ) ) }": False,
+    "SELECT * { VALUES ?a { <a> <z> } ?a <p> ?b }": True,
+    "SELECT * { VALUES ( ?a ?b ) { ( <a> <b2> ) ( <a2> <b> ) } ?a <p> ?b }": False,
+    "SELECT * { VALUES ( ?a ?b ) { ( <a> UNDEF ) ( <a2> <b> ) } ?a <p> ?b }": True,
+    "SELECT * { ?a <p> ?b } VALUES ?b { <none> }": False,
+    "SELECT * { ?a <p> ?b MINUS { ?a <p> <b> } }": True,
+    "SELECT * { ?a <p> ?b MINUS { ?a <p> ?c } }": False,
+    "SELECT * { ?a <p> ?b MINUS { ?x <q2> ?y } }": True,
+    "SELECT * { ?a <p> ?b MINUS { ?a <age> ?x } MINUS { ?b <q2> ?x } }": True,
+    "SELECT * { ?a <p> ?b FILTER EXISTS { ?a <p> <b2> } }": True,
+    "SELECT * { ?a <p> ?b FILTER EXISTS { ?a <q2> ?c } }": False,
+    "SELECT * { ?a <p> ?b FILTER EXISTS { ?x <q2> ?y } }": True,
+    "SELECT * { ?a <p> ?b FILTER NOT EXISTS { ?x <q2> ?y } }": False,
+    "SELECT * { ?a <p> ?b FILTER NOT EXISTS { ?b <q2> ?y } FILTER NOT EXISTS { ?a <p> <b> } }": True,
+    "SELECT * { ?a <p> ?b FILTER NOT EXISTS { ?b <q2> ?y . ?y <p> ?z } FILTER ( ?a = <a> ) }": True,
+    "SELECT * { ?a <p> ?b FILTER NOT EXISTS { ?a <p> ?c FILTER ( ?c = <b> ) } }": None,
+    "SELECT * { { ?a <p> ?b FILTER ( ?a = <z> ) } UNION { ?a <q2> ?b FILTER ( ?a = <d> ) } }": True,
+    "SELECT * { { ?a <p> ?b MINUS { ?a <p> ?c } } UNION { ?a <none> ?b } }": False,
+    "SELECT * { GRAPH <g> { ?a <p> ?b } }": True,
+    "SELECT * { GRAPH <h> { ?a <p> ?b } }": False,
+    "SELECT * { GRAPH ?g { ?a <p> ?b . ?n <age> ?x } }": False,
+    "SELECT * { GRAPH ?g { ?a <p> ?b . ?c <q2> ?d } }": True,
+    "SELECT * { ?a <p> ?b OPTIONAL { ?a <age> ?x FILTER ( ?x > 99 ) } }": True,
+    "SELECT * { ?a <p> ?b OPTIONAL { ?a <age> ?x } FILTER ( ?x > 99 ) }": None,
+    "ASK { FILTER NOT EXISTS { <a> <p> <b2> } }": True,
+    "ASK { FILTER EXISTS { <a> <p> <b2> } }": False,
 }
 
 
@@ -63,7 +119,7 @@ def test_simplified_keys_hold_the_number_of_triples(spark):
 
 
 def test_verdicts_are_kept_by_text_over_logs_with_the_same_ids(spark, quads, tmp_path):
-    first = ["SELECT * { ?a <p> ?b }", "SELECT * { ?a <none> ?b }", "SELECT * { ?a <p> ?b FILTER ( ?a = <z> ) }"]
+    first = ["SELECT * { ?a <p> ?b }", "SELECT * { ?a <none> ?b }", "SELECT * { ?a <p> ?b { SELECT ?b { ?b <q> ?c } } }"]
     second = ["SELECT * { ?a <none> ?b }", "SELECT * { ?a <p> ?b }", "SELECT * { <a> <p> ?c }"]
     path = str(tmp_path / "cache")
     known = spark.createDataFrame([], "text_key string, valid boolean")
