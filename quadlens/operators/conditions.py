@@ -136,17 +136,11 @@ def number(key: Column) -> Column:
     return F.when(datatype(key).isin(*NUMERIC), lexical(key).try_cast("double"))
 
 
-def equal(a: Column, b: Column) -> Column:
-    """Numbers by value, other terms by their key."""
-    return (a == b) | F.coalesce(number(a) == number(b), F.lit(False))
-
-
 def compared(a: Column, b: Column, op: str) -> Column:
     def test(x: Column, y: Column) -> Column:
         return {"lt": x < y, "le": x <= y, "gt": x > y, "ge": x >= y}[op]
-    both = number(a).isNotNull() & number(b).isNotNull()
-    return F.when(both, test(number(a), number(b))).when(
-        (datatype(a) == datatype(b)) & datatype(a).isin(*ORDERED), test(lexical(a), lexical(b))).otherwise(False)
+    return X.let(_numbers(a, b), lambda v: F.when(v["m"].isNotNull() & v["n"].isNotNull(), test(v["m"], v["n"])).when(
+        (datatype(v["x"]) == datatype(v["a"])) & datatype(v["x"]).isin(*ORDERED), test(lexical(v["x"]), lexical(v["a"]))).otherwise(False))
 
 
 def plain_pattern(pattern: Column) -> Column:
@@ -160,41 +154,70 @@ def decidable(kind: Column, op: Column, args: Column) -> Column:
     return (kind != "filter") | (op.isNotNull() & (~op.startswith("regex") | (plain_pattern(pattern) & F.coalesce(flags.isin("", "i"), F.lit(True)))))
 
 
-def holds(condition: Column, value) -> Column:
-    """Whether a condition (op, vars, args) is true; value: from a variable's name to the key of its term.
+def _numbers(x: Column, a: Column) -> Column:
+    return F.struct(x.alias("x"), a.alias("a"), number(x).alias("m"), number(a).alias("n"))
+
+
+def _same(x: Column, a: Column) -> Column:
+    return X.let(_numbers(x, a), lambda v: (v["x"] == v["a"]) | F.coalesce(v["m"] == v["n"], F.lit(False)))
+
+
+def _rows(condition: Column, value) -> Column:
+    args, columns = condition["args"], F.size(condition["vars"])
+    return (F.size(args) > 0) & (columns > 0) & F.exists(F.sequence(F.lit(0), F.floor(F.size(args) / columns).cast("int") - 1), lambda r: F.forall(
+        F.transform(condition["vars"], lambda v, i: F.struct(v.alias("v"), F.get(args, r * columns + i).alias("a"))),
+        lambda cell: (cell["a"] == "") | F.coalesce(cell["a"] == value(cell["v"]), F.lit(True))))
+
+
+def _on_text(name: str, op: Column, x: Column, args: Column) -> Column:
+    fold = F.coalesce(lexical(F.get(args, F.lit(1))) == "i", F.lit(False)) if name == "regex" else F.lit(False)
+    lower = F.contains(op, F.lit(":lower"))
+    pattern = lexical(F.get(args, F.lit(0)))
+    pair = F.struct(F.when(lower | fold, F.lower(lexical(x))).otherwise(lexical(x)).alias("text"),
+                    F.when(fold, F.lower(pattern)).otherwise(pattern).alias("a"))
+
+    def found(v: Column) -> Column:
+        if name != "regex":
+            return {"contains": F.contains, "starts": F.startswith, "ends": F.endswith}[name](v["text"], v["a"])
+        core = F.regexp_replace(v["a"], r"^\^|\$$", "")
+        head, tail = v["a"].startswith("^"), v["a"].endswith("$")
+        return (F.when(head & tail, v["text"] == core).when(head, F.startswith(v["text"], core))
+                .when(tail, F.endswith(v["text"], core)).otherwise(F.contains(v["text"], core)))
+    return (x.startswith('"') | F.contains(op, F.lit(":str"))) & X.let(pair, found)
+
+
+def holds(condition: Column, value, ops: list[str]) -> Column:
+    """Whether a condition (op, vars, args) is true; value: from a variable's name to the key of its term; ops: those that occur.
 
     What is an error in a filter counts as false, as it does there. Language tags are compared in lower case.
     """
     op, args = condition["op"], condition["args"]
-    x, y = value(F.get(condition["vars"], F.lit(0))), value(F.get(condition["vars"], F.lit(1)))
-    arg = F.get(args, F.lit(0))
-    literal = x.startswith('"')
-    text_ok = literal | F.contains(op, F.lit(":str"))
-    text = F.when(F.contains(op, F.lit(":lower")), F.lower(lexical(x))).otherwise(lexical(x))
-    fold = F.coalesce(lexical(F.get(args, F.lit(1))) == "i", F.lit(False))
-    low = F.when(fold, F.lower(text)).otherwise(text)
-    pattern = F.when(fold, F.lower(lexical(arg))).otherwise(lexical(arg))
-    core = F.regexp_replace(pattern, r"^\^|\$$", "")
-    found = (F.when(pattern.startswith("^") & pattern.endswith("$"), low == core).when(pattern.startswith("^"), F.startswith(low, core))
-             .when(pattern.endswith("$"), F.endswith(low, core)).otherwise(F.contains(low, core)))
-    columns = F.size(condition["vars"])
-    rows = F.exists(F.sequence(F.lit(1), F.floor(F.size(args) / columns).cast("int")), lambda r: F.forall(
-        F.sequence(F.lit(1), columns), lambda i: (F.get(args, (r - 1) * columns + i - 1) == "") | F.coalesce(
-            F.get(args, (r - 1) * columns + i - 1) == value(F.get(condition["vars"], i - 1)), F.lit(True))))
-    tag = F.lower(lexical(arg))
-    verdict = (F.when(op == "eq", equal(x, arg)).when(op == "ne", ~equal(x, arg))
-               .when(op == "same", equal(x, y)).when(op == "differ", ~equal(x, y))
-               .when(op.isin("in", "eqany"), F.exists(args, lambda a: equal(x, a))).when(op == "notin", ~F.exists(args, lambda a: equal(x, a)))
-               .when(op == "lang", literal & (language(x) == tag)).when(op == "notlang", literal & (language(x) != tag))
-               .when(op == "langmatches", literal & F.when(tag == "*", language(x) != "").otherwise(
-                   (language(x) == tag) | F.startswith(language(x), F.concat(tag, F.lit("-")))))
-               .when(op == "text", lexical(x) == lexical(arg)).when(op == "nottext", lexical(x) != lexical(arg))
-               .when(op == "iri", x.startswith("<")).when(op == "literal", literal).when(op == "blank", x.startswith("_:"))
-               .when(op == "notiri", ~x.startswith("<")).when(op == "notliteral", ~literal).when(op == "notblank", ~x.startswith("_:"))
-               .when(op == "bound", F.lit(True)).when(op == "notbound", F.lit(False))
-               .when(op.startswith("contains"), text_ok & F.contains(text, lexical(arg))).when(op.startswith("starts"), text_ok & F.startswith(text, lexical(arg)))
-               .when(op.startswith("ends"), text_ok & F.endswith(text, lexical(arg))).when(op.startswith("regex"), text_ok & found)
-               .when(op == "rows", (F.size(args) > 0) & (columns > 0) & rows))
-    for name in ("lt", "le", "gt", "ge"):
-        verdict = F.when(op == name, compared(x, arg, name)).otherwise(verdict)
-    return F.coalesce(verdict, F.lit(False))
+
+    def test(name: str, x: Column, y: Column) -> Column:
+        arg, literal = F.get(args, F.lit(0)), x.startswith('"')
+        tag = F.lower(lexical(arg))
+        if name in ON_TEXT:
+            return _on_text(name, op, x, args)
+        if name in ("lt", "le", "gt", "ge"):
+            return compared(x, arg, name)
+        return {
+            "eq": lambda: _same(x, arg), "ne": lambda: ~_same(x, arg), "same": lambda: _same(x, y), "differ": lambda: ~_same(x, y),
+            "in": lambda: F.exists(args, lambda a: _same(x, a)), "notin": lambda: ~F.exists(args, lambda a: _same(x, a)),
+            # one term for each variable, any of them
+            "eqany": lambda: F.exists(F.transform(condition["vars"], lambda v, i: F.struct(value(v).alias("x"), F.get(args, i).alias("a"))), lambda c: _same(c["x"], c["a"])),
+            "lang": lambda: literal & (language(x) == tag), "notlang": lambda: literal & (language(x) != tag),
+            "langmatches": lambda: literal & X.let(language(x), lambda got: F.when(tag == "*", got != "").otherwise(
+                (got == tag) | F.startswith(got, F.concat(tag, F.lit("-"))))),
+            "text": lambda: lexical(x) == lexical(arg), "nottext": lambda: lexical(x) != lexical(arg),
+            "iri": lambda: x.startswith("<"), "literal": lambda: literal, "blank": lambda: x.startswith("_:"),
+            "notiri": lambda: ~x.startswith("<"), "notliteral": lambda: ~literal, "notblank": lambda: ~x.startswith("_:"),
+            "bound": lambda: F.lit(True), "notbound": lambda: F.lit(False), "rows": lambda: _rows(condition, value),
+        }[name]()
+
+    def verdict(terms: Column) -> Column:
+        out = F.lit(None).cast("boolean")
+        for name in sorted({o.split(":")[0] for o in ops}):
+            is_it = F.startswith(op, F.lit(name)) if name in ON_TEXT else op == name
+            out = F.when(is_it, test(name, terms["x"], terms["y"])).otherwise(out)
+        return F.coalesce(out, F.lit(False))
+    return X.let(F.struct(value(F.get(condition["vars"], F.lit(0))).alias("x"), value(F.get(condition["vars"], F.lit(1))).alias("y")), verdict)

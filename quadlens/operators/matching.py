@@ -289,10 +289,12 @@ def match_all(ordered: DataFrame, quads: DataFrame, starts: DataFrame | None = N
     spark = quads.sparkSession
     state = starts_of(ordered) if starts is None else starts
     bare = ordered.filter("size(steps) = 0").groupBy("bgp").agg(F.first("conds").alias("conds"))
-    done = state.join(bare, "bgp").filter(F.forall("conds", lambda c: holds(c, value_in(F.col("vals"))))).select("bgp", "vals")
+    # a pattern without triples binds nothing that a filter could look at; what may be left is inline data
+    done = state.join(bare, "bgp").filter(F.forall("conds", lambda c: F.size(c["args"]) > 0)).select("bgp", "vals")
     steps = cut(pattern_steps(ordered), "steps")
-    # which kinds of lookups occur: at most 32 rows per step, whatever the number of patterns
+    # which kinds of lookups and tests occur: at most 32 rows per step, and 30 tests, whatever the number of patterns
     kinds = sorted(tuple(r) for r in steps.select("step", "mask", "needs").distinct().collect())
+    tests = steps.select("step", F.explode(F.transform("conds", lambda c: c["op"])).alias("op")).distinct().collect()
 
     def key(mask: str, prefix: str) -> Column:
         return F.concat_ws("\x1f", F.lit(mask), *[F.col(f"{prefix}{r}") for r in mask])
@@ -327,7 +329,8 @@ def match_all(ordered: DataFrame, quads: DataFrame, starts: DataFrame | None = N
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
-        out = out.filter((F.size("conds") == 0) | F.forall("conds", lambda c: holds(c, value_in(F.col("vals")))))
+        if ops := [r["op"] for r in tests if r["step"] == step]:
+            out = out.filter((F.size("conds") == 0) | F.forall("conds", lambda c: holds(c, value_in(F.col("vals")), ops)))
         out = out.select("bgp", "n_steps", F.array_sort(F.filter("vals", lambda v: F.array_contains("later", v["var"]))).alias("vals")).distinct()
         out = cut(out, "bindings")
         done = done.unionByName(out.filter(F.col("n_steps") == step + 1).select("bgp", "vals"))
