@@ -39,7 +39,7 @@ def shape_conditions(annotated: DataFrame) -> DataFrame:
 
     kind ``filter``: a part of a filter (parts are joined by &&); op null if no form fits. ``values``: a block of inline data, v_at its
     variables, c_at its cells row by row. ``test``: a triple (v_at: its three places) inside a MINUS or EXISTS group grp, op is its
-    sign. ``describe``: resources named by DESCRIBE. branch is the union's branch, null outside. Optional parts are left out: what they
+    sign. ``describe``: resources named by DESCRIBE. ``bind``: a variable that BIND sets, anywhere. branch is the union's branch, null outside. Optional parts are left out: what they
     ask never decides whether there is an answer.
     """
     c = F.col
@@ -89,6 +89,8 @@ def shape_conditions(annotated: DataFrame) -> DataFrame:
     out = out.unionByName(rows(tests, "test", c("test.sign"), c("test.open"), F.array("subj", "pred", "idx").cast("array<int>"), none))
     named = annotated.filter(c("is_ok") & (c("head") == "DESCRIBE") & (t == "i"))
     out = out.unionByName(rows(named, "describe", F.lit(None), F.lit(None), none, F.array(c("pos")).cast("array<int>")))
+    binds = annotated.filter(c("is_ok") & (t == "v") & (c("prev") == "AS") & (c("head") == "BIND"))
+    out = out.unionByName(rows(binds, "bind", F.lit(None), F.lit(None), F.array(c("pos")).cast("array<int>"), none))
     return out.groupBy("shape").agg(F.collect_list("one").alias("conditions"))
 
 

@@ -39,8 +39,8 @@ def exists_in_role(terms: DataFrame, quads: DataFrame, role: str) -> DataFrame:
 
 # --- validity -------------------------------------------------------------------------------------------------------
 
-def decided(unique: DataFrame, triples: DataFrame) -> DataFrame:
-    """The unique queries that plain patterns with conditions decide, with their facts (see ``shape_checks``).
+def decided(unique: DataFrame, triples: DataFrame, binds: DataFrame) -> DataFrame:
+    """The unique queries that plain patterns with conditions decide, with their facts (see ``shape_checks``); binds: uq_id, var.
 
     Left out are queries whose BIND fixes a variable of a triple, and those where a variable that an optional part binds
     first is needed by a later triple.
@@ -52,16 +52,10 @@ def decided(unique: DataFrame, triples: DataFrame) -> DataFrame:
     late = used.groupBy("uq_id", "t").agg(F.collect_list(F.struct("pos", "part", "branch")).alias("at")).filter("""exists(at, o ->
         o.part = 'optional' and exists(at, n -> n.part <> 'optional' and n.pos > o.pos and (n.part = 'required' or o.branch is null or n.branch = o.branch))
         and not exists(at, e -> e.part <> 'optional' and e.pos < o.pos and (e.part = 'required' or e.branch = o.branch)))""")
-    fixed = bind_names(covered).alias("b").join(used.select("uq_id", "t.value").distinct().alias("u"), "uq_id").filter("var = value")
+    fixed = binds.join(used.select("uq_id", "t.value").distinct(), "uq_id").filter("var = value")
     return covered.join(late.select("uq_id").unionByName(fixed.select("uq_id")).distinct(), "uq_id", "left_anti")
 
 
-def bind_names(unique: DataFrame) -> DataFrame:
-    """uq_id, var: variables that BIND sets."""
-    found = D.bind_vars(unique.filter("binds").select(F.col("uq_id").alias("qid"), F.col("norm_text").alias("query_text")))
-    return found.withColumnRenamed("qid", "uq_id")
-
-
 def query_units(queries: DataFrame, triples: DataFrame) -> DataFrame:
     """unit, uq_id, branch: a unit for each query, or for each branch of its union, also for those without a triple."""
     seen = triples.filter("branch is not null").select("uq_id", "branch").distinct()
@@ -106,6 +100,13 @@ def unit_conditions(units: DataFrame, conditions: DataFrame, own: DataFrame, tri
     return rows.select("unit", "kind", "grp", "op", "vars", "args", "bound", (unknown | ~decidable(F.col("kind"), F.col("op"), F.col("args"))).alias("open"))
 
 
+def _texts(unique: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The conditions of the covered texts, and uq_id, var of what they BIND."""
+    of_text = cut(text_conditions(unique.filter("covered")), "of_text")
+    binds = of_text.filter("kind = 'bind'").select("uq_id", F.substr(F.get("vars", F.lit(0)), F.lit(3)).alias("var"))
+    return of_text.filter("kind <> 'bind'"), binds
+
+
 def _packed(own: DataFrame, units: DataFrame) -> DataFrame:
     """unit, todo of every unit; empty where there is no triple."""
     fields = ("pos", *M.ROLES, "n", "subjects", "objects")
@@ -122,8 +123,10 @@ def solutions(own: DataFrame, conditions: DataFrame, wanted: DataFrame, quads: D
     variables they share with the rest, for all units at once, one group of each unit after the other.
     """
     none = F.array().cast("array<string>")
-    conditions = cut(conditions, "conditions")
-    own = cut(M.with_sizes(own, quads), "triples")
+    inner = conditions.filter("kind = 'test'").select(
+        F.concat_ws("#", "unit", "grp").alias("unit"), F.monotonically_increasing_id().alias("pos"),
+        *[F.get("vars", F.lit(i)).alias(r) for i, r in enumerate(("s", "p", "o"))], F.lit(None).cast("string").alias("g"))
+    own = cut(M.with_sizes(own.unionByName(inner), quads), "triples")
     tested = conditions.filter("kind = 'test'").select("unit", "grp", "op", F.array_intersect("vars", "bound").alias("shared"))
     shared = tested.groupBy("unit").agg(F.array_distinct(F.flatten(F.collect_set("shared"))).alias("shared"))
     plain = conditions.filter("kind in ('filter', 'values')").groupBy("unit").agg(F.collect_list(F.struct("op", "vars", "args")).alias("conds"))
@@ -149,19 +152,13 @@ def solutions(own: DataFrame, conditions: DataFrame, wanted: DataFrame, quads: D
     found = cut(found, "found")
     groups = cut(tested.groupBy("unit", "grp", "op").agg(F.array_distinct(F.flatten(F.collect_set("shared"))).alias("shared"))
                  .withColumn("nth", F.row_number().over(W.partitionBy("unit").orderBy("grp"))), "groups")
-    inner = conditions.filter("kind = 'test'").select(F.concat_ws("#", "unit", "grp").alias("unit"), *[F.get("vars", F.lit(i)).alias(f"v{i}") for i in range(3)],
-                                                      F.col("grp"))
-    # places of terms come as names or keys, so a test's triples need no further reading
-    inner = inner.select("unit", F.monotonically_increasing_id().alias("pos"), F.col("v0").alias("s"), F.col("v1").alias("p"), F.col("v2").alias("o"),
-                         F.lit(None).cast("string").alias("g"))
-    inner = cut(M.with_sizes(cut(inner, "tests"), quads), "tests")
     for nth in range(1, groups.agg(F.max("nth")).first()[0] + 1):
         now = groups.filter(F.col("nth") == nth)
         asked = found.join(now, "unit")
         part = F.array_sort(F.filter("vals", lambda v: F.array_contains("shared", v["var"])))
         asked = cut(asked.select("unit", "vals", "op", "shared", F.concat_ws("#", "unit", "grp").alias("test"), part.alias("part")), "asked")
         plans = now.select(F.concat_ws("#", "unit", "grp").alias("unit"), F.array_sort("shared").alias("given"))
-        plans = _packed(inner.join(plans, "unit", "left_semi"), plans).join(plans, "unit").select(
+        plans = _packed(own.join(plans, "unit", "left_semi"), plans).join(plans, "unit").select(
             "unit", "todo", F.array().cast(struct).alias("conds"), "given", F.lit(None).cast("array<string>").alias("terms"), F.col("given").alias("keep"),
             F.col("unit").alias("apart"))
         plans = cut(M.ordered_patterns(plans), "ordered")
@@ -201,16 +198,17 @@ def restricted(quads: DataFrame, *triples: DataFrame) -> DataFrame:
 
 def validity(unique: DataFrame, triples: DataFrame, quads: DataFrame) -> DataFrame:
     """uq_id, valid: does the query have an answer in the graph; null where patterns and conditions cannot decide it."""
-    known = decided(unique, triples).select(
-        "uq_id", "one_row", "branches", "binds", "norm_text", "conditions", F.col("norm_text").rlike(NO_ROWS).alias("no_rows"), F.col("norm_text").rlike(SKIPS).alias("skips"),
+    of_text, binds = _texts(unique)
+    known = decided(unique, triples, binds).select(
+        "uq_id", "one_row", "branches", F.col("norm_text").rlike(NO_ROWS).alias("no_rows"), F.col("norm_text").rlike(SKIPS).alias("skips"),
         (~F.contains("norm_text", F.lit("{"))).alias("bare"))
     known = cut(known, "decided")
     asked = known.filter("not one_row and not no_rows and not bare")
     own = triples.join(asked.select("uq_id"), "uq_id", "left_semi")
     units = cut(query_units(asked, own), "units")
     needed = cut(match_units(units, own), "needed")
-    of_text = cut(text_conditions(known.filter("not one_row and not no_rows")), "of_text")
-    conditions = cut(unit_conditions(units, of_text.filter("kind <> 'describe'"), needed, own, bind_names(asked)), "unit_conditions")
+    of_text = of_text.join(known.filter("not one_row and not no_rows"), "uq_id", "left_semi")
+    conditions = cut(unit_conditions(units, of_text.filter("kind <> 'describe'"), needed, own, binds), "unit_conditions")
     open_units = conditions.filter("open").select("unit").distinct()
     keyed = restricted(quads, needed, conditions.filter("kind = 'test'").select(F.get("vars", F.lit(1)).alias("p")))
     todo = units.join(open_units, "unit", "left_anti").select("unit", F.array().cast("array<string>").alias("keep"))
@@ -251,7 +249,8 @@ def bindings(unique: DataFrame, triples: DataFrame, quads: DataFrame) -> DataFra
     OFFSET, or with a result variable that the triples outside optional parts do not bind.
     """
     head = F.regexp_extract("norm_text", r"(?s)^SELECT (?:DISTINCT |REDUCED )?(.*?) ?(?:WHERE )?\{", 1)
-    plain = decided(unique, triples).filter("form = 'SELECT' and branches = 0 and not one_row").filter(
+    of_text, binds = _texts(unique)
+    plain = decided(unique, triples, binds).filter("form = 'SELECT' and branches = 0 and not one_row").filter(
         ~F.col("norm_text").rlike(NO_ROWS) & ~F.col("norm_text").rlike(SKIPS)).withColumn("head", head).filter(
         ~F.col("head").contains("(") & ((F.col("head") != "*") | ~F.col("binds")))
     terms = F.array(*[F.struct(F.col(f"{r}.kind").alias("kind"), F.col(f"{r}.value").alias("value")) for r in ("s", "p", "o")],
@@ -263,12 +262,12 @@ def bindings(unique: DataFrame, triples: DataFrame, quads: DataFrame) -> DataFra
         F.transform(F.split("head", " "), lambda v: F.substr(v, F.lit(2))))
     asked = plain.join(used, "uq_id", "left").withColumn("shown", F.array_sort(F.array_distinct(shown))).filter(
         F.size(F.array_except("shown", F.coalesce("bound", none))) == 0)
-    asked = cut(asked.select("uq_id", "shown", "binds", "norm_text", "conditions"), "asked")
+    asked = cut(asked.select("uq_id", "shown"), "asked")
     own = triples.join(asked.select("uq_id"), "uq_id", "left_semi")
     units = asked.select(F.col("uq_id").cast("string").alias("unit"), "uq_id", F.lit(None).cast("int").alias("branch"), F.transform(
         "shown", lambda v: F.concat(F.lit("?v"), v)).alias("keep"))
     needed = cut(match_units(units.select("unit", "uq_id"), own), "needed")
-    conditions = cut(unit_conditions(units.select("unit", "uq_id", "branch"), text_conditions(asked), needed, own, bind_names(asked)), "unit_conditions")
+    conditions = cut(unit_conditions(units.select("unit", "uq_id", "branch"), of_text, needed, own, binds), "unit_conditions")
     todo = units.join(conditions.filter("open").select("unit").distinct(), "unit", "left_anti").select("unit", "keep")
     keyed = restricted(quads, needed, conditions.filter("kind = 'test'").select(F.get("vars", F.lit(1)).alias("p")))
     found = solutions(needed.join(todo, "unit", "left_semi"), conditions.join(todo, "unit", "left_semi"), todo, keyed)

@@ -178,22 +178,27 @@ def is_variable(term: Column) -> Column:
     return term.startswith("?")
 
 
+def graph_sizes(quads: DataFrame) -> DataFrame:
+    """p, n_p, n_s, n_o of each predicate, and of the whole graph under a null p: quads, and estimates of their distinct subjects and
+    objects (partial aggregations, no exchange of the quads)."""
+    of_p = cut(quads.groupBy("p").agg(F.count("*").alias("n_p"), F.approx_count_distinct("s").alias("n_s"), F.approx_count_distinct("o").alias("n_o")), "sizes")
+    return of_p.unionByName(of_p.agg(F.lit(None).cast("string").alias("p"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_p", "n_s", "n_o")]))
+
+
 def with_sizes(triples: DataFrame, quads: DataFrame) -> DataFrame:
     """Triples (s, p, o as names or keys) with what the graph holds for their constants: n, subjects, objects.
 
-    Rows of a predicate, and of a predicate with an object where both are constants, are counted; distinct subjects and objects
-    of a predicate are estimates (a partial aggregation, no exchange of the quads).
+    Quads of a predicate and an object are counted where both are constants.
     """
-    of_p = cut(quads.groupBy("p").agg(F.count("*").alias("n_p"), F.approx_count_distinct("s").alias("n_s"), F.approx_count_distinct("o").alias("n_o")), "sizes")
-    whole = of_p.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_p", "n_s", "n_o")]).first()
     pairs = triples.filter(~is_variable(F.col("p")) & ~is_variable(F.col("o"))).select("p", "o").distinct()
     of_po = quads.select("p", "o").join(pairs, ["p", "o"], "left_semi").groupBy("p", "o").agg(F.count("*").alias("n_po"))
-    rows = triples.join(of_p, "p", "left").join(of_po, ["p", "o"], "left")
+    of_p = graph_sizes(quads).withColumnRenamed("p", "of")
+    rows = triples.join(of_p, F.when(~is_variable(F.col("p")), F.col("p")).eqNullSafe(F.col("of")), "left").join(of_po, ["p", "o"], "left")
 
     def size(name: str) -> Column:
-        return F.when(is_variable(F.col("p")), F.lit(whole[name])).otherwise(F.coalesce(name, F.lit(0))).cast("double")
+        return F.coalesce(name, F.lit(0)).cast("double")
     n = (F.when(is_variable(F.col("o")), size("n_p")).when(is_variable(F.col("p")), size("n_p") / F.greatest(size("n_o"), F.lit(1.0)))
-         .otherwise(F.coalesce("n_po", F.lit(0)).cast("double")))
+         .otherwise(size("n_po")))
     n = F.when(is_variable(F.col("s")), n).otherwise(n / F.greatest(size("n_s"), F.lit(1.0)))
     return rows.select(*triples.columns, n.alias("n"), F.greatest(size("n_s"), F.lit(1.0)).alias("subjects"),
                        F.greatest(size("n_o"), F.lit(1.0)).alias("objects"))
