@@ -189,10 +189,10 @@ SIMPLE = """simple AS (SELECT uq_id, cast(sum(m) as bigint) AS n_simple,
   SELECT uq_id, CASE WHEN s_kind IN ('uri', 'blank') THEN 'entity' ELSE s_kind END || ' ' || p_kind || ':' || p
     || ' ' || CASE WHEN o_kind IN ('uri', 'blank') THEN 'entity' ELSE o_kind END AS line FROM t) GROUP BY 1, 2) GROUP BY uq_id)"""
 
-SIGNATURES = """sigs AS (SELECT uq_id, max(n_vars) AS n_vars, string_agg(row_, '; ' ORDER BY row_) AS sig FROM (
-  SELECT * FROM (SELECT DISTINCT uq_id, n_vars, coalesce(n1 || ' ' || v1, '') || coalesce(', ' || n2 || ' ' || v2, '')
+SIGNATURES = """sigs AS (SELECT uq_id, max(n_vars) AS n_vars, string_agg(row_, '; ' ORDER BY v1, v2, v3) AS sig FROM (
+  SELECT * FROM (SELECT DISTINCT uq_id, n_vars, v1, v2, v3, coalesce(n1 || ' ' || v1, '') || coalesce(', ' || n2 || ' ' || v2, '')
     || coalesce(', ' || n3 || ' ' || v3, '') AS row_ FROM answers)
-  QUALIFY row_number() OVER (PARTITION BY uq_id ORDER BY row_) <= 5) GROUP BY uq_id)"""
+  QUALIFY row_number() OVER (PARTITION BY uq_id ORDER BY v1, v2, v3) <= 5) GROUP BY uq_id)"""
 
 SUMMARY = f"""types AS (SELECT DISTINCT s AS node, o AS type, g FROM quads WHERE p = '{RDF_TYPE}'),
 summary AS (SELECT q.p, a.type AS stype, b.type AS otype, count(DISTINCT q.s) AS scount, count(DISTINCT q.o) AS ocount

@@ -58,7 +58,7 @@ class Workload(Fixture):
 
     @cached_property
     def answers(self) -> DataFrame:
-        return cut(L.bindings(self.unique, self.triples, self.quads), "answers")
+        return cut(L.bindings(self.unique, self.triples, self.quads, most=5), "answers")
 
     @cached_property
     def keyed(self) -> DataFrame:

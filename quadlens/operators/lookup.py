@@ -115,10 +115,20 @@ def _packed(own: DataFrame, units: DataFrame) -> DataFrame:
     return units.select("unit").join(packed, "unit", "left").withColumn("todo", F.coalesce(F.col("todo"), empty))
 
 
-def solutions(own: DataFrame, conditions: DataFrame, wanted: DataFrame, quads: DataFrame) -> DataFrame:
+def smallest(rows: DataFrame, key: str, order: Column, most: int | None) -> DataFrame:
+    """The `most` first rows of each key; Spark limits each task's groups before they are exchanged."""
+    if most is None:
+        return rows
+    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy(order)))
+    return ranked.filter(F.col("_rank") <= most).drop("_rank")
+
+
+def solutions(own: DataFrame, conditions: DataFrame, wanted: DataFrame, quads: DataFrame, most: int | None = None) -> DataFrame:
     """unit, vals: the distinct bindings of the wanted variables of each unit that has an answer.
 
-    own: ``match_units``; conditions: ``unit_conditions`` without open ones; wanted: unit, keep (names in the order of the result).
+    own: ``match_units``; conditions: ``unit_conditions`` without open ones; wanted: unit, keep (names in the order of the result); most: how
+    many rows of a pattern are wanted, the smallest in that order. They are picked before equal patterns of many units get theirs;
+    units with a MINUS or EXISTS group keep all rows until the group is tested.
     A variable with a list of terms (=, IN, VALUES) starts from them. MINUS and EXISTS groups are matched from the bindings of the
     variables they share with the rest, for all units at once, one group of each unit after the other.
     """
@@ -146,7 +156,13 @@ def solutions(own: DataFrame, conditions: DataFrame, wanted: DataFrame, quads: D
         F.when(F.col("list").isNull(), none).otherwise(F.array("list.var")).alias("given"), F.col("list.terms").alias("terms"),
         F.array_union("keep", F.coalesce("shared", none)).alias("keep"), F.when(F.col("shared").isNotNull(), F.col("unit")).alias("apart"))
     ordered = cut(M.ordered_patterns(patterns), "ordered")
-    found = _named(ordered, M.match_all(ordered, quads))
+    matched = M.match_all(ordered, quads)
+    if most is not None:
+        kept = ordered.filter("apart is null").groupBy("bgp").agg(F.first("keep").alias("keep"))
+        value = M.value_in(F.col("vals"))
+        few = smallest(matched.join(kept, "bgp"), "bgp", F.transform("keep", value), most).select("bgp", "vals")
+        matched = few.unionByName(matched.join(kept, "bgp", "left_anti"))
+    found = _named(ordered, matched)
     if tested.isEmpty():
         return found
     found = cut(found, "found")
@@ -242,9 +258,50 @@ def validity_incremental(unique: DataFrame, triples: DataFrame, quads: DataFrame
 
 # --- answers --------------------------------------------------------------------------------------------------------
 
-def bindings(unique: DataFrame, triples: DataFrame, quads: DataFrame) -> DataFrame:
+def _parts(units: DataFrame, needed: DataFrame, conditions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """units (unit, whole, keep), triples and conditions with each unit split into parts that share no variable.
+
+    A variable in two triples, in one condition or in one MINUS or EXISTS group ties them together. What has no variable goes
+    to the first part.
+    """
+    def variables(*terms: Column) -> Column:
+        return F.array_distinct(F.filter(F.array(*terms), lambda v: v.isNotNull() & v.startswith("?")))
+    ties = needed.select("unit", variables(*[F.col(r) for r in M.ROLES]).alias("vs")).unionByName(
+        conditions.filter("kind <> 'test'").select("unit", F.array_intersect("vars", "bound").alias("vs"))).unionByName(
+        conditions.filter("kind = 'test'").groupBy("unit", "grp").agg(F.array_distinct(F.flatten(F.collect_list(F.array_intersect("vars", "bound")))).alias("vs"))
+        .select("unit", "vs"))
+
+    def merge(parts: Column, vs: Column) -> Column:
+        return F.when(F.size(vs) == 0, parts).otherwise(F.array_append(
+            F.filter(parts, lambda p: ~F.arrays_overlap(p, vs)),
+            F.array_union(vs, F.flatten(F.filter(parts, lambda p: F.arrays_overlap(p, vs))))))
+    parts = ties.groupBy("unit").agg(F.collect_list("vs").alias("ties")).select("unit", F.array_sort(F.transform(F.aggregate(
+        "ties", F.array().cast("array<array<string>>"), merge), lambda p: F.array_sort(p))).alias("parts"))
+    parts = cut(units.join(parts, "unit", "left").withColumn("parts", F.when(F.size("parts") > 0, F.col("parts")).otherwise(
+        F.array(F.array().cast("array<string>")))), "parts")
+
+    def named(vs: Column) -> Column:
+        """The unit's name with the number of the part that holds the first of these variables."""
+        first = F.array_position(F.transform("parts", lambda p: F.arrays_overlap(p, vs)), F.lit(True))
+        return F.concat_ws("~", "unit", F.greatest(first, F.lit(1)).cast("string"))
+    split = parts.select("unit", "keep", F.posexplode("parts").alias("nth", "own")).select(
+        F.concat_ws("~", "unit", (F.col("nth") + 1).cast("string")).alias("unit"), F.col("unit").alias("whole"), (F.col("nth") + 1).alias("nth"),
+        F.filter("keep", lambda v: F.array_contains("own", v)).alias("keep"))
+    of = parts.select("unit", "parts")
+    triples = needed.join(of, "unit").withColumn("unit", named(variables(*[F.col(r) for r in M.ROLES]))).drop("parts")
+    # all triples of a group go where its first shared variable is
+    shared = conditions.filter("kind = 'test'").groupBy("unit", "grp").agg(F.flatten(F.collect_list(F.array_intersect("vars", "bound"))).alias("shared"))
+    rows = conditions.join(shared, ["unit", "grp"], "left").join(of, "unit")
+    rows = rows.withColumn("unit", named(F.coalesce(F.col("shared"), F.array_intersect("vars", "bound")))).drop("parts", "shared")
+    return split, triples, rows.select(*conditions.columns)
+
+
+def bindings(unique: DataFrame, triples: DataFrame, quads: DataFrame, most: int | None = None) -> DataFrame:
     """uq_id, vals (array of var, val sorted by var): the distinct rows of the result variables of decided SELECT queries.
 
+    most: how many rows of a query are wanted, the smallest ones (None: all). Parts of a pattern that share no variable are matched apart,
+    and only their smallest rows are combined: a row that is not among the first of its part cannot be among the first of the whole.
+
     Left out are queries with a union, with expressions among the result variables, with BIND under ``*``, with a LIMIT of 0 or an
     OFFSET, or with a result variable that the triples outside optional parts do not bind.
     """
@@ -268,12 +325,22 @@ def bindings(unique: DataFrame, triples: DataFrame, quads: DataFrame) -> DataFra
         "shown", lambda v: F.concat(F.lit("?v"), v)).alias("keep"))
     needed = cut(match_units(units.select("unit", "uq_id"), own), "needed")
     conditions = cut(unit_conditions(units.select("unit", "uq_id", "branch"), of_text, needed, own, binds), "unit_conditions")
-    todo = units.join(conditions.filter("open").select("unit").distinct(), "unit", "left_anti").select("unit", "keep")
+    todo = units.join(conditions.filter("open").select("unit").distinct(), "unit", "left_anti").select("unit", "uq_id", "keep")
     keyed = restricted(quads, needed, conditions.filter("kind = 'test'").select(F.get("vars", F.lit(1)).alias("p")))
-    found = solutions(needed.join(todo, "unit", "left_semi"), conditions.join(todo, "unit", "left_semi"), todo, keyed)
-    kept = F.transform(F.filter("vals", lambda v: F.array_contains("keep", v["var"])), lambda v: F.struct(
-        F.substr(v["var"], F.lit(3)).alias("var"), v["val"].alias("val")))
-    return found.join(todo, "unit").join(units.select("unit", "uq_id"), "unit").select("uq_id", F.array_sort(kept).alias("vals")).distinct()
+    parts, own, of_part = _parts(todo.select("unit", "keep"), needed.join(todo, "unit", "left_semi"), conditions.join(todo, "unit", "left_semi"))
+    parts = cut(parts, "parts")
+    found = solutions(own, of_part, parts.select("unit", "keep"), keyed, most).join(parts, "unit")
+    found = found.select("whole", "nth", F.array_sort(F.filter("vals", lambda v: F.array_contains("keep", v["var"]))).alias("vals")).distinct()
+    found = cut(smallest(found.withColumn("part", F.concat_ws("~", "whole", F.col("nth").cast("string"))), "part", F.col("vals"), most), "found")
+    out = found.filter("nth = 1").select("whole", "vals")
+    for nth in range(2, (parts.agg(F.max("nth")).first()[0] or 1) + 1):
+        # a unit without this part keeps its rows; one whose part has no row has no answer
+        more = parts.filter(F.col("nth") == nth).select("whole")
+        joined = out.join(found.filter(F.col("nth") == nth).select("whole", F.col("vals").alias("with")), "whole")
+        joined = smallest(joined.select("whole", F.array_sort(F.concat("vals", "with")).alias("vals")), "whole", F.col("vals"), most)
+        out = cut(out.join(more, "whole", "left_anti").unionByName(joined), "combined")
+    plain = F.transform("vals", lambda v: F.struct(F.substr(v["var"], F.lit(3)).alias("var"), v["val"].alias("val")))
+    return out.join(todo, out["whole"] == todo["unit"]).select("uq_id", plain.alias("vals"))
 
 
 def first_binding(answers: DataFrame) -> DataFrame:
@@ -285,8 +352,8 @@ def first_binding(answers: DataFrame) -> DataFrame:
 def result_signature(answers: DataFrame, top: int = 5) -> DataFrame:
     """uq_id, n_vars, sig: the number of variables and the first ``top`` distinct rows of the answer, ordered."""
     text = F.array_join(F.transform("vals", lambda v: F.concat(v["var"], F.lit(" "), v["val"])), ", ")
-    rows = answers.select("uq_id", F.size("vals").alias("n_vars"), text.alias("row")).distinct()
-    rank = F.row_number().over(W.partitionBy("uq_id").orderBy("row"))
+    rows = answers.select("uq_id", F.size("vals").alias("n_vars"), "vals", text.alias("row")).distinct()
+    rank = F.row_number().over(W.partitionBy("uq_id").orderBy("vals"))
     kept = rows.withColumn("rank", rank).filter(F.col("rank") <= top)
     return kept.groupBy("uq_id").agg(F.max("n_vars").cast("bigint").alias("n_vars"), F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "row"))), lambda r: r["row"]), "; ").alias("sig"))

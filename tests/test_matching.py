@@ -91,3 +91,21 @@ def test_label_prefers_title_then_smallest(spark):
     quads = spark.createDataFrame(rows, "s string, p string, o string, o_kind string")
     assert {(r.term, r.label) for r in L.labels(quads).collect()} == {("a", "T"), ("b", "y")}
     assert L.labels(quads, spark.createDataFrame([("b",)], "term string")).select(F.count("*")).first()[0] == 1
+
+
+def test_a_hot_predicate_is_not_where_a_join_starts(spark):
+    # a third of the graph says the same of everything; each query also names something rare
+    rows = [(f"x{i}", "in", "all") for i in range(4000)] + [(f"x{i}", "code", f"c{i % 2000}") for i in range(4000)]
+    quads = spark.createDataFrame([(*r, "uri", None, None, "g") for r in rows], "s string, p string, o string, o_kind string, datatype string, lang string, g string")
+    texts = [f"SELECT ?x {{ ?x <in> <all> . ?x <in> ?all . ?x <code> <c{i}> }}" for i in range(300)]
+    unique = P.unique_queries(spark.createDataFrame(list(enumerate(texts)), "qid long, query_text string"))
+    needed = L.match_units(unique.select(F.col("uq_id").cast("string").alias("unit"), "uq_id"), P.unique_triples(unique))
+    keyed = L.restricted(quads, needed)
+    sized = M.with_sizes(needed, keyed)
+    none = F.array().cast("array<string>")
+    patterns = sized.groupBy("unit").agg(F.collect_list(F.struct("pos", *M.ROLES, "n", "subjects", "objects")).alias("todo")).select(
+        "unit", "todo", F.array().cast("array<struct<op:string,vars:array<string>,args:array<string>>>").alias("conds"), none.alias("given"),
+        F.lit(None).cast("array<string>").alias("terms"), F.array(F.lit("?vx")).alias("keep"), F.lit(None).cast("string").alias("apart"))
+    ordered = M.ordered_patterns(patterns)
+    assert [r.p for r in ordered.select(F.get("steps", F.lit(0))["p"].alias("p")).distinct().collect()] == ["<code>"]
+    assert M.match_all(ordered, keyed).count() == 600

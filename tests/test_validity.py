@@ -112,6 +112,22 @@ def test_answers_follow_the_form_and_the_result_variables(spark, quads):
                      6: {(("a", "<a>"),), (("a", "<a2>"),)}, 7: {(("a", "<a>"), ("b", "<b>")), (("a", "<a2>"), ("b", "<b2>"))}}
 
 
+def test_smallest_answers_of_apart_patterns_and_of_the_whole_graph(spark, quads):
+    texts = ["SELECT * { ?s ?p ?o }", "SELECT * { ?a <p> ?b . ?c <q2> ?d }", "SELECT ?c ?a { ?a <p> ?b . ?c <p> ?d FILTER ( ?a != <a> ) }",
+             "SELECT ?a { ?a <p> ?b . ?c <none> ?d }", "SELECT * { ?a <p> ?b . <d> <q2> <e> MINUS { ?b <p> ?c } MINUS { ?x <none> ?y } }",
+             "SELECT * { ?o <p> ?c BIND ( STR ( ?o ) AS ?y ) }", "SELECT ?a { ?a <p> ?b } LIMIT 0"]
+    unique = P.unique_queries(log_of(spark, texts))
+    found = {}
+    for r in L.bindings(unique, P.unique_triples(unique), quads, most=2).collect():
+        found.setdefault(r.uq_id, []).append({v["var"]: v["val"] for v in r.vals})
+    found = {k: sorted(v, key=str) for k, v in found.items()}
+    assert found == {
+        0: found[0],
+        1: [{"a": "<a2>", "b": "<b2>", "c": "<d>", "d": "<e>"}, {"a": "<a>", "b": "<b>", "c": "<d>", "d": "<e>"}],
+        2: [{"a": "<a2>", "c": "<a2>"}, {"a": "<a2>", "c": "<a>"}], 4: [{"a": "<a2>", "b": "<b2>"}, {"a": "<a>", "b": "<b>"}]}
+    assert len(found[0]) == 2 and {r["s"] for r in found[0]} == {"<n1>", "<n2>"}
+
+
 def test_simplified_keys_hold_the_number_of_triples(spark):
     unique = P.unique_queries(log_of(spark, ["SELECT * { ?x <p> ?y }", "SELECT * { ?x <p> ?y . ?x <p> ?z }", "SELECT * { ?u <p> ?v . ?w <p> ?v }"]))
     rows = {r.uq_id: (r.n_simple, r.key) for r in G.simplified_key(P.unique_triples(unique)).collect()}
