@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,11 +45,25 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/quadlens-{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, drop: Iterable[DataFrame | None] = ()) -> DataFrame:
     """Write an intermediate table to shared storage and read it back.
 
     Later steps then neither repeat the work nor depend on the executors that did it, and the planner knows its size.
+    ``drop``: tables of earlier calls that nothing reads once this one is written; their folders are deleted then.
     """
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._work_folder = path
+    for old in drop:
+        discard(old)
+    return out
+
+
+def discard(table: DataFrame | None) -> None:
+    """Delete the folder of a table that ``cut`` wrote. Anything else is left alone."""
+    path = getattr(table, "_work_folder", None)
+    if path:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
