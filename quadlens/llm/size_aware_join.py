@@ -8,10 +8,13 @@
 3. Light-light pairs meet in subsets of two elements, all others in inverted lists of single elements. Both are taken from
    a set's rarest elements only, as many as linked sets cannot help sharing. The size that parts light from heavy is the
    one with the lowest counted cost.
-4. Long lists are first compared with one member, their hub. Members that are in one component by then need no more
+4. Each set is first compared with the hubs of a few of its most frequent elements, so most of a large group of copies is one
+   component before its lists are made, and lists with a single component are not made at all.
+5. Long lists are then compared with one member, their hub. Members that are in one component by then need no more
    comparing; what is left is compared in whole, or with ever more hubs while a list is very long, until each list has one
    component left or every pair of it was compared. So a large group of copies costs links in proportion to its size, and
-   no pair is lost. A pair is compared only if what both sets have after the shared element is enough for a link.
+   no pair is lost. A pair's sets are read only if what both have after the shared element is enough for a link, and if the
+   parities of their elements in BITS hash classes do not show that they differ in too many elements.
 """
 
 from __future__ import annotations
@@ -37,6 +40,9 @@ MANY = np.uint32(0xFFFFFFFF)  # in place of a document: several of the piece
 LIGHT_MOST = 64  # the boundary is looked for up to this size
 #: Lists up to these lengths are compared in whole, in the first round and in later ones; longer ones with hubs.
 WHOLE = (8, 1024)
+FIRST = 3  # elements by which each set meets hubs before lists are made
+BITS = 512  # hash classes whose parities are kept of each set, as BITS / 64 longs
+PARITY = [f"p{i}" for i in range(BITS // 64)]
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -153,6 +159,13 @@ def possible(docs: DataFrame, key: str, text: str) -> DataFrame:
     return counted.groupBy("piece").applyInPandas(settle, f"`{key}` long, n long, same binary, candidate int")
 
 
+def parities(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each set the parity of its number of elements in each hash class, packed in longs."""
+    at = np.repeat(np.arange(len(n), dtype=np.int64), n) * BITS + (x >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(n) * BITS) & 1).astype(np.uint8).reshape(len(n), BITS)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, n, s): each text's set as an array of hashes."""
     def work(texts: list[str]) -> tuple[list, None]:
@@ -165,7 +178,7 @@ def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def ranked_sets(sets: DataFrame) -> DataFrame:
-    """(id, n, m, r): of each set that may link, how many elements others have too, and the rarest of these as (df, e).
+    """(id, n, m, r, parities): of each set that may link, how many elements others have too, and the rarest of these as (df, e).
 
     An element's df is the number of sets that have it, as a power of two; r has all elements among the n - needed + 2 rarest.
     Again only packed arrays travel: each piece asks for its distinct elements and is answered in the same order.
@@ -209,8 +222,9 @@ def ranked_sets(sets: DataFrame) -> DataFrame:
         x, n, ids = np.frombuffer(own["x"], np.uint64), unpack(own["sizes"]), np.frombuffer(own["ids"], np.int64)
         df = np.concatenate([unpack(b) for b in group[group["ids"].isna()].sort_values("shard")["times"]])[dealt(x)[3]]
         rows = []
-        starts = np.cumsum(n) - n
-        for i, a, size in zip(ids.tolist(), starts.tolist(), n.tolist()):
+        n = n.astype(np.int64)
+        starts, bits = np.cumsum(n) - n, parities(x, n)
+        for i, a, size, own_bits in zip(ids.tolist(), starts.tolist(), n.tolist(), bits):
             mine = df[a:a + size]
             shared = np.flatnonzero(mine > 1)
             most = size - (3 * size + 3) // 4 + 2 - (size - len(shared))
@@ -218,14 +232,14 @@ def ranked_sets(sets: DataFrame) -> DataFrame:
                 continue  # too many elements that no other set has
             level = np.floor(np.log2(mine[shared])).astype(np.int64)
             rare = np.lexsort((x[a:a + size][shared], level))[:most]
-            rows.append((i, size, len(shared), level[rare], x[a:a + size][shared][rare].view(np.int64)))
+            rows.append((i, size, len(shared), level[rare], x[a:a + size][shared][rare].view(np.int64), own_bits))
         return pd.DataFrame({**{c: np.array([r[i] for r in rows], np.int64) for i, c in enumerate(("id", "n", "m"))},
-                             "df": pd.Series([r[3] for r in rows], dtype=object), "e": pd.Series([r[4] for r in rows], dtype=object)})
+                             "df": pd.Series([r[3] for r in rows], dtype=object), "e": pd.Series([r[4] for r in rows], dtype=object), **{c: np.array([r[5][j] for r in rows], np.int64) for j, c in enumerate(PARITY)}})
 
     schema = "shard long, piece long, x binary, times binary, ids binary, sizes binary"
     answered = sets.select("id", "n", "s").mapInPandas(ask, schema).groupBy("shard").applyInPandas(answer, schema)
-    rows = answered.groupBy("piece").applyInPandas(settle, "id long, n long, m long, df array<long>, e array<long>")
-    return rows.select("id", "n", "m", F.arrays_zip("df", "e").alias("r"))
+    rows = answered.groupBy("piece").applyInPandas(settle, "id long, n long, m long, df array<long>, e array<long>, " + ", ".join(f"{p} long" for p in PARITY))
+    return rows.select("id", "n", "m", F.arrays_zip("df", "e").alias("r"), *PARITY)
 
 
 def held(batches: Iterable[pd.DataFrame], limit: int = 500_000) -> Iterator[pd.DataFrame]:
@@ -262,7 +276,7 @@ def _rarest(c: str) -> F.Column:
 
 
 def lists(ranked: DataFrame, light: int) -> DataFrame:
-    """(key, id, n, at, kind): the subsets of light sets (kind 2) and the single elements of heavy and nearly heavy ones (1, 0).
+    """(key, id, n, at, kind, c, parities): the subsets of light sets (kind 2) and the single elements of heavy and nearly heavy ones (1, 0).
 
     at: the place of the (last) element in its set, rarest first.
     """
@@ -271,15 +285,17 @@ def lists(ranked: DataFrame, light: int) -> DataFrame:
     single = "transform(slice(r, 1, k), (e, i) -> struct(e.e as key, i as at))"
 
     def rows(some: DataFrame, expr: str, kind: F.Column) -> DataFrame:
-        return some.select("id", "n", "m", kind.alias("kind"), F.explode(F.expr(expr)).alias("x")).select(
-            "x.key", "id", "n", (F.col("n") - F.col("m") + F.col("x.at")).alias("at"), "kind")
+        return some.select("id", "n", "m", "c", *PARITY, kind.alias("kind"), F.explode(F.expr(expr)).alias("x")).select(
+            "x.key", "id", "n", (F.col("n") - F.col("m") + F.col("x.at")).alias("at"), "kind", "c", *PARITY)
     pairs = rows(ranked.where(F.col("n") <= light).withColumn("k", _rarest("2")).where("k > 1"), subset, F.lit(2))
     singles = rows(ranked.where(4 * F.col("n") > 3 * light).withColumn("k", _rarest("1")).where("k > 0"), single, (F.col("n") > light).cast("int"))
     return pairs.unionByName(singles)
 
 
+#: Sets of a and b elements that link differ in (a + b) / 7 at most; they differ at least where parities do.
+MAY_MATCH = "4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) and 7 * (" + " + ".join(f"bit_count(a.{p} ^ b.{p})" for p in PARITY) + ") <= a.n + b.n"
 #: Whether members a and b of a list may link: light sets meet in subsets, sizes are near, and enough follows what they share.
-MAY_LINK = """(a.kind = 2 or a.kind = 1 or b.kind = 1) and 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+MAY_LINK = f"""(a.kind = 2 or a.kind = 1 or b.kind = 1) and {MAY_MATCH}
     and 7 * (if(a.kind = 2, 2, 1) + least(a.n - a.at, b.n - b.at) - 1) >= 3 * (a.n + b.n)"""
 
 
@@ -291,23 +307,42 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * shared >= 75 * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def first_links(ranked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each set and the hubs of FIRST of its most frequent elements: near copies have most of these in common.
+
+    A set's elements are those with the smallest of several hashes, an element's hub is the set with the smallest one.
+    """
+    top = "filter(r, e -> e.df = array_max(r.df))"
+    keys = F.array_distinct(F.array(*(F.expr(f"array_min(transform({top}, e -> struct(xxhash64(e.e, {j}) as h, e.e as e))).e") for j in range(FIRST))))
+    rows = ranked.select("id", "n", *PARITY, F.explode(keys).alias("key"))
+    heads = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.struct("id", "n", *PARITY).alias("hub"))).alias("x")).select("key", "x.hub.*")
+    return rows.alias("a").join(heads.alias("b"), F.expr(f"a.key = b.key and a.id <> b.id and {MAY_MATCH}")).selectExpr(
+        "least(a.id, b.id) as a", "greatest(a.id, b.id) as b").distinct()
+
+
 def owners_of(sets: DataFrame) -> DataFrame:
     """(node, component) of the distinct sets that link with another."""
     ranked = cut(ranked_sets(sets), "ranked")
-    entries = lists(ranked, boundary(ranked)).withColumn("two", F.col("kind") == 2)
+    owner = cut(components(verified(first_links(ranked), sets), "a", "b"), "owners")
+    named = ranked.join(owner, F.col("id") == F.col("node"), "left").select(*ranked.columns, F.coalesce("component", "id").alias("c"))
+    named = cut(named, "named", [ranked])
+    entries = lists(named, boundary(named)).withColumn("two", F.col("kind") == 2)
     # lists of the same members are one list: elements of a passage that the same texts share make no work of their own
-    often = entries.groupBy("key", "two").agg(F.count("*").alias("g"), F.max("kind").alias("heavy"), F.bit_xor(F.xxhash64("id")).alias("x"),
-                                              F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("g > 1 and heavy > 0")
+    often = entries.groupBy("key", "two").agg(
+        F.count("*").alias("g"), F.max("kind").alias("heavy"), F.min("c").alias("c0"), F.max("c").alias("c1"),
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("heavy > 0 and c0 < c1")
     entries = entries.join(often.select("key", "two", "g", F.xxhash64("g", "x", "y").alias("list")), ["key", "two"])
-    entries = entries.groupBy(F.col("list").alias("key"), "two", "g", "id", "n", "kind").agg(F.min("at").alias("at"))
-    entries = cut(entries, "lists").withColumn("c", F.col("id"))
-    owner, hubs = None, 1
+    entries = entries.groupBy(F.col("list").alias("key"), "two", "g", "id", "n", "kind", "c").agg(F.min("at").alias("at"), *(F.first(p).alias(p) for p in PARITY))
+    entries = cut(entries, "lists", [named])
+    if entries.isEmpty():
+        return owner
+    hubs = 1
     for whole in chain(WHOLE[:1], repeat(WHOLE[1])):
         short, long = entries.where(F.col("g") <= whole), entries.where(F.col("g") > whole)
         pairs = short.alias("a").join(short.alias("b"), F.expr(f"a.key = b.key and a.two = b.two and a.id < b.id and a.c <> b.c and {MAY_LINK}")).selectExpr(
             "a.id as a", "b.id as b")
         # a list's hubs: the members with the smallest of several hashes
-        member = F.struct("id", "n", "at", "kind", "c")
+        member = F.struct("id", "n", "at", "kind", "c", *PARITY)
         picks = [F.min(F.struct(F.xxhash64("id", F.lit(j)).alias("h"), member.alias("m"))) for j in range(hubs)]
         heads = long.groupBy("key", "two").agg(F.array_distinct(F.array(*(p["m"] for p in picks))).alias("hubs"))
         met = long.join(heads, ["key", "two"])
@@ -316,11 +351,11 @@ def owners_of(sets: DataFrame) -> DataFrame:
         pairs = pairs.unionByName(hubbed.selectExpr("least(a, b) as a", "greatest(a, b) as b")).distinct()
         new = cut(verified(pairs, sets), "verified")
         # components so far are links too: of those before only their outcome counts
-        owner = cut(components(new if owner is None else new.unionByName(owner.selectExpr("node as a", "component as b")), "a", "b"), "owners")
+        owner = cut(components(new.unionByName(owner.selectExpr("node as a", "component as b")), "a", "b"), "owners", [new, owner])
         rest = met.where(~F.exists("hubs", lambda h: (h["id"] == F.col("id")) & (h["n"] == F.col("n")) & (h["at"] == F.col("at")))).drop("hubs", "c", "g")
         rest = rest.join(owner, F.col("id") == F.col("node"), "left").select(rest["*"], F.coalesce("component", "id").alias("c"))
         left = rest.groupBy("key", "two").agg(F.count("*").alias("g"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-        entries = cut(rest.join(left.select("key", "two", "g"), ["key", "two"]), "lists")
+        entries = cut(rest.join(left.select("key", "two", "g"), ["key", "two"]), "lists", [entries])
         if entries.isEmpty():
             return owner
         hubs = min(4 * hubs, 32)
