@@ -20,7 +20,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -38,7 +38,8 @@ WIDTH = 5  # words of a shingle
 PIECE = 2_000_000  # characters that share one packed array
 MANY = np.uint32(0xFFFFFFFF)  # in place of a document: several of the piece
 LIGHT_MOST = 64  # the boundary is looked for up to this size
-#: Lists up to these lengths are compared in whole, in the first round and in later ones; longer ones with hubs.
+#: Lists up to these lengths are compared in whole, in the first round and in the second; longer ones with hubs. Each round after
+#: that takes lists 16 times as long in whole: what hubs have not made one component by then are sets that hardly link.
 WHOLE = (8, 1024)
 FIRST = 3  # elements by which each set meets hubs before lists are made
 BITS = 512  # hash classes whose parities are kept of each set, as BITS / 64 longs
@@ -276,17 +277,21 @@ def _rarest(c: str) -> F.Column:
 
 
 def lists(ranked: DataFrame, light: int) -> DataFrame:
-    """(key, id, n, at, kind, c, parities): the subsets of light sets (kind 2) and the single elements of heavy and nearly heavy ones (1, 0).
+    """(key, prev, id, n, at, kind, c, parities): the subsets of light sets (kind 2) and the single elements of heavy and nearly heavy ones (1, 0).
 
-    at: the place of the (last) element in its set, rarest first.
+    at: the place of the (last) element in its set, rarest first. prev: the key of the entry before it in the same set, which
+    has one element one place earlier, or null.
     """
-    subset = """flatten(transform(sequence(1, greatest(k - 1, 1)), i -> transform(slice(r, i + 1, greatest(k - i, 0)), (e, j) -> struct(
-        xxhash64(least(element_at(r, i).e, e.e), greatest(element_at(r, i).e, e.e)) as key, i + j as at))))"""
-    single = "transform(slice(r, 1, k), (e, i) -> struct(e.e as key, i as at))"
+    def both(a: str, b: str) -> str:
+        return f"xxhash64(least({a}, {b}), greatest({a}, {b}))"
+    subset = f"""flatten(transform(sequence(1, greatest(k - 1, 1)), i -> transform(slice(r, i + 1, greatest(k - i, 0)), (e, j) -> struct(
+        {both("r[i - 1].e", "e.e")} as key, i + j as at,
+        case when j > 0 then {both("r[i - 1].e", "r[i + j - 1].e")} when i > 1 then {both("r[i - 2].e", "e.e")} end as prev))))"""
+    single = "transform(slice(r, 1, k), (e, i) -> struct(e.e as key, i as at, if(i > 0, r[i - 1].e, null) as prev))"
 
     def rows(some: DataFrame, expr: str, kind: F.Column) -> DataFrame:
         return some.select("id", "n", "m", "c", *PARITY, kind.alias("kind"), F.explode(F.expr(expr)).alias("x")).select(
-            "x.key", "id", "n", (F.col("n") - F.col("m") + F.col("x.at")).alias("at"), "kind", "c", *PARITY)
+            "x.key", "x.prev", "id", "n", (F.col("n") - F.col("m") + F.col("x.at")).alias("at"), "kind", "c", *PARITY)
     pairs = rows(ranked.where(F.col("n") <= light).withColumn("k", _rarest("2")).where("k > 1"), subset, F.lit(2))
     singles = rows(ranked.where(4 * F.col("n") > 3 * light).withColumn("k", _rarest("1")).where("k > 0"), single, (F.col("n") > light).cast("int"))
     return pairs.unionByName(singles)
@@ -327,17 +332,19 @@ def owners_of(sets: DataFrame) -> DataFrame:
     named = ranked.join(owner, F.col("id") == F.col("node"), "left").select(*ranked.columns, F.coalesce("component", "id").alias("c"))
     named = cut(named, "named", [ranked])
     entries = lists(named, boundary(named)).withColumn("two", F.col("kind") == 2)
+    # if all members of a list have the same entry before it, they all meet in that one's list, at an earlier place.
     # lists of the same members are one list: elements of a passage that the same texts share make no work of their own
     often = entries.groupBy("key", "two").agg(
         F.count("*").alias("g"), F.max("kind").alias("heavy"), F.min("c").alias("c0"), F.max("c").alias("c1"),
-        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("heavy > 0 and c0 < c1")
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
+        F.count("prev").alias("led"), F.min("prev").alias("p0"), F.max("prev").alias("p1")).where("heavy > 0 and c0 < c1 and not (led = g and p0 = p1)")
     entries = entries.join(often.select("key", "two", "g", F.xxhash64("g", "x", "y").alias("list")), ["key", "two"])
     entries = entries.groupBy(F.col("list").alias("key"), "two", "g", "id", "n", "kind", "c").agg(F.min("at").alias("at"), *(F.first(p).alias(p) for p in PARITY))
     entries = cut(entries, "lists", [named])
     if entries.isEmpty():
         return owner
     hubs = 1
-    for whole in chain(WHOLE[:1], repeat(WHOLE[1])):
+    for whole in chain(WHOLE[:1], (WHOLE[1] * 16 ** k for k in count())):
         short, long = entries.where(F.col("g") <= whole), entries.where(F.col("g") > whole)
         pairs = short.alias("a").join(short.alias("b"), F.expr(f"a.key = b.key and a.two = b.two and a.id < b.id and a.c <> b.c and {MAY_LINK}")).selectExpr(
             "a.id as a", "b.id as b")
