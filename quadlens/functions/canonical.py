@@ -12,8 +12,11 @@ def _refine(colour: list, edges: list) -> list[int]:
     while True:
         around: list[list] = [[] for _ in colour]
         for a, b, label in edges:
-            around[a].append((1, label, colour[b]))
-            around[b].append((0, label, colour[a]))
+            if a == b:
+                around[a].append((2, label, colour[a]))
+            else:
+                around[a].append((1, label, colour[b]))
+                around[b].append((0, label, colour[a]))
         seen = [(colour[i], tuple(sorted(around[i]))) for i in range(len(colour))]
         ranks = {c: i for i, c in enumerate(sorted(set(seen)))}
         if len(ranks) == len(set(colour)):
@@ -74,35 +77,75 @@ def canonical_form(structure: str) -> str:
     return json.dumps(sorted(forms))
 
 
+def _orbits(nodes: list[int], colour: list[int], found: list[dict[int, int]]) -> dict[int, int]:
+    """Core nodes with a name of their orbit under those of the automorphisms found that keep this colouring."""
+    name = {i: i for i in nodes}
+
+    def root(i: int) -> int:
+        while name[i] != i:
+            i = name[i]
+        return i
+    for swap in found:
+        if all(colour[a] == colour[b] for a, b in swap.items()):
+            for a, b in swap.items():
+                name[root(a)] = root(b)
+    return {i: root(i) for i in nodes}
+
+
 def _part_form(groups: list, edges: list) -> str:
     """Form of one connected part. Refined colours decide trees hanging off the cyclic core, so only core nodes of equal
-    colour are tried in turn, twins (same links) once."""
-    core = _core(len(groups), edges)
+    colour are tried in turn. Two trials that end in the same text give an automorphism of the part; a node that known
+    automorphisms move to a tried one needs no trial, so equal branches cost one descent each instead of a search."""
+    core = sorted(_core(len(groups), edges))
+    found: list[dict[int, int]] = []
 
     def links(i: int, swap: int) -> tuple:
         def name(k: int) -> int:
             return -1 if k in (i, swap) else k
         return tuple(sorted((name(a), name(b), a == i, label) for a, b, label in edges if i in (a, b)))
 
-    def best(colour: list[int]) -> str:
+    def open_cell(colour: list[int]) -> list[int] | None:
         cells: dict[int, list[int]] = {}
         for i in core:
             cells.setdefault(colour[i], []).append(i)
-        open_cells = [cell for cell in cells.values() if len(cell) > 1]
-        if not open_cells:
-            text = sorted((colour[a], colour[b], label) for a, b, label in edges)
-            return json.dumps([sorted([colour[i], groups[i]] for i in range(len(groups))), text])
-        cell = min(open_cells, key=lambda c: (len(c), colour[c[0]]))
+        return min((c for c in cells.values() if len(c) > 1), key=lambda c: (len(c), colour[c[0]]), default=None)
+
+    def without(i: int, colour: list[int]) -> list[int]:
+        """The colours once i has one of its own."""
+        split = [(c, 1) for c in colour]
+        split[i] = (colour[i], 0)
+        return _refine(split, edges)
+
+    def text(colour: list[int]) -> str:
+        return json.dumps([sorted([colour[i], groups[i]] for i in range(len(groups))),
+                           sorted((colour[a], colour[b], a == b, label) for a, b, label in edges)])
+
+    def best(colour: list[int]) -> str:
+        cell = open_cell(colour)
+        if cell is None:
+            return text(colour)
         tried: list[int] = []
-        found = None
+        ends: dict[str, list[int]] = {}
+        form = None
         for i in cell:
-            if any(links(i, j) == links(j, i) for j in tried):
+            twin = next((j for j in tried if links(i, j) == links(j, i)), None)
+            if twin is not None:
+                found.append({i: twin, twin: i})
+                continue
+            orbit = _orbits(core, colour, found)
+            if any(orbit[i] == orbit[j] for j in tried):
                 continue
             tried.append(i)
-            split = [(c, 1) for c in colour]
-            split[i] = (colour[i], 0)
-            form = best(_refine(split, edges))
-            found = form if found is None or form < found else found
-        return found
+            split = end = without(i, colour)
+            while (rest := open_cell(end)) is not None:
+                end = without(rest[0], end)
+            known = ends.setdefault(text(end), end)
+            if known is not end:
+                at = {known[k]: k for k in core}
+                found.append({at[end[k]]: k for k in core})
+                continue
+            trial = best(split)
+            form = trial if form is None or trial < form else form
+        return form
 
     return best(_refine(list(groups), edges))

@@ -1,6 +1,7 @@
 import itertools
 import json
 import random
+import time
 
 from quadlens.functions.canonical import canonical_form
 
@@ -24,6 +25,36 @@ def test_canonical_form_equals_brute_force_on_random_graphs():
         assert by_brute.setdefault(b, c) == c
 
 
+def test_canonical_form_equals_brute_force_with_loops_and_repeated_links():
+    rng = random.Random(1)
+    by_canon, by_brute = {}, {}
+    for _ in range(800):
+        n = rng.randint(2, 5)
+        s = json.dumps({"g": ["V"] * n, "e": [[rng.randrange(n), rng.randrange(n), "p"] for _ in range(rng.randint(1, 8))]})
+        c, b = canonical_form(s), (n, brute(s))
+        assert by_canon.setdefault(c, b) == b
+        assert by_brute.setdefault(b, c) == c
+
+
+def renamed(structure, rng):
+    n = len(structure["g"])
+    p = rng.sample(range(n), n)
+    edges = [[p[a], p[b], x] for a, b, x in structure["e"]]
+    return {"g": [structure["g"][p.index(i)] for i in range(n)], "e": rng.sample(edges, len(edges))}
+
+
+def test_equal_branches_cost_no_search():
+    triangles = {"g": ["V"] * 21, "e": [e for i in range(1, 21, 2) for e in ([0, i, "p"], [i, i + 1, "p"], [i + 1, 0, "p"])]}
+    whole = {"g": ["V"] * 9, "e": [[i, j, "p"] for i in range(9) for j in range(9) if i != j]}
+    cube = {"g": ["V"] * 16, "e": [[i, i | 1 << k, "p"] for i in range(16) for k in range(4) if not i >> k & 1]}
+    rng = random.Random(2)
+    for x in (triangles, whole, cube):
+        start = time.perf_counter()
+        form = canonical_form(json.dumps(x))
+        assert time.perf_counter() - start < 1  # some hundredths; a search without pruning takes minutes
+        assert all(canonical_form(json.dumps(renamed(x, rng))) == form for _ in range(3))
+
+
 def test_symmetric_graphs_stay_cheap():
     star = {"g": ["V"] * 41, "e": [[0, i, "p"] for i in range(1, 41)]}
     spider = {"g": ["V"] * 41, "e": [[0, i, "p"] for i in range(1, 21)] + [[i, i + 20, "p"] for i in range(1, 21)]}
