@@ -537,6 +537,16 @@ def oracles() -> dict[str, str]:
                               f"b.p = '{p['nation']}'",),
         "i12_path_alternative": (f"SELECT DISTINCT s AS x, o AS y FROM key WHERE p IN ('{p['nation']}', '{p['region']}')",),
         "i13_path_closure": ("SELECT x, y FROM reach",),
+        "i13_path_star": ("SELECT x, y FROM reach WHERE x NOT IN (SELECT y FROM reach) UNION SELECT x, x FROM reach WHERE x NOT IN (SELECT y FROM reach)",),
+        "i13_path_depth": (
+            "SELECT x, y FROM link WHERE x NOT IN (SELECT y FROM link) "
+            "UNION SELECT a.x, b.y FROM link a JOIN link b ON a.y = b.x WHERE a.x NOT IN (SELECT y FROM link)",
+            f"link AS (SELECT DISTINCT s AS x, o AS y FROM key WHERE p = '{p['parent']}')"),
+        "i13_path_groups": (
+            "SELECT n.x AS node, least(n.x, coalesce(min(b.x), n.x)) AS grp FROM (SELECT x FROM reach UNION SELECT y FROM reach) n "
+            "LEFT JOIN reach a ON a.x = n.x LEFT JOIN reach b ON b.x = a.y AND b.y = n.x GROUP BY n.x",),
+        "i13_path_condensed": (
+            "SELECT DISTINCT gx.grp AS x, gy.grp AS y FROM reach JOIN grouped gx ON gx.node = x JOIN grouped gy ON gy.node = y",),
         "i14_subselect": (
             f"SELECT s AS c, o AS n, orders FROM key JOIN (SELECT o AS c, count(*) AS orders FROM key WHERE "
             f"p = '{p['customer']}' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) ON c = s WHERE p = '{p['nation']}'",),
@@ -564,11 +574,12 @@ def oracles() -> dict[str, str]:
     }
     out["f6_first_binding"] = ("SELECT uq_id, var, value FROM (" + out["f6_first_binding"][0] + ")", valid)
     sqls = {name: _with(body, *ctes) for name, (body, *ctes) in out.items()}
-    sqls["i13_path_closure"] = sqls["i13_path_closure"].replace("WITH ", "WITH RECURSIVE ", 1).replace(
-        "\nSELECT x, y FROM reach", f""",
-reach AS (SELECT s AS x, o AS y FROM key WHERE p = '{p['parent']}'
-  UNION SELECT reach.x, key.o FROM reach JOIN key ON key.s = reach.y AND key.p = '{p['parent']}')
-SELECT x, y FROM reach""")
+    reach = f"""reach AS (SELECT s AS x, o AS y FROM key WHERE p = '{p['parent']}'
+  UNION SELECT reach.x, key.o FROM reach JOIN key ON key.s = reach.y AND key.p = '{p['parent']}')"""
+    grouped = f"grouped AS ({out['i13_path_groups'][0]})"
+    for name, more in (("closure", [reach]), ("star", [reach]), ("groups", [reach]), ("condensed", [reach, grouped])):
+        body = out[f"i13_path_{name}"][0]
+        sqls[f"i13_path_{name}"] = sqls[f"i13_path_{name}"].replace("WITH ", "WITH RECURSIVE ", 1).replace("\n" + body, ",\n" + ",\n".join(more) + "\n" + body)
     return sqls
 
 

@@ -34,6 +34,12 @@ PARENT = f"<{EX}p/parent>"
 TYPE, LABEL = f"<{RDF_TYPE}>", f"<{RDFS_LABEL}>"
 
 
+def leaves(w: Workload) -> DataFrame:
+    """Nodes that have a parent and are no one's parent."""
+    links = w.keyed.filter(F.col("p") == PARENT)
+    return links.select(F.col("s").alias("x")).join(links.select(F.col("o").alias("x")), "x", "left_anti").distinct()
+
+
 class Workload(Fixture):
     """Fixture tables plus the intermediate tables several queries share.
 
@@ -346,6 +352,10 @@ QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
     "i12_path_sequence": lambda w: M.path_sequence(w.keyed, CUSTOMER, NATION),
     "i12_path_alternative": lambda w: M.path_alternative(w.keyed, [NATION, REGION]),
     "i13_path_closure": lambda w: M.path_closure(w.keyed, PARENT),
+    "i13_path_star": lambda w: M.path_closure(w.keyed, PARENT, start=leaves(w), zero=True),
+    "i13_path_depth": lambda w: M.path_closure(w.keyed, PARENT, start=leaves(w), steps=2),
+    "i13_path_groups": lambda w: M.path_groups(w.keyed, PARENT),
+    "i13_path_condensed": lambda w: M.condensed_closure(w.keyed, PARENT, M.path_groups(w.keyed, PARENT)),
     "i14_subselect": lambda w: M.triple(w.keyed, "?c", NATION, "?n").join(
         M.triple(w.keyed, "?o", CUSTOMER, "?c").groupBy("c").agg(F.count("*").alias("orders"))
         .orderBy(F.desc("orders"), "c").limit(20), "c"),

@@ -151,6 +151,64 @@ def path_closure(quads: DataFrame, predicate: str, start: DataFrame | None = Non
     return known.union(nodes.select("x", F.col("x").alias("y"))).distinct() if zero else known
 
 
+def path_groups(quads: DataFrame, predicate: str) -> DataFrame:
+    """node, grp: nodes that reach each other by ``predicate`` have the same group, named by its smallest member.
+
+    Nodes without a link in or without one out are groups of their own and go, round by round. In what is left every node
+    learns the smallest node that reaches it; a node that learns only itself is the smallest of its group, and the group is what
+    reaches it among the nodes that learned the same. These go too, until no link is left. A cycle of n nodes costs n rows, not
+    n * n pairs. Rounds are as many as the longest way a label has to go; each is written to shared storage.
+    """
+    links = quads.filter(F.col("p") == predicate).select(F.col("s").alias("x"), F.col("o").alias("y")).distinct()
+    whole = cut(links, "links")
+    edges = cut(whole.filter("x <> y"), "links")
+    groups = None
+    while not edges.isEmpty():
+        inner = edges.select("x").intersect(edges.select("y"))
+        kept = cut(_among(edges, inner.withColumnRenamed("x", "node")), "links")
+        if kept.count() < edges.count():
+            edges = kept
+            continue
+        label = cut(inner.select(F.col("x").alias("node"), F.col("x").alias("label"), F.lit(True).alias("new")), "labels")
+        while not label.filter("new").isEmpty():
+            # only labels that changed are passed on
+            sent = edges.join(label.filter("new").select(F.col("node").alias("x"), "label"), "x").groupBy(F.col("y").alias("node")).agg(F.min("label").alias("sent"))
+            smaller = F.col("sent") < F.col("label")
+            label = cut(label.join(sent, "node", "left").select("node", F.when(smaller, F.col("sent")).otherwise(F.col("label")).alias("label"),
+                                                               F.coalesce(smaller, F.lit(False)).alias("new")), "labels", [label])
+        of = label.select("node", "label")
+        inside = edges.join(of.toDF("x", "label"), "x").join(of.toDF("y", "label"), ["y", "label"])
+        inside = cut(inside.select("x", "y", "label"), "inside")
+        found = front = cut(of.filter("node = label"), "reached")
+        while not front.isEmpty():
+            before = inside.join(front.toDF("y", "label"), ["y", "label"]).select(F.col("x").alias("node"), "label").distinct()
+            front = cut(before.join(found, ["node", "label"], "left_anti"), "reached")
+            found = found.unionByName(front)
+        found = cut(found, "groups")
+        groups = found if groups is None else groups.unionByName(found)
+        edges = cut(_among(edges, label.select("node").join(found, "node", "left_anti")), "links")
+    nodes = whole.select(F.col("x").alias("node")).union(whole.select("y")).distinct()
+    if groups is None:
+        return nodes.select("node", F.col("node").alias("grp"))
+    return nodes.join(groups, "node", "left").select("node", F.coalesce("label", "node").alias("grp"))
+
+
+def _among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links with both ends among the nodes."""
+    return edges.join(nodes.toDF("x"), "x", "left_semi").join(nodes.toDF("y"), "y", "left_semi").select("x", "y")
+
+
+def condensed_closure(quads: DataFrame, predicate: str, groups: DataFrame) -> DataFrame:
+    """x, y: groups (see ``path_groups``) whose members are linked by one or more steps; a group with a cycle is linked with itself.
+
+    Joined with the groups on both sides this is ``path_closure`` without having been written pair by pair of nodes.
+    """
+    groups = cut(groups, "groups")
+    links = quads.filter(F.col("p") == predicate).select(F.col("s").alias("x"), F.col("o").alias("y"))
+    links = links.join(groups.toDF("x", "s"), "x").join(groups.toDF("y", "o"), "y")
+    return path_closure(links.select("s", F.lit(predicate).alias("p"), "o"), predicate)
+
+
 def construct(bindings: DataFrame, template: Sequence[tuple[Column, Column, Column]]) -> DataFrame:
     """s, p, o triples of a template for every binding, without repeats or incomplete triples."""
     rows = F.array(*[F.struct(s.alias("s"), p.alias("p"), o.alias("o")) for s, p, o in template])

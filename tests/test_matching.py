@@ -71,6 +71,19 @@ def test_closure_of_a_chain_with_a_loop(spark):
     assert got == want
 
 
+def test_groups_and_condensed_closure_give_the_closure(spark):
+    """Two cycles joined by a way, one of them with a chord, a tail, a loop on one node and a cycle of its own."""
+    links = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 6), (6, 4), (5, 4), (6, 7), (7, 8), (8, 8), (10, 11), (11, 10), (0, 1)]
+    quads = spark.createDataFrame([(f"<n{a:02}>", "<p>", f"<n{b:02}>", "g") for a, b in links], "s string, p string, o string, g string")
+    groups = M.path_groups(quads, "<p>")
+    of = {r.node: r.grp for r in groups.collect()}
+    right = {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 10: 10, 11: 10}
+    assert of == {f"<n{k:02}>": f"<n{v:02}>" for k, v in right.items()} and groups.count() == len(of)
+    pairs = {(r.x, r.y) for r in M.condensed_closure(quads, "<p>", groups).collect()}
+    assert {(a, b) for a in of for b in of if (of[a], of[b]) in pairs} == {(r.x, r.y) for r in M.path_closure(quads, "<p>").collect()}
+    assert M.path_groups(quads, "<none>").count() == 0
+
+
 def test_closure_from_a_start_and_with_zero_steps(spark):
     edges = [(f"<n{i}>", "<p>", f"<n{i + 1}>", "g") for i in range(6)] + [("<n6>", "<p>", "<n4>", "g"), ("<m>", "<q>", "<n0>", "g")]
     quads = spark.createDataFrame(edges, "s string, p string, o string, g string")
