@@ -2,8 +2,9 @@
 
 The structure of a query depends only on its *skeleton* (the classes of its tokens), and a log holds far fewer
 skeletons than texts. So the set-based analysis below (running sums over token positions) runs once per distinct
-skeleton and yields token positions; every text then picks its own tokens at those positions. Texts are shuffled
-once, to meet the positions of their skeleton; a skeleton that holds a large share of them is split by AQE.
+skeleton and yields token positions; every text then picks its own tokens at those positions. A log also repeats its
+texts: each distinct text is tokenised once and written, and its rows of the log, known by a digest, get what was found
+for it. A skeleton or text that holds a large share of the rows is split by AQE.
 """
 
 from __future__ import annotations
@@ -45,9 +46,21 @@ def shapes_of(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("shape").agg(F.first("skeleton").alias("skeleton"))
 
 
-def shape_tokens(queries: DataFrame, text: str = "query_text") -> DataFrame:
-    """``annotated`` for the skeletons of the texts. Repeated texts go first (map-side), then repeated skeletons."""
-    return annotated(shapes_of(tokenised(queries.select(text).distinct(), text)))
+def distinct_texts(queries: DataFrame, text: str = "query_text") -> DataFrame:
+    """text_key, tokens, skeleton, shape of every distinct text, written once. Repeated texts go first (map-side)."""
+    texts = queries.select(text).filter(F.col(text).isNotNull()).distinct()
+    return stored_tokens(texts.withColumn("text_key", F.md5(text)), text, ["text_key"])
+
+
+def per_row(queries: DataFrame, text: str, keep: list[str], found: DataFrame) -> DataFrame:
+    """Give every row of a log what was found for its text: columns ``keep`` and those of ``found`` but text_key.
+
+    What was found is packed into one array per text first, so the join is many-to-one and moves a digest for each row.
+    """
+    fields = [name for name in found.columns if name != "text_key"]
+    packed = found.groupBy("text_key").agg(F.collect_list(F.struct(*fields)).alias("found"))
+    return (queries.select(*keep, F.md5(text).alias("text_key")).join(packed, "text_key")
+            .select(*keep, F.explode("found").alias("r")).select(*keep, "r.*"))
 
 
 def annotated(shapes: DataFrame) -> DataFrame:
@@ -257,11 +270,13 @@ def _terms(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def triple_patterns(queries: DataFrame, key: str = "qid", text: str = "query_text",
-                    carry: tuple[str, ...] = ()) -> DataFrame:
+                    carry: tuple[str, ...] = (), repeated: bool = True) -> DataFrame:
     """Every triple pattern of every well-formed query: key, bgp_id, pos, s, p, o (term structs), ctx, branch, and for the
-    answers part and graph (token of the graph's name, null outside GRAPH)."""
-    tok = stored_tokens(queries, text, [key, *carry])
-    return _terms(per_query(tok, shape_triples(annotated(shapes_of(tok))), [key, *carry]), [key, *carry])
+    answers part and graph (token of the graph's name, null outside GRAPH). repeated: whether texts may occur several times."""
+    keep = ["text_key"] if repeated else [key, *carry]
+    tok = distinct_texts(queries, text) if repeated else stored_tokens(queries, text, keep)
+    rows = _terms(per_query(tok, shape_triples(annotated(shapes_of(tok))), keep), keep)
+    return per_row(queries, text, [key, *carry], rows) if repeated else rows
 
 
 def flat_triples(triples: DataFrame) -> DataFrame:
@@ -274,7 +289,9 @@ def flat_triples(triples: DataFrame) -> DataFrame:
 
 def parse_or_keep(queries: DataFrame) -> DataFrame:
     """Every row with is_ok, and the number of its triple patterns (null when it is not well formed)."""
-    return tokenised(queries).join(shape_checks(shape_tokens(queries)), "shape", "left").select(
+    tok = distinct_texts(queries)
+    checks = tok.select("text_key", "shape").join(shape_checks(annotated(shapes_of(tok))), "shape").select("text_key", "is_ok", "n")
+    return queries.withColumn("text_key", F.md5("query_text")).join(checks, "text_key", "left").select(
         *queries.columns, F.coalesce("is_ok", F.lit(False)).alias("is_ok"),
         F.when(F.col("is_ok"), F.col("n")).alias("n_triples"))
 
@@ -289,9 +306,12 @@ def triple_count(checked: DataFrame, key: str = "qid") -> DataFrame:
     return checked.select(key, F.coalesce("n_triples", F.lit(0)).alias("n"))
 
 
-def _clauses(queries: DataFrame, rows, keep: list[str] | None = None) -> DataFrame:
-    """Rows of well-formed queries: ``rows`` maps annotated skeleton tokens to the wanted positions."""
-    return per_query(tokenised(queries), rows(shape_tokens(queries).filter("is_ok")), keep or ["qid"])
+def _clauses(queries: DataFrame, rows, pick) -> DataFrame:
+    """qid and rows of well-formed queries: ``rows`` maps annotated skeleton tokens to the wanted positions, ``pick`` the tokens of
+    each distinct text at these positions to text_key and the columns wanted."""
+    tok = distinct_texts(queries)
+    found = per_query(tok, rows(annotated(shapes_of(tok)).filter("is_ok")), ["text_key"])
+    return per_row(queries, "query_text", ["qid"], pick(found))
 
 
 def iri_mentions(queries: DataFrame) -> DataFrame:
@@ -303,10 +323,11 @@ def iri_mentions(queries: DataFrame) -> DataFrame:
         filters = a.filter("t = 'i' and head = 'FILTER' and pd > 0 and hidden = 0") \
             .select("shape", F.col("pos").alias("at"), F.lit("filter").alias("place"))
         return slots.unionByName(filters)
-    term = at(F.col("at"))
-    return (_clauses(queries, rows).withColumn("iri", term).filter(F.col("iri").startswith("<"))
-            .groupBy("qid", X.term_struct(F.col("iri"))["value"].alias("iri"), "place")
-            .agg(F.count("*").alias("n")))
+
+    def pick(found: DataFrame) -> DataFrame:
+        return (found.withColumn("iri", at(F.col("at"))).filter(F.col("iri").startswith("<"))
+                .groupBy("text_key", X.term_struct(F.col("iri"))["value"].alias("iri"), "place").agg(F.count("*").alias("n")))
+    return _clauses(queries, rows, pick).groupBy("qid", "iri", "place").agg(F.sum("n").alias("n"))
 
 
 def values_cells(annotated: DataFrame) -> DataFrame:
@@ -328,15 +349,16 @@ def values_cells(annotated: DataFrame) -> DataFrame:
 
 def values_blocks(queries: DataFrame) -> DataFrame:
     """qid, block, row, var, term of inline VALUES data, wherever it stands in the query."""
-    out = _clauses(queries, values_cells)
-    return out.select("qid", F.col("block").cast("bigint").alias("block"), F.col("row").cast("bigint").alias("row"),
-                      X.term_struct(at(F.col("var_at")))["value"].alias("var"), at(F.col("term_at")).alias("term"))
+    return _clauses(queries, values_cells, lambda found: found.select(
+        "text_key", F.col("block").cast("bigint").alias("block"), F.col("row").cast("bigint").alias("row"),
+        X.term_struct(at(F.col("var_at")))["value"].alias("var"), at(F.col("term_at")).alias("term")))
 
 
 def bind_vars(queries: DataFrame) -> DataFrame:
     def rows(a: DataFrame) -> DataFrame:
         return a.filter("t = 'v' and prev = 'AS' and head = 'BIND'").select("shape", F.col("pos").alias("at"))
-    return _clauses(queries, rows).select("qid", X.term_struct(at(F.col("at")))["value"].alias("var")).distinct()
+    return _clauses(queries, rows, lambda found: found.select(
+        "text_key", X.term_struct(at(F.col("at")))["value"].alias("var")).distinct()).distinct()
 
 
 def slice_numbers(queries: DataFrame) -> DataFrame:
@@ -345,9 +367,9 @@ def slice_numbers(queries: DataFrame) -> DataFrame:
         return a.filter("t = 'n' and prev in ('LIMIT', 'OFFSET')").groupBy("shape", "bd").agg(
             F.max(F.when(F.col("prev") == "LIMIT", F.col("pos"))).alias("lim_at"),
             F.max(F.when(F.col("prev") == "OFFSET", F.col("pos"))).alias("off_at"))
-    return _clauses(queries, rows).select(
-        "qid", F.col("bd").cast("bigint").alias("level"), at(F.col("lim_at")).try_cast("bigint").alias("lim"),
-        at(F.col("off_at")).try_cast("bigint").alias("off"))
+    return _clauses(queries, rows, lambda found: found.select(
+        "text_key", F.col("bd").cast("bigint").alias("level"), at(F.col("lim_at")).try_cast("bigint").alias("lim"),
+        at(F.col("off_at")).try_cast("bigint").alias("off")))
 
 
 def _aggregate_rows(a: DataFrame) -> DataFrame:
@@ -362,8 +384,8 @@ def _aggregate_rows(a: DataFrame) -> DataFrame:
 
 def aggregate_uses(queries: DataFrame) -> DataFrame:
     """qid, agg, alias, n: aggregates with an output name, numbered per aggregate."""
-    return _clauses(queries, _aggregate_rows).select(
-        "qid", "agg", X.term_struct(at(F.col("at")))["value"].alias("alias"), "n")
+    return _clauses(queries, _aggregate_rows, lambda found: found.select(
+        "text_key", "agg", X.term_struct(at(F.col("at")))["value"].alias("alias"), "n"))
 
 
 def filter_constants(queries: DataFrame) -> DataFrame:
@@ -375,7 +397,7 @@ def filter_constants(queries: DataFrame) -> DataFrame:
             "head = 'FILTER' and hidden = 0 and not joined and pd = 1 and t in ('i', 'l', 'n') and prev = '=' "
             "and next = ')'").select("shape", c("pos").alias("at"))
     term = X.term_struct(at(F.col("at")))
-    return _clauses(queries, rows).select("qid", term["kind"].alias("kind"), term["value"].alias("value"))
+    return _clauses(queries, rows, lambda found: found.select("text_key", term["kind"].alias("kind"), term["value"].alias("value")))
 
 
 def type_objects(triples: DataFrame, key: str = "qid") -> DataFrame:
@@ -408,8 +430,9 @@ def statement_rows(triples: DataFrame, key: str = "qid") -> DataFrame:
 
 
 def _per_text(queries: DataFrame, per_shape, columns: list[str]) -> DataFrame:
-    tok = tokenised(queries).select("qid", "shape")
-    return tok.join(per_shape(shape_tokens(queries).filter("is_ok")), "shape").select("qid", *columns)
+    tok = distinct_texts(queries)
+    found = tok.select("text_key", "shape").join(per_shape(annotated(shapes_of(tok)).filter("is_ok")), "shape")
+    return per_row(queries, "query_text", ["qid"], found.select("text_key", *columns))
 
 
 def modifier_profile(queries: DataFrame) -> DataFrame:

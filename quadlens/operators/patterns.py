@@ -39,7 +39,7 @@ def unique_queries(queries: DataFrame) -> DataFrame:
 
 def unique_triples(unique: DataFrame) -> DataFrame:
     """Triple patterns of unique queries with the frequency of their query."""
-    return D.triple_patterns(unique, key="uq_id", text="norm_text", carry=("freq",))
+    return D.triple_patterns(unique, key="uq_id", text="norm_text", carry=("freq",), repeated=False)
 
 
 def _shape_slots(annotated: DataFrame) -> DataFrame:

@@ -81,3 +81,14 @@ def test_one_query_holding_most_of_the_log(spark):
     assert unique.count() == 1501
     stats = P.pattern_statistics(P.generalise(unique)).collect()
     assert [(r.n_unique, r.n_log) for r in stats] == [(1501, 4500)]
+
+
+def test_a_repeated_text_is_tokenised_once(spark):
+    # the tokeniser ran when the distinct texts were written, so no row of the log meets it again
+    df = spark.createDataFrame([(1, "SELECT ?x { ?x a <c> BIND(1 AS ?y) }"), (2, "SELECT ?x { ?x a <c> BIND(1 AS ?y) }"), (3, None), (4, "nothing")],
+                               "qid long, query_text string")
+    for out in (C.iri_mentions(df), C.bind_vars(df), C.role_terms(C.triple_patterns(df)), C.parse_or_keep(df)):
+        assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, C.bind_vars(df).collect())) == [(1, "y"), (2, "y")]
+    assert sorted(map(tuple, C.iri_mentions(df).collect())) == [(q, i, "triple", 1) for q in (1, 2) for i in ("c", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type")]
+    assert sorted((r.qid, r.is_ok) for r in C.parse_or_keep(df).collect()) == [(1, True), (2, True), (3, False), (4, False)]
