@@ -341,15 +341,40 @@ def value_in(vals: Column):
     return lambda name: F.get(F.filter(vals, lambda v: v["var"] == name), F.lit(0))["val"]
 
 
+#: Rows of one key that go to one part of a join, rows a task of a join takes, and rows of a side that is copied to all tasks.
+PART, TASK, SMALL = 200_000, 500_000, 20_000
+BUCKETS = 1 << 16
+
+
+def bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+
+
+def bucket_counts(rows: DataFrame) -> DataFrame:
+    """bucket, n: rows (column key) in each bucket of keys, counted map-side; at most BUCKETS rows."""
+    return cut(rows.groupBy(bucket(F.col("key")).alias("bucket")).agg(F.count("*").alias("n")), "buckets")
+
+
+def dealt(rows: DataFrame, own: DataFrame, other: DataFrame, by: Sequence[str], parts: tuple[str, str]) -> DataFrame:
+    """Rows with two more columns for a join on key and both: rows of a bucket with more than PART rows are dealt out by a hash of ``by``,
+    and go to each part of what the other side deals out. Buckets with more are at most one for each PART rows of a table."""
+    def hot(counts: DataFrame, name: str) -> DataFrame:
+        return F.broadcast(counts.filter(F.col("n") > PART).select("bucket", F.ceil(F.col("n") / PART).alias(name)))
+    rows = rows.withColumn("bucket", bucket(F.col("key"))).join(hot(own, "n_own"), "bucket", "left").join(hot(other, "n_other"), "bucket", "left")
+    rows = rows.withColumn(parts[0], F.pmod(F.xxhash64(*by), F.coalesce("n_own", F.lit(1)))).withColumn(
+        parts[1], F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("n_other", F.lit(1)) - 1)))
+    return rows.drop("bucket", "n_own", "n_other")
+
+
 def match_all(ordered: DataFrame, quads: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """bgp, vals for every distinct pattern that matches: the distinct bindings of the variables it keeps.
 
     A variable is dropped as soon as no later step or condition needs it and equal bindings are folded, so a step without needed
     variables is a semi-join and a pattern never multiplies its rows by matches nobody asked for. A step reads the quads once
     for each of its two kinds of joins: every quad offers one key for each lookup mask that occurs there. Conditions are tested
-    at the first step that has all their variables.
+    at the first step that has all their variables. A key that many quads or many bindings share is dealt out to several tasks, and the
+    number of tasks follows the rows, not their packed bytes, so no task holds more for a larger graph.
     """
-    spark = quads.sparkSession
     state = starts_of(ordered) if starts is None else starts
     bare = ordered.filter("size(steps) = 0").groupBy("bgp").agg(F.first("conds").alias("conds"))
     # a pattern without triples binds nothing that a filter could look at; what may be left is inline data
@@ -362,6 +387,10 @@ def match_all(ordered: DataFrame, quads: DataFrame, starts: DataFrame | None = N
     def key(mask: str, prefix: str) -> Column:
         return F.concat_ws("\x1f", F.lit(mask), *[F.col(f"{prefix}{r}") for r in mask])
 
+    every = sorted({k[1] for k in kinds})
+    crowd = bucket_counts(quads.select(F.explode(F.array(*[key(m, "") for m in every])).alias("key"))) if every else None
+    n_quads = quads.count() if every else 0
+
     for step in range(max((k[0] for k in kinds), default=-1) + 1):
         here = state.join(steps.filter(F.col("step") == step), "bgp")
         bound = value_in(F.col("vals"))
@@ -369,14 +398,22 @@ def match_all(ordered: DataFrame, quads: DataFrame, starts: DataFrame | None = N
         own = F.lit(None)
         for mask in sorted({k[1] for k in kinds if k[0] == step}):
             own = F.when(F.col("mask") == mask, key(mask, "k_")).otherwise(own)
-        here = here.withColumn("key", own)
+        here = cut(here.withColumn("key", own), "asked")
         parts = []
         for needs in sorted({k[2] for k in kinds if k[0] == step}):
             masks = [k[1] for k in kinds if k[0] == step and k[2] == needs]
             rows = here.filter(F.col("needs") == needs)
             offered = quads.select(*ROLES, F.explode(F.array(*[key(m, "") for m in masks])).alias("key"))
+            offered = offered.select("key", *[F.col(r).alias(f"q_{r}") for r in ROLES])
+            asked = bucket_counts(rows)
+            n_rows = asked.agg(F.sum("n")).first()[0] or 0
+            on, n_tasks = ["key"], max(8, -(-(n_quads * len(masks) + n_rows) // TASK))
+            if large := n_rows > SMALL:
+                on = ["key", "part", "row_part"]
+                offered = dealt(offered, crowd, asked, [f"q_{r}" for r in ROLES], ("part", "row_part")).repartition(n_tasks, *on)
             if needs:
-                found = rows.join(offered.select("key", *[F.col(r).alias(f"q_{r}") for r in ROLES]), "key")
+                rows = dealt(rows, asked, crowd, ["bgp", "vals"], ("row_part", "part")).repartition(n_tasks, *on) if large else F.broadcast(rows)
+                found = offered.join(rows, on)
                 for i, a in enumerate(ROLES):
                     for b in ROLES[i + 1:]:
                         fresh = ~F.col(f"has_{a}") & ~F.col(f"has_{b}") & F.coalesce(F.col(a) == F.col(b), F.lit(False))
@@ -386,8 +423,14 @@ def match_all(ordered: DataFrame, quads: DataFrame, starts: DataFrame | None = N
                 rows = found.withColumn("vals", F.concat("vals", F.array_distinct(new).cast(VALS)))
             else:
                 # the patterns' keys are the small side: they thin out the quads, and what is left of these answers
-                known = offered.select("key").join(rows.select("key").distinct(), "key", "left_semi").distinct()
-                rows = rows.join(known, "key", "left_semi")
+                if large:
+                    # each key once for each part of its quads; the parts of the bindings are those of the second join
+                    rows = dealt(rows, asked, crowd, ["bgp", "vals"], ("row_part", "part")).repartition(n_tasks, *on)
+                    known = offered.select(*on).join(rows.select(*on).distinct(), on, "left_semi").select("key", "row_part").distinct()
+                    rows = rows.filter("part = 0").join(known, ["key", "row_part"], "left_semi")
+                else:
+                    known = offered.select("key").join(F.broadcast(rows.select("key").distinct()), "key", "left_semi").distinct()
+                    rows = rows.join(F.broadcast(known), "key", "left_semi")
             parts.append(rows.select("bgp", "n_steps", "conds", "later", "vals"))
         out = parts[0]
         for part in parts[1:]:

@@ -122,3 +122,14 @@ def test_a_hot_predicate_is_not_where_a_join_starts(spark):
     ordered = M.ordered_patterns(patterns)
     assert [r.p for r in ordered.select(F.get("steps", F.lit(0))["p"].alias("p")).distinct().collect()] == ["<code>"]
     assert M.match_all(ordered, keyed).count() == 600
+
+
+def test_a_hot_key_is_dealt_out_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(M, "PART", 20)
+    a = spark.range(400).select(F.when(F.col("id") < 300, "hot").otherwise(F.col("id").cast("string")).alias("key"), F.col("id").alias("x"))
+    b = spark.range(350).select(F.when(F.col("id") < 50, "hot").otherwise(F.col("id").cast("string")).alias("key"), F.col("id").alias("y"))
+    of_a, of_b = M.bucket_counts(a), M.bucket_counts(b)
+    left, right = M.dealt(a, of_a, of_b, ["x"], ("m", "n")), M.dealt(b, of_b, of_a, ["y"], ("n", "m"))
+    got = left.join(right, ["key", "m", "n"]).select("key", "x", "y")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, a.join(b, "key").collect()))
+    assert left.groupBy("key", "m", "n").count().agg(F.max("count")).first()[0] <= 60
