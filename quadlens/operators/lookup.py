@@ -123,12 +123,29 @@ def smallest(rows: DataFrame, key: str, order: Column, most: int | None) -> Data
     return ranked.filter(F.col("_rank") <= most).drop("_rank")
 
 
-def solutions(own: DataFrame, conditions: DataFrame, wanted: DataFrame, quads: DataFrame, most: int | None = None) -> DataFrame:
+def with_answer(own: DataFrame, conditions: DataFrame, wanted: DataFrame, quads: DataFrame) -> DataFrame:
+    """unit: those that have an answer (parameters as of ``solutions``).
+
+    One answer is enough, so a first try follows a bounded number of bindings of each pattern; what it finds holds. Units without
+    an answer there whose pattern had more bindings are matched in whole.
+    """
+    more: list[DataFrame] = []
+    found = solutions(own, conditions, wanted, quads, more=more).select("unit").distinct()
+    rest = cut(wanted.join(more[0], "unit", "left_semi").join(found, "unit", "left_anti"), "rest")
+    if rest.isEmpty():
+        return found
+    whole = solutions(own.join(rest, "unit", "left_semi"), conditions.join(rest, "unit", "left_semi"), rest, quads)
+    return found.unionByName(whole.select("unit").distinct())
+
+
+def solutions(own: DataFrame, conditions: DataFrame, wanted: DataFrame, quads: DataFrame, most: int | None = None,
+              more: list[DataFrame] | None = None) -> DataFrame:
     """unit, vals: the distinct bindings of the wanted variables of each unit that has an answer.
 
     own: ``match_units``; conditions: ``unit_conditions`` without open ones; wanted: unit, keep (names in the order of the result); most: how
     many rows of a pattern are wanted, the smallest in that order. They are picked before equal patterns of many units get theirs;
-    units with a MINUS or EXISTS group keep all rows until the group is tested.
+    units with a MINUS or EXISTS group keep all rows until the group is tested. more: gets a table of the units (unit) that may have more
+    than the bounded number of bindings followed then (``match_some``); groups are always tested in whole.
     A variable with a list of terms (=, IN, VALUES) starts from them. MINUS and EXISTS groups are matched from the bindings of the
     variables they share with the rest, for all units at once, one group of each unit after the other.
     """
@@ -156,7 +173,11 @@ def solutions(own: DataFrame, conditions: DataFrame, wanted: DataFrame, quads: D
         F.when(F.col("list").isNull(), none).otherwise(F.array("list.var")).alias("given"), F.col("list.terms").alias("terms"),
         F.array_union("keep", F.coalesce("shared", none)).alias("keep"), F.when(F.col("shared").isNotNull(), F.col("unit")).alias("apart"))
     ordered = cut(M.ordered_patterns(patterns), "ordered")
-    matched = M.match_all(ordered, quads)
+    if more is None:
+        matched = M.match_all(ordered, quads)
+    else:
+        matched, bounded = M.match_some(ordered, quads)
+        more.append(ordered.select("unit", "bgp").join(bounded, "bgp", "left_semi").select("unit"))
     if most is not None:
         kept = ordered.filter("apart is null").groupBy("bgp").agg(F.first("keep").alias("keep"))
         value = M.value_in(F.col("vals"))
@@ -228,8 +249,8 @@ def validity(unique: DataFrame, triples: DataFrame, quads: DataFrame) -> DataFra
     open_units = conditions.filter("open").select("unit").distinct()
     keyed = restricted(quads, needed, conditions.filter("kind = 'test'").select(F.get("vars", F.lit(1)).alias("p")))
     todo = units.join(open_units, "unit", "left_anti").select("unit", F.array().cast("array<string>").alias("keep"))
-    found = solutions(needed.join(todo, "unit", "left_semi"), conditions.join(todo, "unit", "left_semi"), todo, keyed)
-    status = units.select("unit", "uq_id").join(found.select("unit", F.lit(True).alias("hit")).distinct(), "unit", "left") \
+    found = with_answer(needed.join(todo, "unit", "left_semi"), conditions.join(todo, "unit", "left_semi"), todo, keyed)
+    status = units.select("unit", "uq_id").join(found.withColumn("hit", F.lit(True)), "unit", "left") \
         .join(open_units.withColumn("open", F.lit(True)), "unit", "left")
     # one branch with an answer is enough; without one, an undecided branch leaves the query undecided
     verdict = status.groupBy("uq_id").agg(F.max(F.coalesce("hit", F.lit(False))).alias("hit"), F.max(F.coalesce("open", F.lit(False))).alias("open"))
@@ -251,8 +272,8 @@ def text_key(text: Column) -> Column:
 def validity_incremental(unique: DataFrame, triples: DataFrame, quads: DataFrame, cache: DataFrame) -> DataFrame:
     """Known verdicts from ``cache`` (text_key, valid), the others computed now."""
     named = unique.withColumn("text_key", text_key(F.col("norm_text")))
-    todo = named.join(cache, "text_key", "left_anti")
-    fresh = validity(todo, triples.join(todo.select("uq_id"), "uq_id", "left_semi"), quads)
+    todo = cut(named.join(cache, "text_key", "left_anti"), "todo")
+    fresh = validity(todo, cut(triples.join(todo.select("uq_id"), "uq_id", "left_semi"), "todo_triples"), quads)
     return named.select("uq_id", "text_key").join(cache, "text_key").select("uq_id", "valid").unionByName(fresh)
 
 

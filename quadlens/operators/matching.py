@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadlens.functions import text as X
@@ -366,14 +367,32 @@ def dealt(rows: DataFrame, own: DataFrame, other: DataFrame, by: Sequence[str],
     return rows.drop("bucket", "n_own", "n_other")
 
 
-def match_all(ordered: DataFrame, quads: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+#: Bindings of a pattern that a first try follows; Spark cuts groups of up to 1000 rows before they are exchanged.
+PROBE = 500
+
+
+def match_some(ordered: DataFrame, quads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bindings as of ``match_all``, but every step follows at most PROBE of each pattern; and bgp of the patterns that had more.
+
+    What is found holds. A pattern of the second table may have further bindings, also if none was found.
+    """
+    more: list[DataFrame] = []
+    found = match_all(ordered, quads, most=PROBE, more=more)
+    out = ordered.select("bgp").limit(0)
+    for part in more:
+        out = out.unionByName(part)
+    return found, out.distinct()
+
+
+def match_all(ordered: DataFrame, quads: DataFrame, starts: DataFrame | None = None, most: int | None = None, more: list[DataFrame] | None = None) -> DataFrame:
     """bgp, vals for every distinct pattern that matches: the distinct bindings of the variables it keeps.
 
     A variable is dropped as soon as no later step or condition needs it and equal bindings are folded, so a step without needed
-    variables is a semi-join and a pattern never multiplies its rows by matches nobody asked for. A step reads the quads once
-    for each of its two kinds of joins: every quad offers one key for each lookup mask that occurs there. Conditions are tested
+    variables is a semi-join and a pattern never multiplies its rows by matches nobody asked for. Every quad offers one key for each
+    lookup mask of a step. Masks with few bindings are copied to all tasks and share one scan, so the quads stay where they are; for a
+    mask with many, only quads of the predicates that its bindings name are exchanged. Conditions are tested
     at the first step that has all their variables. A key that many quads or many bindings share is dealt out to several tasks, and the
-    number of tasks follows the rows, not their packed bytes, so no task holds more for a larger graph.
+    number of tasks follows the rows, not their packed bytes, so no task holds more for a larger graph. most, more: see ``match_some``.
     """
     state = starts_of(ordered) if starts is None else starts
     bare = ordered.filter("size(steps) = 0").groupBy("bgp").agg(F.first("conds").alias("conds"))
@@ -387,9 +406,19 @@ def match_all(ordered: DataFrame, quads: DataFrame, starts: DataFrame | None = N
     def key(mask: str, prefix: str) -> Column:
         return F.concat_ws("\x1f", F.lit(mask), *[F.col(f"{prefix}{r}") for r in mask])
 
-    every = sorted({k[1] for k in kinds})
-    crowd = bucket_counts(quads.select(F.explode(F.array(*[key(m, "") for m in every])).alias("key"))) if every else None
-    n_quads = quads.count() if every else 0
+    def offers(masks: Sequence[str], rows: DataFrame | None) -> DataFrame:
+        """The quads under their keys for these masks; with rows (bindings) only those of the predicates that rows of the mask name."""
+        def of(quads: DataFrame, masks: Sequence[str]) -> DataFrame:
+            keyed = quads.select(*ROLES, F.explode(F.array(*[key(m, "") for m in masks])).alias("key"))
+            return keyed.select("key", *[F.col(r).alias(f"q_{r}") for r in ROLES])
+        if rows is None:
+            return of(quads, masks)
+        out = None
+        for m in masks:
+            named = rows.filter(F.col("mask") == m).select(F.col("k_p").alias("p")).distinct()
+            part = of(quads.join(cut(named, "predicates"), "p", "left_semi") if "p" in m else quads, [m])
+            out = part if out is None else out.unionByName(part)
+        return out
 
     for step in range(max((k[0] for k in kinds), default=-1) + 1):
         here = state.join(steps.filter(F.col("step") == step), "bgp")
@@ -399,16 +428,21 @@ def match_all(ordered: DataFrame, quads: DataFrame, starts: DataFrame | None = N
         for mask in sorted({k[1] for k in kinds if k[0] == step}):
             own = F.when(F.col("mask") == mask, key(mask, "k_")).otherwise(own)
         here = cut(here.withColumn("key", own), "asked")
+        sizes = {(r["mask"], r["needs"]): r["count"] for r in here.groupBy("mask", "needs").count().collect()}  # at most 32 rows
+        lots: dict[tuple[bool, bool], list[str]] = {}
+        copied = 0
+        for (mask, needs), n in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
+            copied += n
+            lots.setdefault((needs, copied > SMALL), []).append(mask)
         parts = []
-        for needs in sorted({k[2] for k in kinds if k[0] == step}):
-            masks = [k[1] for k in kinds if k[0] == step and k[2] == needs]
-            rows = here.filter(F.col("needs") == needs)
-            offered = quads.select(*ROLES, F.explode(F.array(*[key(m, "") for m in masks])).alias("key"))
-            offered = offered.select("key", *[F.col(r).alias(f"q_{r}") for r in ROLES])
-            asked = bucket_counts(rows)
-            n_rows = asked.agg(F.sum("n")).first()[0] or 0
-            on, n_tasks = ["key"], max(8, -(-(n_quads * len(masks) + n_rows) // TASK))
-            if large := n_rows > SMALL:
+        for (needs, large), masks in lots.items():
+            rows = here.filter((F.col("needs") == needs) & F.col("mask").isin(masks))
+            offered = offers(masks, rows if large else None)
+            on = ["key"]
+            if large:
+                asked, crowd = bucket_counts(rows), bucket_counts(offered)
+                n_offered = crowd.agg(F.sum("n")).first()[0] or 0
+                n_tasks = max(8, -(-(n_offered + sum(sizes[m, needs] for m in masks)) // TASK))
                 on = ["key", "part", "row_part"]
                 offered = dealt(offered, crowd, asked, [f"q_{r}" for r in ROLES], ("part", "row_part")).repartition(n_tasks, *on)
             if needs:
@@ -432,13 +466,21 @@ def match_all(ordered: DataFrame, quads: DataFrame, starts: DataFrame | None = N
                     known = offered.select("key").join(F.broadcast(rows.select("key").distinct()), "key", "left_semi").distinct()
                     rows = rows.join(F.broadcast(known), "key", "left_semi")
             parts.append(rows.select("bgp", "n_steps", "conds", "later", "vals"))
+        if not parts:
+            break  # no binding is left
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
         if ops := [r["op"] for r in tests if r["step"] == step]:
             out = out.filter((F.size("conds") == 0) | F.forall("conds", lambda c: holds(c, value_in(F.col("vals")), ops)))
-        out = out.select("bgp", "n_steps", F.array_sort(F.filter("vals", lambda v: F.array_contains("later", v["var"]))).alias("vals")).distinct()
-        out = cut(out, "bindings")
+        out = out.select("bgp", "n_steps", F.array_sort(F.filter("vals", lambda v: F.array_contains("later", v["var"]))).alias("vals"))
+        if most is None:
+            out = cut(out.distinct(), "bindings")
+        else:
+            rank = F.row_number().over(W.partitionBy("bgp").orderBy(F.xxhash64("vals")))
+            out = out.withColumn("rank", rank).filter(F.col("rank") <= most)
+            out = cut(out.groupBy("bgp", "n_steps", "vals").agg((F.max("rank") == most).alias("cut")), "bindings")
+            more.append(out.filter("cut").select("bgp"))
         done = done.unionByName(out.filter(F.col("n_steps") == step + 1).select("bgp", "vals"))
         state = out.filter(F.col("n_steps") > step + 1).select("bgp", "vals")
     return done

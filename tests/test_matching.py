@@ -133,3 +133,28 @@ def test_a_hot_key_is_dealt_out_on_both_sides(spark, monkeypatch):
     got = left.join(right, ["key", "m", "n"]).select("key", "x", "y")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, a.join(b, "key").collect()))
     assert left.groupBy("key", "m", "n").count().agg(F.max("count")).first()[0] <= 60
+
+
+def test_a_first_try_follows_few_bindings_and_loses_no_answer(spark, monkeypatch):
+    # one of 400 has a code, so the first bindings of a pattern need not lead to it
+    rows = [(f"x{i}", "in", f"a{i % 7}") for i in range(400)] + [("x77", "code", "c"), ("x78", "code", "d")]
+    keyed = spark.createDataFrame([tuple(f"<{x}>" for x in r) + ("<g>",) for r in rows], "s string, p string, o string, g string")
+    # unit, place and triple; the sizes that order the triples come from the graph
+    own = [("far", 0, "?x", "<in>", "?a"), ("far", 1, "?x", "<code>", "?c"), ("none", 0, "?x", "<in>", "?a"), ("none", 1, "?y", "<code>", "?a"),
+           ("near", 0, "?x", "<in>", "<a3>")]
+    own = spark.createDataFrame([(*r, None) for r in own], "unit string, pos long, s string, p string, o string, g string")
+    conditions = spark.createDataFrame([], "unit string, kind string, grp int, op string, vars array<string>, args array<string>, bound array<string>, open boolean")
+    wanted = own.select("unit", F.array().cast("array<string>").alias("keep")).distinct()
+    monkeypatch.setattr(M, "PROBE", 2)
+    monkeypatch.setattr(M, "SMALL", 0)
+    # against the sizes, so that the many bindings come first
+    monkeypatch.setattr(M, "with_sizes", lambda triples, _: triples.select("*", F.col("pos").cast("double").alias("n"), F.lit(1.0).alias("subjects"), F.lit(1.0).alias("objects")))
+    followed, match_some = [], M.match_some
+
+    def watched(ordered, keyed):
+        found, more = match_some(ordered, keyed)
+        followed.append((found.count(), more.count()))
+        return found, more
+    monkeypatch.setattr(M, "match_some", watched)
+    assert sorted(r.unit for r in L.with_answer(own, conditions, wanted, keyed).collect()) == ["far", "near"]
+    assert followed == [(1, 2)]
