@@ -127,18 +127,21 @@ def path_closure(quads: DataFrame, predicate: str, start: DataFrame | None = Non
     """x, y linked by one or more steps of ``predicate``; with ``zero`` also each node with itself.
 
     ``start`` (column x) asks only for what its nodes reach, at most ``steps`` steps away: each round follows the new pairs
-    of the last one. Without it, paths double in length each round, so a chain of length n takes log2(n) rounds. Every round
-    is written to shared storage. The loop ends with the first round that finds no new pair.
+    of the last one. Without it, paths double in length each round, so a chain of length n takes log2(n) rounds; a node that many
+    ways go through is dealt out to several tasks. Every round is written to shared storage. The loop ends with the first round
+    that finds no new pair.
     """
     edges = quads.filter(F.col("p") == predicate).select(F.col("s").alias("x"), F.col("o").alias("y")).distinct()
     if start is None and steps is None:
-        known = cut(edges, "closure")
-        while True:
-            longer = known.alias("a").join(known.alias("b"), F.col("a.y") == F.col("b.x")).select("a.x", "b.y")
-            grown = cut(known.union(longer).distinct(), "closure")
-            if grown.count() == known.count():
-                break
-            known = grown
+        # known: less than 2 ** k steps apart; far: the pairs whose shortest way has 2 ** k. A longer way begins with a far pair and goes on
+        # with a known one, so in a tree each pair is made once
+        known, far = None, cut(edges, "far")
+        while not far.isEmpty():
+            fresh = far if known is None else far.unionByName(_lacking(cut(linked(far, known), "longer"), far, known))
+            longer = cut(linked(far, far), "longer")
+            known = cut(fresh, "closure") if known is None else known.unionByName(cut(fresh, "closure"))
+            far = cut(_lacking(longer, known), "far", [longer])
+        known = edges if known is None else known
         nodes = known.select("x").union(known.select("y"))
     else:
         nodes = (edges.select("x").union(edges.select("y")) if start is None else start.select("x")).distinct()
@@ -152,6 +155,26 @@ def path_closure(quads: DataFrame, predicate: str, start: DataFrame | None = Non
     return known.union(nodes.select("x", F.col("x").alias("y"))).distinct() if zero else known
 
 
+def linked(first: DataFrame, second: DataFrame) -> DataFrame:
+    """x, y of the pairs x, z of the first table and z, y of the second, with repeats; a z of many pairs is dealt out to several tasks."""
+    a, b = first.select(F.col("y").alias("key"), "x"), second.select(F.col("x").alias("key"), "y")
+    of_a, of_b = bucket_counts(a), bucket_counts(b)
+    on = ["key", "a_part", "b_part"]
+    tasks = max(8, -(-(first.count() + second.count()) // TASK))
+    a = dealt(a, of_a, of_b, ["x"], ("a_part", "b_part")).repartition(tasks, *on)
+    b = dealt(b, of_b, of_a, ["y"], ("b_part", "a_part")).repartition(tasks, *on)
+    return a.join(b, on).select("x", "y")
+
+
+def _lacking(pairs: DataFrame, *known: DataFrame) -> DataFrame:
+    """The distinct pairs x, y that no other table has; the number of tasks follows the rows."""
+    tasks = max(8, -(-(pairs.count() + sum(k.count() for k in known)) // TASK))
+    out = pairs.repartition(tasks, "x", "y").distinct()
+    for k in known:
+        out = out.join(k.repartition(tasks, "x", "y"), ["x", "y"], "left_anti")
+    return out
+
+
 def path_groups(quads: DataFrame, predicate: str) -> DataFrame:
     """node, grp: nodes that reach each other by ``predicate`` have the same group, named by its smallest member.
 

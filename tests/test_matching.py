@@ -158,3 +158,31 @@ def test_a_first_try_follows_few_bindings_and_loses_no_answer(spark, monkeypatch
     monkeypatch.setattr(M, "match_some", watched)
     assert sorted(r.unit for r in L.with_answer(own, conditions, wanted, keyed).collect()) == ["far", "near"]
     assert followed == [(1, 2)]
+
+
+def test_closure_of_cycles_hubs_and_chains_makes_each_pair_of_a_tree_once(spark, monkeypatch):
+    monkeypatch.setattr(M, "PART", 5)
+    tree = [(f"t{i}", f"t{i // 2}") for i in range(1, 64)]  # t0 has no parent, t1 is on most ways
+    links = tree + [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d")]
+    reach, front = set(links), set(links)
+    while front:
+        front = {(x, z) for x, y in front for y2, z in links if y == y2} - reach
+        reach |= front
+    made, old = [], M.linked
+
+    def counted(a, b):
+        out = old(a, b)
+        made.append(out.count())
+        return out
+    monkeypatch.setattr(M, "linked", counted)
+
+    def closure(rows):
+        quads = spark.createDataFrame([(a, "up", b) for a, b in rows], "s string, p string, o string")
+        return [tuple(r) for r in M.path_closure(quads, "up").collect()]
+    got = closure(links)
+    assert len(got) == len(set(got)) and set(got) == reach
+    made.clear()
+    # ways of 2 ** k steps are also made in the last step of the round before
+    pairs = closure(tree)
+    assert sum(made) + len(tree) == len(pairs)
+    assert closure([]) == []
