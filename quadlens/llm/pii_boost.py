@@ -2,8 +2,9 @@
 
 Strict patterns give the base spans. Two generators with high recall propose further, overlapping spans: number-like runs,
 and mail addresses with spelled-out signs. Boosted trees score each candidate for each kind from its format and the words
-before it. They are fitted on bounded samples of each kind's positive and negative candidates over all documents, weighted
-back to their shares; labels are the base spans, without the one feature that defines the
+before it. They are fitted on all candidates of all documents: Spark folds candidates with equal features into one row with
+counts, and sums gradients by kind, node, feature and value, which the patterns keep to some hundred values a feature. Labels
+are the base spans, without the one feature that defines the
 strict rule (the plus of a phone, the check digit of a card, the range of address parts, the literal @), so they carry over
 to spans that miss only that. A kind's threshold is the lowest score at which enough of a calibration part, a fifth, are base
 spans. A kind with fewer than 5 * HITS positive candidates in the whole table, or that nowhere reaches the precision, adds
@@ -13,10 +14,11 @@ nothing to its base spans, and fit() warns of it.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadlens.session import cut
@@ -40,9 +42,11 @@ LOOSE = {
 CONTEXT = 24  # characters before a candidate that its features see
 WORDS = {"email": "mail|contact|contacto|kontakt|courriel|correo|write", "ip": "ip|host|server|addr|adresse|login|from",
          "card": "card|visa|credit|karte|carte|tarjeta|pay|amex", "phone": "phone|tel|call|fax|mobile|cell|ruf|appel|llama"}
-#: Positive and negative candidates of each kind that fitting takes at most, and its size.
-SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 2_000, 8_000
 ROUNDS, DEPTH, RATE, PRECISION, HITS = 15, 2, 0.4, 0.98, 20
+#: Leaves are drawn towards 0 as by one candidate in so many.
+PULL = 10_000
+#: Gradients and curvatures are summed as whole multiples of 1 / UNIT, so that sums do not depend on their order.
+UNIT = 1 << 32
 
 FEATURES = ("length", "digits", "groups", "longest", "dots", "dashes", "spaces", "parens", "letters", "marks",
             *(f"near_{k}" for k in KINDS))
@@ -110,30 +114,22 @@ class Boosted:
 
     def score(self, x: str) -> str:
         """SQL of the score of candidate x."""
-        def tree(node: tuple) -> str:
-            if len(node) == 1:
-                return f"{float(node[0])!r}D"
-            feature, cut, low, high = node
-            return f"case when {x}.{FEATURES[feature]} <= {float(cut)!r}D then {tree(low)} else {tree(high)} end"
-        return " + ".join([f"{self.start!r}D", *(tree(t) for t in self.trees)])
-
-
-def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int) -> tuple:
-    """A regression tree for gradients g and curvatures h."""
-    best, split = 1e-6, None
-    whole = g.sum() ** 2 / (h.sum() + 1)
-    for f in range(x.shape[1] if depth else 0):
-        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 17)[:-1])):
-            low = x[:, f] <= cut
-            if low.all() or not low.any():
-                continue
-            gain = g[low].sum() ** 2 / (h[low].sum() + 1) + g[~low].sum() ** 2 / (h[~low].sum() + 1) - whole
-            if gain > best:
-                best, split = gain, (f, cut)
-    if split is None:
-        return (float(-RATE * g.sum() / (h.sum() + 1)),)
-    low = x[:, split[0]] <= split[1]
-    return (split[0], float(split[1]), _grow(x[low], g[low], h[low], depth - 1), _grow(x[~low], g[~low], h[~low], depth - 1))
+        return " + ".join([f"{self.start!r}D", *(_sql(t, x) for t in self.trees)])
+
+
+#: Of a node: for each feature its values in order, and the sums of gradients and curvatures at each.
+Sums = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _never() -> Boosted:
+    return Boosted(-10.0, [], None)
+
+
+def _sql(tree: tuple, x: str) -> str:
+    if len(tree) == 1:
+        return f"{float(tree[0])!r}D"
+    feature, cut, low, high = tree
+    return f"case when {x}.{FEATURES[feature]} <= {float(cut)!r}D then {_sql(low, x)} else {_sql(high, x)} end"
 
 
 def _value(tree: tuple, x: np.ndarray) -> np.ndarray:
@@ -142,60 +138,159 @@ def _value(tree: tuple, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, tree[0]] <= tree[1], _value(tree[2], x), _value(tree[3], x))
 
 
-def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> Boosted:
+def _put(tree: tuple, leaves: dict[int, tuple]) -> tuple:
+    """The tree with others in place of its numbered leaves."""
+    if len(tree) == 1:
+        return leaves.get(int(tree[0]), tree)
+    return (*tree[:2], _put(tree[2], leaves), _put(tree[3], leaves))
+
+
+def _split(node: Sums, pull: float) -> tuple | None:
+    """The cut that gains most, as (feature, cut, sums of the low side, sums of the high side)."""
+    best, split = 1e-6 * pull, None
+    for f, (values, g, h) in enumerate(node):
+        g, h = np.cumsum(g), np.cumsum(h)
+        low, high = (g[:-1], h[:-1]), (g[-1] - g[:-1], h[-1] - h[:-1])
+        gain = low[0] ** 2 / (low[1] + pull) + high[0] ** 2 / (high[1] + pull) - g[-1] ** 2 / (h[-1] + pull)
+        if len(gain) and gain.max() > best:
+            i = int(gain.argmax())
+            best, split = gain[i], (f, float(values[i]), *((float(side[0][i]), float(side[1][i])) for side in (low, high)))
+    return split
+
+
+def grown(models: dict[str, Boosted], sums: Callable[[dict[str, Boosted], dict[str, tuple]], dict[str, dict[int, Sums]]],
+          pull: float) -> None:
+    """Add ROUNDS trees to each model, level by level.
+
+    sums: from the models so far and each kind's unfinished tree, whose leaves are numbers, to the sums of its nodes by number.
+    """
+    for _ in range(ROUNDS):
+        trees, whole = {k: (0.0,) for k in models}, {k: {} for k in models}
+        for depth in range(DEPTH):
+            found = sums(models, trees)
+            for k in models:
+                leaves = {}
+                for n, node in found.get(k, {}).items():
+                    whole[k].setdefault(n, (node[0][1].sum(), node[0][2].sum()))
+                    split = _split(node, pull) if n >= 2 ** depth - 1 else None
+                    if split:
+                        leaves[n] = (*split[:2], (float(2 * n + 1),), (float(2 * n + 2),))
+                        whole[k][2 * n + 1], whole[k][2 * n + 2] = split[2:]
+                trees[k] = _put(trees[k], leaves)
+        for k, model in models.items():
+            model.trees.append(_put(trees[k], {n: (float(-RATE * g / (h + pull)),) for n, (g, h) in whole[k].items()}))
+
+
+def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, fit: np.ndarray | None = None, pull: float = 1.0) -> Boosted:
     """Logistic boosting on four fifths; the threshold from the rest. Without both labels the kind selects nothing.
 
-    w: how many candidates each row stands for.
+    The same as fit() for candidates in arrays. w: how many candidates each row stands for; fit: which rows are of the four fifths.
     """
-    fit = np.arange(len(y)) % 5 > 0
+    fit = np.arange(len(y)) % 5 > 0 if fit is None else fit
     if len(y) < 50 or len(set(y[fit].tolist())) < 2:
-        return Boosted(-10.0, [], None)
+        return _never()
     w = np.ones(len(y)) if w is None else w / w.mean()
     mean = np.average(y[fit], weights=w[fit])
-    start = float(np.log(mean / (1 - mean)))
-    trees, score = [], np.full(len(y), start)
-    for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-score[fit]))
-        trees.append(_grow(x[fit], w[fit] * (p - y[fit]), w[fit] * p * (1 - p), DEPTH))
-        score = score + _value(trees[-1], x)
+    model = Boosted(float(np.log(mean / (1 - mean))), [], None)
+    places = [np.unique(x[fit, f], return_inverse=True) for f in range(x.shape[1])]
+
+    def score() -> np.ndarray:
+        return sum((_value(t, x) for t in model.trees), np.full(len(y), model.start))
+
+    def sums(models: dict[str, Boosted], trees: dict[str, tuple]) -> dict[str, dict[int, Sums]]:
+        p, at = 1 / (1 + np.exp(-score()[fit])), _value(trees[""], x[fit])
+        g, h = w[fit] * (np.rint(p * UNIT) - y[fit] * UNIT), w[fit] * np.rint(p * (1 - p) * UNIT)
+        out = {}
+        for n in np.unique(at):
+            own = at == n
+            out[int(n)] = []
+            for values, place in places:
+                there = np.flatnonzero(np.bincount(place[own], minlength=len(values)))
+                out[int(n)].append((values[there], *(np.bincount(place[own], z[own], len(values))[there] / UNIT for z in (g, h))))
+        return {"": out}
+
+    grown({"": model}, sums, pull)
     rest = ~fit
-    order = np.argsort(-score[rest], kind="stable")
-    s, hits, weight = score[rest][order], y[rest][order], w[rest][order]
+    order = np.argsort(-score()[rest], kind="stable")
+    s, hits, weight = score()[rest][order], y[rest][order], w[rest][order]
     share = np.cumsum(hits * weight) / np.cumsum(weight)
     # scores that tie stand or fall together
     last = np.r_[s[1:] != s[:-1], True]
     good = np.flatnonzero(last & (share >= PRECISION) & (np.cumsum(hits) >= HITS))
-    return Boosted(start, trees, float(s[good[-1]]) if len(good) else None)
+    model.threshold = float(s[good[-1]]) if len(good) else None
+    return model
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, Boosted]:
-    """Boosted trees for each kind, from positive and negative candidates of all documents, chosen by a hash of their place."""
+def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every candidate of all documents: c (place and features), for each kind whether it is a base span, and `fit`.
+
+    fit: whether it is of the four fifths the trees learn from, by a hash of its place.
+    """
     texts = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
     found = candidates(base_spans(texts, "_text"), "_text")
     # most of a base span of the kind lies in the candidate, and little else does
     label = "exists(_base, b -> b.k = {k} and least(b.e, c.e) - greatest(b.s, c.s) >= 0.8 * greatest(b.e - b.s, c.e - c.s))"
-    rows = cut(found.select("_key", "_base", F.explode(F.concat("_spelled", "_numbers")).alias("c")).select(
-        "_key", "c.*", F.xxhash64("_key", "c.s", "c.e").alias("_hash"),
-        *(F.expr(label.format(k=k)).alias(f"is_{n}") for k, n in enumerate(KINDS, 1))), "candidates")
-    totals = rows.agg(F.count("*").alias("all"), *(F.count_if(f"is_{k}").alias(k) for k in KINDS)).first()
-    models = {}
+    return found.select("_key", "_base", F.explode(F.concat("_spelled", "_numbers")).alias("c")).select(
+        "c", (F.pmod(F.xxhash64("_key", "c.s", "c.e"), F.lit(5)) > 0).alias("fit"),
+        *(F.expr(label.format(k=k)).alias(f"is_{n}") for k, n in enumerate(KINDS, 1)))
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, Boosted]:
+    """Boosted trees for each kind, learned from four fifths of all candidates of all documents, thresholds from the rest.
+
+    Only sums come to the driver: by kind, node, feature and value for a level of trees, one threshold a kind at the end.
+    """
+    rows = labelled(docs, key, text).select(F.struct(*(f"c.{f}" for f in FEATURES)).alias("c"), "fit", *(f"is_{k}" for k in KINDS))
+    counted = cut(rows.groupBy("c", "fit").agg(F.count("*").alias("n"), *(F.count_if(f"is_{k}").alias(k) for k in KINDS)), "profiles")
+    totals = {r["fit"]: r for r in counted.groupBy("fit").agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in KINDS)).collect()}
+    every = {c: sum(r[c] for r in totals.values()) for c in ("n", *KINDS)}
+    models = {k: _never() for k in KINDS}
+    live = {}
+    for k in KINDS:
+        if every["n"] >= 50 and True in totals and 0 < totals[True][k] < totals[True]["n"]:
+            mean = totals[True][k] / totals[True]["n"]
+            live[k] = models[k] = Boosted(float(np.log(mean / (1 - mean))), [], None)
+    if live:
+        grown(live, lambda known, trees: _summed(counted.where("fit"), known, trees), max(1.0, totals[True]["n"] / PULL))
+        for k, threshold in _thresholds(counted.where("not fit"), live).items():
+            models[k].threshold = threshold
     for kind in KINDS:
-        x, y, w = [], [], []
-        for positive, total, limit in ((True, totals[kind], SAMPLE_POSITIVE), (False, totals["all"] - totals[kind], SAMPLE_NEGATIVE)):
-            own = rows.where(F.col(f"is_{kind}") == positive)
-            if total > 2 * limit:  # twice the rows needed, so that only those are sorted
-                own = own.where(F.pmod(F.col("_hash"), F.lit(1 << 40)) < int((1 << 40) * 2 * limit / total))
-            got = own.orderBy("_hash", "_key", "s", "e").select(*FEATURES).limit(limit).collect()
-            x += [list(r) for r in got]
-            y += [float(positive)] * len(got)
-            w += [total / len(got)] * len(got) if got else []
-        models[kind] = boost(np.array(x, float).reshape(len(x), len(FEATURES)), np.array(y), np.array(w))
         if models[kind].threshold is None:
-            warnings.warn(f"{kind}: no span is added to the base spans; {totals[kind]} of {totals['all']} candidates are base spans, "
+            warnings.warn(f"{kind}: no span is added to the base spans; {every[kind]} of {every['n']} candidates are base spans, "
                           f"and the calibration fifth needs {HITS} at a precision of {PRECISION}", stacklevel=2)
     return models
 
 
+def _summed(counted: DataFrame, models: dict[str, Boosted], trees: dict[str, tuple]) -> dict[str, dict[int, Sums]]:
+    """For each kind and node of its unfinished tree, the sums of gradients and curvatures by feature and value."""
+    each = ", ".join(f"struct('{k}' as kind, {_sql(trees[k], 'c')} as node, 1 / (1 + exp(-({m.score('c')}))) as p, {k} as hits)" for k, m in models.items())
+    rows = counted.select("c", "n", F.expr(f"inline(array({each}))")).selectExpr(
+        "kind", "cast(node as int) as node", f"n * cast(rint(p * {UNIT}) as long) - hits * {UNIT} as g", f"n * cast(rint(p * (1 - p) * {UNIT}) as long) as h",
+        f"stack({len(FEATURES)}, {', '.join(f'{i}, c.{f}' for i, f in enumerate(FEATURES))}) as (feature, value)")
+    found = rows.groupBy("kind", "node", "feature", "value").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+    out: dict[str, dict[int, list]] = {}
+    for r in sorted(found):
+        out.setdefault(r["kind"], {}).setdefault(r["node"], [[] for _ in FEATURES])[r["feature"]].append((r["value"], r["g"] / UNIT, r["h"] / UNIT))
+    return {k: {n: [tuple(np.array(c, float) for c in zip(*f)) for f in node] for n, node in nodes.items()} for k, nodes in out.items()}
+
+
+def _thresholds(counted: DataFrame, models: dict[str, Boosted]) -> dict[str, float]:
+    """For each kind the lowest score from which on enough candidates are base spans; kinds without one are left out.
+
+    Counts run down within ranges of scores, after the counts of the ranges above, of which a kind has some thousand at most.
+    """
+    each = ", ".join(f"struct('{k}' as kind, {m.score('c')} as score, {k} as hits)" for k, m in models.items())
+    scores = counted.select("n", F.expr(f"inline(array({each}))")).groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    scores = scores.withColumn("range", F.expr("cast(floor(greatest(-64D, least(64D, score)) * 8) as int)"))
+    above = Window.partitionBy("kind").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = scores.groupBy("kind", "range").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).select(
+        "kind", "range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "hits")))
+    down = Window.partitionBy("kind", "range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = scores.join(ranges, ["kind", "range"]).select("kind", "score", *((F.col(f"{c}_above") + F.sum(c).over(down)).alias(c) for c in ("n", "hits")))
+    good = summed.where((F.col("hits") >= HITS) & (F.col("hits") / F.col("n") >= PRECISION))
+    return {r["kind"]: r["score"] for r in good.groupBy("kind").agg(F.min("score").alias("score")).collect()}
+
+
 def find(docs: DataFrame, models: dict[str, Boosted], text: str = "text") -> DataFrame:
     """Adds `_base` and `_spans`, arrays of (s, k, e) sorted by start, then kind: the base spans, and with them those added.
 

@@ -67,6 +67,24 @@ def test_kinds_with_few_spans_in_a_large_table_still_get_a_threshold(spark):
     assert [r["spans"] for r in pb.report(one, models).orderBy("doc_id").collect()] == ["phone:9:23", ""]
 
 
+def test_trees_and_thresholds_are_those_of_all_candidates(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(12_000):
+        number = f"{rng.randrange(10 ** 7, 10 ** rng.randrange(8, 12))}"
+        phone = f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}" if i % 4 == 0 else f"{rng.randrange(100, 999)}-{rng.randrange(10, 9999)}-{i}"
+        rows.append((i, f"{rng.choice(['call', 'tel', 'part', 'see'])} {phone} or {rng.choice(['card', 'no', 'phone'])} {number} end"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pb.fit(docs)["phone"]
+    found = pb.labelled(docs).select(*(f"c.{f}" for f in pb.FEATURES), "is_phone", "fit").collect()
+    x, y, fit = np.array([r[:-2] for r in found], float), np.array([r["is_phone"] for r in found], float), np.array([r["fit"] for r in found])
+    assert len(found) > 20_000 and y.sum() >= 3_000
+    want = pb.boost(x, y, fit=fit, pull=fit.sum() / pb.PULL)
+    assert model.start == want.start and model.threshold is not None
+    assert np.isclose(model.threshold, want.threshold)
+    assert np.allclose(sum(pb._value(t, x) for t in model.trees), sum(pb._value(t, x) for t in want.trees))
+
+
 def test_samples_count_as_much_as_they_stand_for():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(500, len(pb.FEATURES)))
