@@ -1,9 +1,10 @@
 """Alignment of two tokenizers' tokens over the same bytes, and how many documents hold each linked pair of ids.
 
-Each side's cumulative ends, in bytes, go into a dictionary from end to index. Ends that both dictionaries hold, sorted, cut the two id
-lists into groups; within a group, tokens whose byte ranges overlap are linked. Neither vocabulary has a token that crosses from
+Each side's cumulative ends, in bytes, are a sorted array. Ends that both hold cut the two id lists into groups; the ends that
+either holds cut the bytes into spans of one token of each side, which are the links. Neither vocabulary has a token that crosses from
 a character into a blank, so both cut a text before each blank that follows one: what lies between is aligned once for each
-distinct spelling in a task, and a text's groups and links are those of its parts in order.
+distinct spelling in a task, and a text's groups and links are those of its parts in order. All new parts of a piece are aligned
+at once, as arrays.
 
 Counts over the corpus never meet the texts again. A task's documents form blocks, bounded by links; a block is one stored row with
 the ids of its pairs and, packed, which document holds which pair how often. Pairs, not links, go through the exchanges: each
@@ -17,7 +18,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,12 @@ class Aligner:
         self.a_bytes = {i: bytes(letters[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        # lengths in bytes by id, and what a token's id looks like inside a group and at the end of its side of the group
+        self.a_length = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)], np.int64)
+        self.b_length = np.array([len(p) for p in self.b_bytes], np.int64)
+        most = max(len(self.a_length), len(self.b_length))
+        self.written = [b"%d%c" % (i, mark) for mark in b",|;" for i in range(most)]
+        self.written_length = np.array([len(w) for w in self.written], np.int64)
         #: texts may be cut before blanks only if no piece of B goes over such a place
         self.blank = self.b.piece_to_id("▁")
         self.cuts = self.blank != self.b.unk_id() and not any(re.search("[^▁]▁", p) for p in pieces)
@@ -80,41 +87,52 @@ class Aligner:
         if len(self.place) + len(new) > CACHED_PARTS or len(self.links) > CACHED_LINKS:
             self.forget()
             new = list(found)
-        of_a = self.a.encode_batch([" " + p for p in new], add_special_tokens=False)
-        of_b = self.b.encode(new, num_threads=1) if new else []
-        for p, a, b in zip(new, of_a, of_b):
-            self.place[p] = len(self.groups)
-            self.add((" " + p).encode(), a.ids, b if p else [self.blank])  # B gives the empty text no blank
-
-    def add(self, spelled: bytes, a: list[int], b: list[int]) -> None:
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        a_spelled, b_spelled = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
-        same = b"".join(a_spelled) == spelled and b"".join(b_spelled) == spelled
-        groups, links = [], []
-        if same:
-            a_index = dict(zip(accumulate(map(len, a_spelled)), range(len(a))))
-            b_index = dict(zip(accumulate(map(len, b_spelled)), range(len(b))))
-            i = j = 0
-            for end in sorted(a_index.keys() & b_index.keys()):
-                i_to, j_to = a_index[end] + 1, b_index[end] + 1
-                if i_to - i == j_to - j == 1:
-                    groups.append(f"{a[i]}|{b[j]}")
-                    links.append(a[i] << 32 | b[j])
-                    i, j = i_to, j_to
-                    continue
-                groups.append(",".join(map(str, a[i:i_to])) + "|" + ",".join(map(str, b[j:j_to])))
-                a_ends, b_ends = list(a_index), list(b_index)
-                while i < i_to:  # the token that ends first gives way; both do at the group's end
-                    links.append(a[i] << 32 | b[j])
-                    x, y = a_ends[i], b_ends[j]
-                    i, j = i + (x <= y), j + (y <= x)
-        self.same.append(same)
-        self.n_a.append(len(a))
-        self.n_b.append(len(b))
-        self.n_groups.append(len(groups))
-        self.links.extend(links)
-        self.ends.append(len(self.links))
-        self.groups.append(";".join(groups).encode())
+        if not new:
+            return
+        of_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
+        of_b = self.b.encode(new, num_threads=1)
+        if "" in found and "" in new:
+            of_b[new.index("")] = [self.blank]  # B gives the empty text no blank
+        self.place.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
+        self.add([(" " + p).encode() for p in new], of_a, of_b)
+
+    def add(self, spelled: list[bytes], of_a: list[list[int]], of_b: list[list[int]]) -> None:
+        """Align parts, each with its bytes and both sides' ids."""
+        same = np.ones(len(spelled), bool)
+        for ids, known in ((of_a, self.a_bytes), (of_b, self.b_bytes)):
+            same &= np.fromiter((b"".join([known[i] for i in x]) == p for x, p in zip(ids, spelled)), bool, len(spelled))
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (of_a, of_b))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))[np.repeat(same, n)] for ids, n in ((of_a, n_a), (of_b, n_b)))
+        # both sides of a part have the same bytes, so ends of all parts can be counted on
+        a_ends, b_ends = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        part_ends = a_ends[np.cumsum(n_a[same]) - 1]
+        either = np.union1d(a_ends, b_ends)
+        links = a[np.searchsorted(a_ends, either)] << 32 | b[np.searchsorted(b_ends, either)]
+        both = a_ends[np.isin(a_ends, b_ends, assume_unique=True)]
+        n_groups, n_links = np.zeros((2, len(same)), np.int64)
+        n_groups[same], n_links[same] = (np.diff(np.searchsorted(x, part_ends, "right"), prepend=0) for x in (both, either))
+        # a group's ids of A, then those of B
+        a_last, b_last = np.searchsorted(a_ends, both), np.searchsorted(b_ends, both)
+        a_size, b_size = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
+        most, before_a = len(self.written) // 3, np.cumsum(b_size) - b_size
+        code = np.empty(len(a) + len(b), np.int64)
+        a[a_last] += most
+        b[b_last] += 2 * most
+        code[np.arange(len(a)) + np.repeat(before_a, a_size)] = a
+        code[np.arange(len(b)) + np.repeat(np.cumsum(a_size), b_size)] = b
+        text = b"".join([self.written[i] for i in code.tolist()])
+        # where each group's text ends, then each part's
+        ends = np.cumsum(self.written_length[code])[np.cumsum(a_size + b_size) - 1]
+        stops = np.zeros(len(same), np.int64)
+        stops[same] = ends[np.cumsum(n_groups[same]) - 1]
+        stops = np.maximum.accumulate(stops)
+        starts = np.r_[0, stops[:-1]]
+        self.same += same.tobytes()
+        for known, n in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups)):
+            known.frombytes(n.astype(np.int32).tobytes())
+        self.ends.frombytes((np.cumsum(n_links) + len(self.links)).tobytes())
+        self.links.frombytes(links.tobytes())
+        self.groups += [text[x:max(x, y - 1)] for x, y in zip(starts.tolist(), stops.tolist())]
 
     def placed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places of all parts of the texts that have tokens, and how many each text has; 0 for texts without tokens."""

@@ -86,6 +86,21 @@ def test_small_blocks_and_a_small_cache_change_nothing():
     assert [x.to_pylist() for x in want.row(7)] == [x.to_pylist() for x in got.row(7)]
 
 
+def test_parts_aligned_at_once_are_as_parts_aligned_alone():
+    whole, alone = (token_alignment.Aligner(*token_alignment.default_vocabularies()) for _ in range(2))
+    texts = ["other", " the", " tokenisation", " ,.!é", "wrong", "wrong", " 1234567 99x", "x"]
+    spelled = [(t if t.startswith(" ") else "?" + t).encode() for t in texts]
+    of_a = [e.ids for e in whole.a.encode_batch(texts, add_special_tokens=False)]
+    of_b = whole.b.encode([t[1:] for t in texts])
+    whole.add(spelled, of_a, of_b)
+    for row in zip(spelled, of_a, of_b):
+        alone.add(*([x] for x in row))
+    alone.add([], [], [])
+    assert list(whole.same) == [t.startswith(" ") for t in texts] and [g != b"" for g in whole.groups] == [t.startswith(" ") for t in texts]
+    for name in ("same", "n_a", "n_b", "n_groups", "links", "ends", "groups"):
+        assert getattr(whole, name) == getattr(alone, name), name
+
+
 def test_nulls_repeats_clashing_columns_long_texts_and_empty_tables(spark):
     long = "some words, and  more of them! " * 5_000
     rows = [(None, None, "x", 1), (2 ** 60 + 1, "a b", "y", 2), (2 ** 60 + 1, "a b", "y", 2), (3, long, None, None)]
