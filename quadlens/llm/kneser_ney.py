@@ -4,7 +4,8 @@ Texts become pieces: packed rows with the distinct words' hashes and the texts a
 its distinct words and word pairs, so what travels is much smaller than the texts' tokens, and very frequent ones cost one
 entry for each piece. The same message counts and asks: the part of the hash space that it goes to adds up the training
 counts of all pieces, writes its sorted arrays to a file of its own, maps that into memory and looks up every piece's
-entries there. No worker and no driver holds the whole model; each part is a share of it that the number of partitions sets.
+entries there. No worker and no driver holds the whole model; each part is a share of it that the size of the texts sets, so how many
+messages there are does not follow the number of partitions.
 
 Pairs are dealt out by their first word. A word that a large share of all tokens are is dealt out by the second word, and
 its sums are added up from the parts; there are at most 8 such words for each part.
@@ -23,10 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlens.llm.common import grow, mix, pack, parts_of, pieces, runs_of, shrink, unpack, word_hashes, words
+from quadlens.llm.common import grow, mix, pack, pieces, runs_of, shrink, unpack, word_hashes, words
 from quadlens.session import cut
 
 PIECE = 2_500_000  # characters of a piece
+PART, LEAST = 5_000_000, 12  # bytes of text for each part of the hash space; parts at least
 END = np.uint64(0xE4D0E4D0E4D0E4D1)  # stands for the end of a text
 START = -1  # number of the context before the first word
 SHORT = np.uint64(16)  # words of a pair travel without so many low bits
@@ -37,6 +39,11 @@ def part_of(w: np.ndarray, parts: int) -> np.ndarray:
     return ((w >> SHORT) % np.uint64(parts)).astype(np.int64)
 
 
+def parts_for(docs: DataFrame, text: str) -> int:
+    """Parts of the hash space for these texts."""
+    return max(LEAST, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // PART))
+
+
 def mapped(folder: str, name: str, x: np.ndarray) -> np.ndarray:
     """The array as a read-only map of a file."""
     if not len(x):
@@ -323,7 +330,7 @@ def score(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str = "te
     Null and empty texts have the end alone. Repeated rows count and are scored as often as they occur; null keys stay null.
     An empty table gives an empty result; without training rows every token is as likely as any other.
     """
-    parts = 2 * parts_of(docs.sparkSession)
+    parts = parts_for(docs, text)
     table = cut(packed_pieces(docs.withColumn("_train", F.coalesce(train, F.lit(False))), key, text, "_train", parts), "pieces")
     learned = table.agg(F.sum("learned")).first()[0] or 0
     often = table.select(F.explode("often").alias("o")).groupBy("o.w").agg(F.sum("o.n").alias("n")).where(F.col("n") * 8 * parts >= max(1, learned))

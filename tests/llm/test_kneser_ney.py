@@ -66,6 +66,21 @@ def test_without_training_rows_and_without_rows(spark):
     assert kn.score(empty, F.lit(True)).count() == 0
 
 
+def test_messages_follow_the_size_of_the_texts_not_the_number_of_partitions(spark, monkeypatch):
+    kept, cut = {}, kn.cut
+    monkeypatch.setattr(kn, "cut", lambda df, name: kept.setdefault(name, cut(df, name)))
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        compared(spark, [(i, f"a b w{i} w{i % 7}", True) for i in range(200)], 10)
+        assert kept["pairs"].where("kind = 'pairs'").count() <= 10 * kn.LEAST and kept["pairs"].where("kind = 'before'").count() <= kn.LEAST ** 2
+        monkeypatch.setattr(kn, "PART", 100)
+        docs = kept["pieces"].select(F.lit("x" * 50).alias("text"))
+        assert kn.parts_for(docs.limit(1), "text") == kn.LEAST and kn.parts_for(docs.unionByName(docs).unionByName(docs), "text") == 15
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
 def test_packing_round_trips():
     import numpy as np
     x = np.array([0, 1, 255, 256, 70_000, 2 ** 32 - 1])
