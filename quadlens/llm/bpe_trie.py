@@ -189,7 +189,7 @@ class Trie:
 
 @lru_cache(2)
 def trie_of(path: str) -> Trie:
-    """One per worker process and file."""
+    """One per task and file."""
     return Trie(path)
 
 
@@ -213,7 +213,8 @@ def encode_decode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
         both = [trie.encode_decode(trie.parts(t) if parts is None else parts) for t, parts in zip(texts, held)]
         return [[x for x, _ in both], [y for _, y in both]], None
 
-    return map_texts(df, [key], text, [("ids", "binary", pa.binary()), ("decoded", "string", pa.string())], work)
+    return map_texts(df, [key], text, [("ids", "binary", pa.binary()), ("decoded", "string", pa.string())], work,
+                     done=lambda: trie_of.cache_clear())
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:

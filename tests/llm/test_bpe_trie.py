@@ -42,3 +42,14 @@ def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
     assert [r["doc_id"] for r in rows] == [None, 2 ** 60 + 1, 2 ** 60 + 1] and [r["n_tokens"] for r in rows] == [0, 2, 2]
     assert rows[0]["ids_sha256"] == rows[0]["decoded_sha256"] == df.select(F.sha2(F.lit(""), 256)).first()[0]
     assert bpe_trie.encode_decode(df.limit(0)).count() == 0
+
+
+def test_workers_keep_no_vocabulary_after_their_task(spark):
+    import pandas as pd
+    df = spark.createDataFrame([(i, f"some words {i}") for i in range(80)], "doc_id long, text string").repartition(8)
+    assert bpe_trie.encode_decode(df).count() == 80
+
+    def held(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [bpe_trie.trie_of.cache_info().currsize]})
+    assert [r["n"] for r in df.mapInPandas(held, "n long").distinct().collect()] == [0]
