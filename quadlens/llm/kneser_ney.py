@@ -28,7 +28,7 @@ from quadlens.llm.common import grow, mix, pack, pieces, runs_of, shrink, unpack
 from quadlens.session import cut
 
 PIECE = 2_500_000  # characters of a piece
-PART, LEAST = 5_000_000, 12  # bytes of text for each part of the hash space; parts at least
+PART, LEAST = 8_500_000, 12  # bytes of text for each part of the hash space; parts at least
 END = np.uint64(0xE4D0E4D0E4D0E4D1)  # stands for the end of a text
 START = -1  # number of the context before the first word
 SHORT = np.uint64(16)  # words of a pair travel without so many low bits

@@ -81,6 +81,18 @@ def test_messages_follow_the_size_of_the_texts_not_the_number_of_partitions(spar
         spark.conf.set("spark.sql.shuffle.partitions", usual)
 
 
+def test_exchange_files_go_when_a_table_is_written(spark, tmp_path):
+    from quadlens.llm.common import read
+    spark.range(2000).selectExpr("id as doc_id", "concat('w', id) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    docs, files = read(spark, str(tmp_path), "documents"), spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def exchanged():
+        return {f for f in files.getAllFiles().mkString(" ").split() if "shuffle_" in f}
+    before = exchanged()
+    kn.cut(docs.groupBy("text").count(), "counted")
+    assert not exchanged() - before
+
+
 def test_packing_round_trips():
     import numpy as np
     x = np.array([0, 1, 255, 256, 70_000, 2 ** 32 - 1])
